@@ -18,6 +18,7 @@ joined by word. None of these can be a hot key, since each is rarer than every b
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,22 +34,12 @@ SLOTS, PIECE, SAMPLE, FREQUENT = 1 << 18, 1 << 14, 40_000, 1_500_000
 MODELS, GATES, NODES, BUCKETS = 4, 8 * 9, 512, 33
 HELD_OUT = 1
 _GAP = b" \t\n\r\x0b\x0c"
+_GAPS = re.compile(rb"[ \t\n\r\x0b\x0c]+")
 
 
 def units_of(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """(words, gaps) of a text; gaps are the runs of white space before, between and after."""
-    words = text.split()
-    if text == b" ".join(words):
-        return words, [b" "] * (len(words) - 1) if words else []
-    gaps, at = [], 0
-    for w in words:
-        k = text.index(w, at)
-        if k > at:
-            gaps.append(text[at:k])
-        at = k + len(w)
-    if at < len(text):
-        gaps.append(text[at:])
-    return words, gaps
+    return text.split(), _GAPS.findall(text)
 
 
 def _paths(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -281,11 +272,14 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = taught.select(F.lit(1)).count()
     n_all, distinct = n_words + ends, distinct + (ends > 0)
-    # the least count above which at most FREQUENT words lie: words by the power of two of their count, then by count
-    cut, have = 1, distinct
-    while have > FREQUENT:
-        cut = cut + 1 if cut < 64 else cut * 2
-        have = words.where(F.col("c") >= cut).count()
+    # the least count from which on at most FREQUENT words lie; large counts are told apart by powers of two
+    step = F.when(F.col("c") < 4096, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("bigint"))
+    by_count = sorted(((r["c"], r["k"]) for r in words.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    cut, have = 1 << 62, 0
+    for c, k in by_count:
+        if have + k > FREQUENT:
+            break
+        cut, have = c, have + k
     frequent = words.where(F.col("c") >= cut).select(F.xxhash64("word").alias("h"), "c").toPandas()
     h, c = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
     order = np.argsort(h)
