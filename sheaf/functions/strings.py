@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sheaf.functions.arrays import col
 
@@ -155,7 +156,7 @@ def split_at(s, i) -> Column:
     return F.array(slice_(s, 0, i), slice_(s, i))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal_form(s: pd.Series, form: pd.Series) -> pd.Series:
     import unicodedata
 

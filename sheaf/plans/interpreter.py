@@ -593,7 +593,9 @@ class Interpreter:
                 kind = self.typed(out.c, out).kind
             finally:
                 self.bound = saved
-            return (lambda *cs: self.value(f(*[Value(c, k) for c, k in zip(cs, kinds)])).c), kind
+            run = lambda *cs: self.value(f(*[Value(c, k) for c, k in zip(cs, kinds)])).c
+            # Spark tells a lambda's arguments by its signature
+            return (lambda x: run(x)) if len(kinds) == 1 else (lambda a, x: run(a, x)), kind
 
         if name in ("map", "flatMap"):
             f, kind = scalar(args[0], element)

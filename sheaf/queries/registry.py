@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return enter
 
 
-def columns(name: str, source: Callable[[SparkSession, str], DataFrame] | str, sql_from: str, keys: list[str], **pairs: tuple[Column, str]) -> None:
+def columns(name: str, source: Callable[[SparkSession, str], DataFrame] | str, sql_from: str, keys: list[str], /, **pairs: tuple[Column, str]) -> None:
     """Enter a projection: each output column as a Spark expression and as SQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

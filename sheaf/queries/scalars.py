@@ -246,7 +246,7 @@ columns(
     minute=(lambda: D.minute("ts"), "CAST(minute(ts) AS INT)"),
     second=(lambda: D.second("ts"), "CAST(second(ts) AS INT)"),
     to_micros=(lambda: D.to_micros(F.col("ts").cast("timestamp")), "epoch_us(ts)"),
-    to_millis=(lambda: D.to_millis(F.col("ts").cast("timestamp")), "epoch_ms(ts)"),
+    to_millis=(lambda: D.to_millis(F.col("ts").cast("timestamp")), "epoch_us(ts) // 1000"),
     to_seconds=(lambda: D.to_seconds(F.col("ts").cast("timestamp")), "epoch_us(ts) // 1000000"),
     add=(lambda: D.to_micros(D.add(F.col("ts").cast("timestamp"), 36, "hours")), "epoch_us(ts) + 36 * 3600000000"),
     add_half_day=(lambda: D.to_micros(D.add(F.col("ts").cast("timestamp"), 3, "half days")), "epoch_us(ts) + 3 * 43200000000"),
