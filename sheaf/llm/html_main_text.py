@@ -38,6 +38,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOP = re.compile(r"[.!?…:;,]")
 
 
+STRONG = 1_000_000  # chrome that no article inside it undoes
+
+
 class Block:
     __slots__ = ("parts", "linked", "path", "tag", "content", "chrome", "cost")
 
@@ -50,19 +53,19 @@ class Block:
 
 
 def _nature(tag: str, attrs: str) -> tuple[int, int, bool]:
-    """(content, chrome, hidden) that a start tag tells."""
-    content, chrome, hidden = int(tag in CONTENT_TAGS), int(tag in CHROME_TAGS), tag in HIDDEN
+    """(content, chrome, hidden) that a start tag tells; a form is weak chrome, which an article inside it undoes."""
+    content, chrome, hidden = int(tag in CONTENT_TAGS), (1 if tag == "form" else STRONG) * (tag in CHROME_TAGS), tag in HIDDEN
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
                 words = {w.lower() for w in _PART.findall(value)}
                 if words & CHROME_WORDS and tag not in ("body", "html", "main"):
-                    chrome += 1
+                    chrome += STRONG
                 elif words & CONTENT_WORDS:
                     content += 1
             elif name == "role":
-                chrome += value.lower() in CHROME_ROLES
+                chrome += STRONG * (value.lower() in CHROME_ROLES)
                 content += value.lower() in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 hidden = True
@@ -138,7 +141,8 @@ def blocks_of(html: str) -> list[Block]:
             continue
         content, chrome, hidden = _nature(tag, m[3])
         if stack:
-            content, chrome, hidden = content + stack[-1][2], chrome + stack[-1][3], hidden or stack[-1][4]
+            above = 0 if tag in CONTENT_TAGS and stack[-1][3] < STRONG else stack[-1][3]
+            content, chrome, hidden = content + stack[-1][2], chrome + above, hidden or stack[-1][4]
         serial += 1
         stack.append((tag, serial, content, chrome, hidden))
         links += tag == "a"
@@ -150,7 +154,7 @@ def blocks_of(html: str) -> list[Block]:
 
 
 #: Weights of the classifier; positive speaks for content. Fixed values.
-BIAS, IN_CONTENT, IN_CHROME, PARAGRAPH, HEADING, ITEM, LINKED, LENGTH, STOPS, COPYRIGHT = -0.6, 6.0, -14.0, 1.2, 0.8, -0.3, -4.0, 0.5, 0.6, -3.0
+BIAS, IN_CONTENT, IN_CHROME, PARAGRAPH, HEADING, ITEM, LINKED, LENGTH, STOPS, COPYRIGHT = -0.6, 6.0, -20.0, 1.2, 0.8, -0.3, -4.0, 0.5, 0.6, -3.0
 #: Pull between blocks next to each other under one parent, next to each other anywhere.
 SIBLINGS, ADJACENT = 1.2, 0.3
 
@@ -160,7 +164,7 @@ def cost(b: Block, text: str) -> float:
     words = text.count(" ") + 1
     z = BIAS + LENGTH * min(math.log2(words), 6) + STOPS * bool(_STOP.search(text)) + LINKED * min(1.0, b.linked / max(1, len(text)))
     z += PARAGRAPH * (b.tag in ("p", "pre", "blockquote")) + HEADING * (b.tag in ("h1", "h2", "h3")) + ITEM * (b.tag == "li")
-    z += IN_CONTENT * min(b.content, 2) + IN_CHROME * min(b.chrome, 2)
+    z += IN_CHROME if b.chrome else IN_CONTENT * min(b.content, 2)
     return z + COPYRIGHT * (("©" in text or "copyright" in text[:40].lower()) and words < 40)
 
 

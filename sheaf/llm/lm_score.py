@@ -4,7 +4,8 @@ The model codes a text as words and the gaps of white space between them, each b
 end mark, every byte as eight binary decisions under a flag bit. Hashed-context predictors (one, two
 and three bytes back, and the whole unit so far) give each bit's probability; their stretched values
 are mixed by weights that a gate (place in the unit, bit) selects and that are learnt online, and the
-mix is refined by an adaptive probability map. The score is the sum over all bits, as log10.
+mix is refined by an adaptive probability map. The score is the sum over all bits, as log10, with the
+costs of telling whether a word or a gap comes first and, after each unit, whether the text ends.
 
 All training texts are counted, but only once for each distinct unit: predictors are counts over the
 corpus vocabulary, so their training costs what the vocabulary holds, and the corpus is read for its
@@ -258,8 +259,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     """The columns of ``docs`` but for the text, with n_tokens, n_known, train_tokens, base_score and score.
 
     The model and the counts come from the rows where ``training`` holds. A null text is empty: it has the
-    end token only, and score 0 (probability one of an empty text, whose length is not coded). Without any
-    training row all counts are zero. Rows stay, repeated ones too; columns of the new names are replaced.
+    end token only, and its score is that of the end. Without any training row all counts are zero. Rows stay, repeated ones too; columns of the new names are replaced.
     """
     spark = docs.sparkSession
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -267,6 +267,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     rest = [f for f in docs.schema if f.name != text]
     taught = docs.where(training)
     units = checkpointed(vocabulary(taught, text))
+    n_units = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = units.where(~F.substring("unit", 1, 1).isin(*_GAP.decode())).groupBy(fold_ascii(F.col("unit")).alias("word")).agg(F.sum("n").alias("c"))
     words = checkpointed(words)
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -284,6 +285,8 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     h, c = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((train(units), h[order], c[order]))
+    stop = (ends + 0.5) / (n_units + ends + 1.0)
+    end_lm, go_on, which = math.log10(stop), math.log10(1 - stop), math.log10(0.5)
     end_base = math.log10((ends + 0.5) / (n_all + 0.5 * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +305,8 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
                     n_tokens.append(len(w) + 1)
                     n_known.append(int(known.sum()) + (ends > 0))
                     base.append(float(table.base[w].sum()) + end_base)
-                    lm.append(float(table.lm[w].sum() + table.lm[g].sum()))
+                    more = (len(w) + len(g)) * go_on + which if len(w) + len(g) else 0.0
+                    lm.append(float(table.lm[w].sum() + table.lm[g].sum()) + more + end_lm)
                     rare.append(list(Counter(ws[w_at + k].lower().decode() for k in np.nonzero(~known)[0].tolist()).items()) if not known.all() else [])
                     w_at, g_at = w_at + len(w), g_at + len(g)
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
