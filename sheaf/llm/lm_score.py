@@ -31,8 +31,14 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, fold_ascii, slices
 
-SLOTS, PIECE, SAMPLE, FREQUENT = 1 << 18, 1 << 14, 40_000, 1_500_000
-MODELS, GATES, NODES, BUCKETS = 4, 8 * 9, 512, 33
+PIECE, SAMPLE, FREQUENT = 1 << 14, 40_000, 1_500_000
+#: Bits of each predictor's table, and where it begins in the one array of all.
+WIDTHS = (18, 20, 21, 22)
+STARTS = tuple(sum(1 << b for b in WIDTHS[:k]) for k in range(len(WIDTHS)))
+SLOTS, MODELS = sum(1 << b for b in WIDTHS), len(WIDTHS)
+#: Gates: place in the unit, bit, and how often the whole unit so far was seen.
+LEVELS = (1, 3, 20)
+GATES, BUCKETS = 4 * 9 * (len(LEVELS) + 1), 33
 HELD_OUT = 1
 _GAP = b" \t\n\r\x0b\x0c"
 _GAPS = re.compile(rb"[ \t\n\r\x0b\x0c]+")
@@ -44,7 +50,7 @@ def units_of(text: bytes) -> tuple[list[bytes], list[bytes]]:
 
 
 def _paths(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of each unit: (unit, slot in each model, gate, bit).
+    """For each bit of each unit: (unit, slot in each model, gate without its level, bit).
 
     Each byte is a flag (0) and eight bits; the end is the flag 1. A byte's node is the flag's (0) or
     the bits so far with a leading one.
@@ -83,45 +89,50 @@ def _paths(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     for m, c in enumerate(contexts):
         h = (c * np.uint64(0x9E3779B97F4A7C15 + 2 * m)) ^ (c >> np.uint64(29))
         h = (h[row] + node) * np.uint64(0xC2B2AE3D27D4EB4F)
-        slots[m] = (h >> np.uint64(64 - 18)).astype(np.int32)
-    gate = (np.minimum(place[row], 7) * 9 + column).astype(np.int32)
+        slots[m] = (h >> np.uint64(64 - WIDTHS[m])).astype(np.int32) + STARTS[m]
+    gate = (np.minimum(place[row], 3) * 9 + column).astype(np.int32)
     return owner[row], slots, gate, bit
 
 
 def count_tables(units: list[bytes], weights: np.ndarray, tables: np.ndarray) -> None:
-    """Add the units to tables[model, bit, slot]."""
+    """Add the units to tables[bit, slot]."""
     owner, slots, _, bit = _paths(units)
     w, one = weights[owner], bit.astype(bool)
     for m in range(MODELS):
-        for b, own in ((0, ~one), (1, one)):
-            tables[m, b] += np.bincount(slots[m][own], w[own], SLOTS)
+        np.add.at(tables[0], slots[m][~one], w[~one])
+        np.add.at(tables[1], slots[m][one], w[one])
+
+
+def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02))), -12, 12)
 
 
 class Mixer:
     """Predictors' counts, gated weights and the adaptive map."""
 
     def __init__(self, tables: np.ndarray):
-        self.n0, self.n1 = tables[:, 0].astype(np.float32), tables[:, 1].astype(np.float32)
-        self.weights = np.full((GATES, MODELS), 0.35, dtype=np.float64)
+        self.n0, self.n1 = tables[0].astype(np.float32), tables[1].astype(np.float32)
+        self.weights = np.full((GATES, MODELS), 0.3, dtype=np.float64)
         grid = (np.arange(BUCKETS) - (BUCKETS - 1) / 2) / 2
         self.map = np.tile(1 / (1 + np.exp(-grid)), (GATES, 1))
-        self.stretched = None
-
-    @staticmethod
-    def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        return np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -12, 12)
+        self.stretched = self.levels = None
 
-    def learn(self, units: list[bytes], batch: int = 256, rate: float = 0.02) -> None:
+    def learn(self, units: list[bytes], batch: int = 256, rate: float = 0.05) -> None:
         """Online over the units in order: mix, code, then move the weights and the map."""
         for k in range(0, len(units), batch):
             _, slots, gate, bit = _paths(units[k : k + batch])
-            s = np.stack([self.stretch(np.maximum(self.n0[m][slots[m]] - (bit == 0), 0), np.maximum(self.n1[m][slots[m]] - (bit == 1), 0)) for m in range(MODELS)])
+            zeros, ones = self.n0[slots] - (bit == 0), self.n1[slots] - (bit == 1)  # without their own occurrence
+            np.maximum(zeros, 0, out=zeros)
+            np.maximum(ones, 0, out=ones)
+            s = stretch(zeros, ones)
+            gate = gate * (len(LEVELS) + 1) + np.searchsorted(LEVELS, zeros[-1] + ones[-1], side="right")
             z = np.einsum("mi,im->i", s, self.weights[gate])
             p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
             step, seen = np.zeros_like(self.weights), np.bincount(gate, minlength=GATES)
             for m in range(MODELS):
                 step[:, m] = np.bincount(gate, (bit - p) * s[m], GATES)
-            self.weights += rate * step / np.maximum(1, np.sqrt(seen))[:, None]
+            decay = 1 / (1 + 4 * k / max(1, len(units)))
+            self.weights += rate * decay * step / np.maximum(1, np.sqrt(seen))[:, None]
             low, share = self._cells(z)
             for cell, part in ((low, 1 - share), (low + 1, share)):
                 at = gate * BUCKETS + cell
@@ -139,7 +150,10 @@ class Mixer:
         return low, at - low
 
     def freeze(self) -> Mixer:
-        self.stretched = self.stretch(self.n0, self.n1).astype(np.float32)
+        self.levels = np.searchsorted(LEVELS, self.n0[STARTS[-1] :] + self.n1[STARTS[-1] :], side="right").astype(np.uint8)
+        self.stretched = np.empty(SLOTS, np.float32)
+        for k in range(0, SLOTS, 1 << 18):
+            self.stretched[k : k + (1 << 18)] = stretch(self.n0[k : k + (1 << 18)], self.n1[k : k + (1 << 18)])
         self.n0 = self.n1 = None
         return self
 
@@ -149,10 +163,10 @@ class Mixer:
         for k in range(0, len(units), 2048):
             own = units[k : k + 2048]
             owner, slots, gate, bit = _paths(own)
-            w = self.weights[gate]
+            gate = gate * (len(LEVELS) + 1) + self.levels[slots[-1] - STARTS[-1]]
             z = np.zeros(len(gate))
             for m in range(MODELS):
-                z += self.stretched[m][slots[m]] * w[:, m]
+                z += self.stretched[slots[m]] * self.weights[gate, m]
             low, share = self._cells(z)
             refined = self.map[gate, low] * (1 - share) + self.map[gate, low + 1] * share
             p = np.clip(0.5 / (1 + np.exp(-np.clip(z, -20, 20))) + 0.5 * refined, 1e-6, 1 - 1e-6)
@@ -187,28 +201,28 @@ def train(units: DataFrame) -> Mixer:
     """Tables over all units, summed by slices; then the mixer over a sample drawn by frequency."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((MODELS, 2, SLOTS))
+        own = np.zeros((2, SLOTS))
         for batch in batches:
             values, n = batch.column(0).cast(pa.binary()).to_pylist(), np.asarray(batch.column(1), dtype=np.float64)
             for k in range(0, len(values), 2048):
                 count_tables(values[k : k + 2048], n[k : k + 2048], own)
         flat = own.reshape(-1, PIECE)
         some = np.nonzero(flat.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(flat[k].tobytes(), 1) for k in some], pa.binary())], names=["piece", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(flat[k].astype(np.float32).tobytes(), 1) for k in some], pa.binary())], names=["piece", "counts"])
 
     def total(key, pieces):
         import pandas as pd
 
         out = np.zeros(PIECE)
         for x in pieces["counts"]:
-            out += np.frombuffer(zlib.decompress(x))
+            out += np.frombuffer(zlib.decompress(x), dtype=np.float32)
         return pd.DataFrame({"piece": [key[0]], "counts": [zlib.compress(out.astype(np.float32).tobytes(), 1)]})
 
     parts = units.mapInArrow(tables, "piece bigint, counts binary")
-    summed = np.zeros((MODELS * 2 * SLOTS // PIECE, PIECE), dtype=np.float32)
+    summed = np.zeros((2 * SLOTS // PIECE, PIECE), dtype=np.float32)
     for r in parts.groupBy("piece").applyInPandas(total, "piece bigint, counts binary").collect():  # of a fixed size in all
         summed[r["piece"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.float32)
-    mixer = Mixer(summed.reshape(MODELS, 2, SLOTS))
+    mixer = Mixer(summed.reshape(2, SLOTS))
     # weighted sampling without replacement: the least -log(u) / n, u a hash of the unit
     u = (F.pmod(F.xxhash64("unit", F.lit(5)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     drawn = units.orderBy(-F.log(u) / F.col("n"), "unit").limit(SAMPLE).collect()

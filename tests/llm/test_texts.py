@@ -147,7 +147,7 @@ def test_mixer_is_a_distribution():
     """The probabilities of all one-byte words, and of all one-byte gaps, add up to less than one."""
     import numpy as np
 
-    tables = np.zeros((lm_score.MODELS, 2, lm_score.SLOTS))
+    tables = np.zeros((2, lm_score.SLOTS))
     units = [b"abc", b"abd", b"b", b" ", b"\n"]
     lm_score.count_tables(units, np.ones(len(units)), tables)
     m = lm_score.Mixer(tables)
