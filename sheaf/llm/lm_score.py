@@ -111,7 +111,7 @@ class Mixer:
     """Predictors' counts, gated weights and the adaptive map."""
 
     def __init__(self, tables: np.ndarray):
-        self.n0, self.n1 = tables[0].astype(np.float32), tables[1].astype(np.float32)
+        self.n0, self.n1 = (np.asarray(t, dtype=np.float32) for t in tables)
         self.weights = np.full((GATES, MODELS), 0.3, dtype=np.float64)
         grid = (np.arange(BUCKETS) - (BUCKETS - 1) / 2) / 2
         self.map = np.tile(1 / (1 + np.exp(-grid)), (GATES, 1))
