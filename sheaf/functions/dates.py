@@ -37,7 +37,7 @@ today = F.current_date
 
 
 def add(t, amount, unit: str) -> Column:
-    return F.timestamp_micros(F.unix_micros(col(t)) + (col(amount) * micros_in(unit)).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(col(t)) + (col(amount) * F.lit(micros_in(unit)).cast("bigint")).cast("bigint"))
 
 
 def subtract(t, amount, unit: str) -> Column:
@@ -52,7 +52,7 @@ def difference(t, start, unit: str) -> Column:
 
 
 def epoch(offset, unit: str) -> Column:
-    return F.timestamp_micros((col(offset) * micros_in(unit)).cast("bigint"))
+    return F.timestamp_micros((col(offset) * F.lit(micros_in(unit)).cast("bigint")).cast("bigint"))
 
 
 def parse(s) -> Column:

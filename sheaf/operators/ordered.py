@@ -105,7 +105,18 @@ class Ordered:
         return self._with(self.df.orderBy(*self.sort).limit(n))
 
     def drop(self, n: int) -> Ordered:
-        return self._with(self.df.orderBy(*self.sort).offset(max(n, 0)))
+        """The rows past the n-th: its key is found by a bounded top-k, and the rest is a filter, not a global offset."""
+        if n <= 0:
+            return self
+        names = [f"_last_{k}" for k, _ in self.keys]
+        last = self.take(n).reverse().take(1).df.select(*[F.col(k).alias(m) for (k, _), m in zip(self.keys, names)])
+        past = F.lit(False)
+        for (k, up), m in reversed(list(zip(self.keys, names))):
+            c, o = F.col(k), F.col(m)
+            later = (c > o) if up else (c < o)
+            over = (c.isNull() & o.isNotNull()) if up else (c.isNotNull() & o.isNull())
+            past = F.coalesce(later, F.lit(False)) | over | (c.eqNullSafe(o) & past)
+        return self._with(self.df.join(F.broadcast(last), past).drop(*names))  # one row is broadcast
 
     def page_size(self, n: int) -> Ordered:
         return replace(self, size=n)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 4096
+
 
 def _counted(sets: tuple[DataFrame, ...]) -> DataFrame:
     """Each distinct row with its multiplicity in each set; counts are combined before the one shuffle."""
@@ -18,7 +20,10 @@ def _counted(sets: tuple[DataFrame, ...]) -> DataFrame:
 
 
 def _expanded(counted: DataFrame, times, columns: list[str]) -> DataFrame:
-    return counted.withColumn("_times", times).where("_times > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).drop("col")
+    # in two steps, so that no array is long where a row is very frequent
+    some = counted.withColumn("_times", times).where("_times > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / CHUNK))))
+    own = F.least(F.lit(CHUNK), F.col("_times") - F.col("_chunk") * CHUNK).cast("int")
+    return some.select(*columns, F.explode(F.array_repeat(F.lit(0), own))).drop("col")
 
 
 def union_max(*sets: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ class Value:
     kind: T.DataType
     refs: frozenset = frozenset()
     const: Any = None
+    owner: Collection | None = None  # of a document that was read
 
 
 @dataclass(frozen=True)
@@ -265,7 +266,7 @@ class Interpreter:
 
     def on_bang(self, node, env):
         v = self.value(self.evaluate(node[1], env))
-        return Value(F.when(v.c.isNotNull(), v.c).otherwise(F.raise_error(F.lit("null value"))), v.kind, v.refs)
+        return Value(F.when(v.c.isNotNull(), v.c).otherwise(F.raise_error(F.lit("null value"))), v.kind, v.refs, owner=v.owner)
 
     def on_isa(self, node, env):
         v = self.value(self.evaluate(node[1], env))
@@ -275,15 +276,11 @@ class Interpreter:
         return Value(F.lit(isinstance(v.kind, kinds[node[2]])) & v.c.isNotNull(), T.BooleanType(), v.refs)
 
     def on_as_of(self, node, env):
-        when = self.value(self.evaluate(node[1], env))
-        saved = self.catalog
-        from sheaf.sources.versions import as_of
-
+        when, saved = self.value(self.evaluate(node[1], env)), self.catalog
         seen = Catalog(self.spark)
-        seen.functions, seen.roles = saved.functions, saved.roles
+        seen.functions, seen.roles, seen.stores = saved.functions, saved.roles, saved.stores
         for n, c in saved.collections.items():
-            log = getattr(c, "log", None) or saved.logs.get(n) if hasattr(saved, "logs") else None
-            seen.create(replace(c, df=as_of(log, when.c)) if log is not None else c)
+            seen.create(replace(c, df=saved.stores[n].rows(when.c)) if n in saved.stores else c)
         self.catalog = seen
         try:
             return self.evaluate(node[2], env)
@@ -402,6 +399,8 @@ class Interpreter:
         if name == "exists":
             key = target.columns[target.collection.id][0] if isinstance(target, RowValue) else None
             return Value(F.col(key).isNotNull() if key else self.value(target).c.isNotNull(), T.BooleanType(), frozenset([target.owner.serial]) if key else target.refs)
+        if name in ("update", "replace", "delete", "updateData", "replaceData") and isinstance(target, Value) and target.owner:
+            return self.write(target.owner, name.removesuffix("Data"), self.one.select(target.c.getField("id")).first()[0], *args)
         v = self.value(target)
         if isinstance(v.kind, T.ArrayType):
             return self.over_array(name, v, args)
@@ -414,7 +413,25 @@ class Interpreter:
 
     def document(self, c: Collection, id_: Value) -> RowValue | Value:
         s = SetValue.of(Ordered.of(c.rows.where(F.col(c.id) == id_.c), c.id), c)
-        return self.single_row(s)
+        return replace(self.single_row(s), owner=c)
+
+    def write(self, c: Collection, action: str, id_: int | None, data: Value | None = None) -> Value:
+        """A version of one document; the document as it is then."""
+        if self.live:
+            raise EvalError("no writes within a lambda over a set")
+        if c.name not in self.catalog.stores:
+            raise EvalError(f"{c.name} has no store to write to")
+        store = self.catalog.stores[c.name]
+        rows = self.one.select(F.lit(id_).cast("long").alias("id")) if data is None else self.one.select(*([F.lit(id_).cast("long").alias("id")] if id_ is not None else []), data.c.alias("d")).select("*", "d.*").drop("d")
+        if "id" not in rows.columns:
+            rows = rows.withColumn("id", F.lit((store.log().agg(F.max("id")).first()[0] or 0) + 1))
+        id_ = rows.first()["id"]
+        if action == "update":
+            store.update(rows, clear=tuple(f.name for f in data.kind if isinstance(f.dataType, T.NullType)))
+        else:
+            getattr(store, action)(rows)
+        fresh = self.catalog.create(replace(c, df=store.rows()))
+        return self.document(fresh, self.lit(id_))
 
     def single_row(self, s: SetValue) -> Any:
         """The first row as a value, read now; null where there is none."""
@@ -435,6 +452,8 @@ class Interpreter:
             return SetValue.of(c.all(low, high), c)
         if name == "byId":
             return self.document(c, args[0])
+        if name in ("create", "createData"):
+            return self.write(c, "create", None, args[0])
         if name in c.indexes:
             index = c.indexes[name]
             n = len(index.terms)
@@ -724,7 +743,6 @@ MODULES: dict[str, dict[str, Callable]] = {
         "toString": _own(lambda self, o: self.typed(F.to_json(o.c) if isinstance(o.kind, (T.StructType, T.ArrayType)) else Y.to_string(o.c), o)),
     },
 }
-MODULES["FQL"] = {n: (lambda m=m: m) for n, m in MODULES.items()}
 
 
 def _path(o: Value, path: Value) -> Column:

@@ -149,3 +149,15 @@ def document_sizes(spark, d):
 @query()
 def table_checksum(spark, d):
     return checksum(table(spark, d, "orders"))
+
+
+@query("SELECT event_id, true AS is_integer, false AS is_string_id, true AS is_string, true AS is_timestamp, value IS NOT NULL AS is_double, value IS NULL AS is_null, false AS is_uuid, false AS is_array, false AS is_object, false AS is_boolean, false AS is_bytes, false AS is_date, true AS is_number FROM events")
+def type_tests(spark, d):
+    from sheaf.functions.types import is_type
+
+    e = table(spark, d, "events")
+    tests = {
+        "is_integer": ("event_id", "integer"), "is_string_id": ("event_id", "string"), "is_string": ("event_type", "string"), "is_timestamp": ("ts", "timestamp"), "is_double": ("value", "double"), "is_null": ("value", "null"),
+        "is_uuid": ("event_type", "uuid"), "is_array": ("value", "array"), "is_object": ("value", "object"), "is_boolean": ("value", "boolean"), "is_bytes": ("value", "bytes"), "is_date": ("ts", "date"), "is_number": ("event_id", "number"),
+    }
+    return e.select("event_id", *[is_type(e, c, t).alias(n) for n, (c, t) in tests.items()])

@@ -83,3 +83,23 @@ form(
     }},
     "SELECT 6 AS a, 3::BIGINT AS b, 'yes' AS c, 7 AS d, 'a-b-c' AS e, 'en' AS f, 6 AS g, 2.5::DOUBLE AS h, 7.5::DOUBLE AS i, 6 AS j, 'none' AS k, 2 AS l, true AS m, false AS n, 4 AS o, 2::BIGINT AS p, 'bonono' AS q, 'abab' AS r, 'true' AS s, 42 AS t, 3.142::DOUBLE AS u",
 )
+form(
+    "v4_strings",
+    {"object": {
+        "a": {"casefold": "ÉA"}, "b": {"title_case": "one two"}, "c": {"trim": "  x "}, "d": {"l_trim": "  x"}, "e": {"r_trim": "x  "}, "f": {"contains_str": "banana", "search": "nan"}, "g": {"contains_str_regex": "banana", "pattern": "n.n"},
+        "h": {"starts_with": "banana", "search": "ba"}, "i": {"ends_with": "banana", "search": "na"}, "j": {"length": "añ🙂"}, "k": {"lower_case": "ABC"}, "l": {"upper_case": "abc"}, "m": {"replace_str_regex": "a1b2", "pattern": "([0-9])", "replace": "<$1>"},
+        "n": {"replace_str_regex": "a1b2", "pattern": "[0-9]", "replace": "#", "first": True}, "o": {"format": "%s has %d", "values": ["x", 3]}, "p": {"space": 2}, "q": {"sub_string": "banana", "start": 2}, "r": {"select": [1], "from": {"split_str": "a,b,c", "token": ","}},
+        "s": {"select": [0], "from": {"split_str_regex": "a1b2c", "pattern": "[0-9]", "count": 2}}, "t": {"count": {"ngram": "abcd", "min": 2, "max": 3}}, "u": {"find_str": "banana", "find": "z"}, "v": {"contains_value": 2, "in": [1, 2]},
+    }},
+    "SELECT 'éa' AS a, 'One Two' AS b, 'x' AS c, 'x' AS d, 'x' AS e, true AS f, true AS g, true AS h, true AS i, 3 AS j, 'abc' AS k, 'ABC' AS l, 'a<1>b<2>' AS m, 'a#b2' AS n, 'x has 3' AS o, '  ' AS p, 'nana' AS q, 'b' AS r, 'a' AS s, 5 AS t, -1 AS u, true AS v",
+)
+form(
+    "v4_numbers_and_times",
+    {"object": {
+        "a": {"abs": -3}, "b": {"bitand": [12, 10]}, "c": {"bitor": [12, 3]}, "d": {"bitxor": [12, 10]}, "e": {"bitnot": 5}, "f": {"modulo": [17, 5]}, "g": {"max": [3, 9, 4]}, "h": {"min": [3, 9, 4]}, "i": {"pow": 3}, "j": {"hypot": 3, "b": 4},
+        "k": {"sign": -4}, "l": {"trunc": 2.718, "precision": 1}, "m": {"and": [True, {"not": False}]}, "n": {"or": [False, False]}, "o": {"lte": [1, 1, 2]}, "p": {"gte": [3, 2, 2]}, "q": {"any": [False, True]}, "r": {"all": [True, False]},
+        "s": {"to_seconds": {"time_add": {"time": "2024-01-01T00:00:00Z"}, "offset": 90, "unit": "minutes"}}, "t": {"to_millis": {"epoch": 5, "unit": "seconds"}}, "u": {"month": {"date": "2024-02-29"}}, "v": {"to_integer": "12.9"}, "w": {"to_string": 7},
+        "x": {"year": {"time": "2024-05-06T07:08:09Z"}}, "y": {"minute": {"time": "2024-05-06T07:08:09Z"}}, "z": {"day_of_year": {"date": "2024-03-01"}},
+    }},
+    "SELECT 3 AS a, 8 AS b, 15 AS c, 6 AS d, -6 AS e, 2 AS f, 9 AS g, 3 AS h, 9.0::DOUBLE AS i, 5.0::DOUBLE AS j, -1 AS k, 2.7::DOUBLE AS l, true AS m, false AS n, true AS o, true AS p, true AS q, false AS r, 1704072600::BIGINT AS s, 5000::BIGINT AS t, 2 AS u, 12::BIGINT AS v, '7' AS w, 2024 AS x, 8 AS y, 61 AS z",
+)

@@ -92,3 +92,15 @@ def windowed_counts(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = C.windowed(e, "ts", "1 day", "event_type", n=F.count(F.lit(1)), v=F.round(F.sum("value"), 2))
     return out.select(F.to_date("window.start").alias("day"), "event_type", "n", "v")
+
+
+@query(f"SELECT k, ts, CASE WHEN now THEN 'add' ELSE 'remove' END AS action FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY k ORDER BY ts), false) AS was FROM (SELECT k, ts, t = 'click' AS now FROM {DAYS})) WHERE now <> was")
+def historical_difference(spark, d):
+    """A user is in one set at a time, so the difference is the first set."""
+    return X.historical({"a": membership(spark, d, "click"), "b": membership(spark, d, "view")}, ["k"], "difference")
+
+
+@query("SELECT 0::BIGINT AS n")
+def historical_intersection(spark, d):
+    both = X.historical({"a": membership(spark, d, "click"), "b": membership(spark, d, "view")}, ["k"], "intersection")
+    return both.agg(F.count(F.lit(1)).alias("n"))

@@ -169,7 +169,7 @@ class Catalog:
     """Named collections, functions and roles of a session."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.collections, self.functions, self.roles = spark, {}, {}, {}
+        self.spark, self.collections, self.functions, self.roles, self.stores = spark, {}, {}, {}, {}
 
     def create(self, collection: Collection) -> Collection:
         self.collections[collection.name] = collection

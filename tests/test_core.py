@@ -208,3 +208,79 @@ def test_roles_and_functions(people):
     assert people.listing().where("kind = 'index'").count() == 1 and "name" in people.definition("Person").names
     people.function("twice", lambda x: x * 2)
     assert people.call("twice", 4) == 8
+
+
+SCHEMA = """
+collection Town { name: String }
+collection Person {
+  name: String
+  age: Int? = 18
+  town: Ref<Town>?
+  tags: Array<String>
+  compute label: String = (doc => doc.name + "/" + doc.age)
+  check grown (doc => doc.age >= 0)
+  unique [.name]
+  index byTown { terms [.town] values [desc(.age), .name] }
+  index byTag { terms [mva(.tags)] }
+  history_days 3
+}
+function older(p: Person, n: Int): Boolean { p.age > n }
+role reader { privileges Person { read { predicate (doc => doc.age < 50) } } privileges Town { read } }
+"""
+
+
+def test_schema_language(spark):
+    from sheaf.plans import schema
+
+    towns = spark.createDataFrame([(1, "Ulm")], "id long, name string")
+    people = spark.createDataFrame([(1, "Ann", 40, 1, ["x", "y", "x"]), (2, "Bob", None, 1, ["y"]), (3, "Cy", 60, None, None), (4, "Cy", -1, 7, [])], "id long, name string, age int, town long, tags array<string>")
+    c = Catalog(spark)
+    schema.apply(c, SCHEMA, {"Town": towns, "Person": people})
+    run = Interpreter(spark, c).run
+    assert run("Person.byTown(1).map(.label)").data == ["Ann/40", "Bob/18"]
+    assert run("Person.byTag('y').map(.id)").data == [1, 2]
+    assert run("Person.where(p => older(p, 30)).map(p => p.town.name ?? 'none')").data == ["Ulm", "none"]
+    p = c.collection("Person")
+    assert [r["id"] for r in p.check_violations().collect()] == [4] and p.unique_violations().first()["n"] == 2 and [r["id"] for r in p.foreign_violations().collect()] == [4]
+    schema.apply(c, SCHEMA, {"Town": towns, "Person": people}, role="reader")
+    assert run("Person.all().map(.id)").data == [1, 2, 4]
+    assert schema.differences(SCHEMA, SCHEMA.replace("history_days 3", "email: String?").replace("check grown", "check old")) == [("added", "Person", "checks.old"), ("added", "Person", "fields.email"), ("removed", "Person", "checks.grown")]
+
+
+def test_schema_migrations(spark):
+    from sheaf.plans import schema
+
+    text = """collection A { n: Int? rest: String? kind: String
+      migrations { split .mixed -> .n, .rest
+        move .sort -> .kind
+        backfill .kind = "none"
+        drop .old } }"""
+    c = Catalog(spark)
+    schema.apply(c, text, {"A": spark.createDataFrame([(1, "12", "a", 0), (2, "x", None, 0)], "id long, mixed string, sort string, old int")})
+    assert Interpreter(spark, c).run("A.all() { id, n, rest, kind }").data == [{"id": 1, "n": 12, "rest": None, "kind": "a"}, {"id": 2, "n": None, "rest": "x", "kind": "none"}]
+
+
+def test_writes(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from sheaf.sources.store import ConstraintError, Store
+
+    c = Catalog(spark)
+    rules = Collection("Acc", spark.createDataFrame([], "id long, owner string, balance long"), checks={"solvent": lambda d: d["balance"] >= 0}, unique=(("owner",),), defaults={"balance": lambda d: F.lit(5)})
+    store = Store(spark, f"{tmp_path}/acc", StructType.fromDDL("owner string, balance long"), rules)
+    c.stores["Acc"] = store
+    c.create(rules)
+    run = Interpreter(spark, c).run
+    assert run("Acc.create({ owner: 'a', balance: 100 })") == {"id": 1, "owner": "a", "balance": 100}
+    assert run("Acc.create({ id: 9, owner: 'b' })")["balance"] == 5
+    assert run("Acc.byId(1)!.update({ balance: 70 })") == {"id": 1, "owner": "a", "balance": 70}
+    mark = spark.range(1).select(F.current_timestamp()).first()[0]
+    assert run("Acc(1)!.replace({ owner: 'z', balance: 1 })")["owner"] == "z"
+    assert run("Acc(9)!.update({ owner: null })") == {"id": 9, "owner": None, "balance": 5}
+    run("Acc(9)!.delete()")
+    assert run("Acc.all().map(.id)").data == [1]
+    assert run(f"at (Time('{mark.isoformat()}Z')) {{ Acc.all().map(.balance) }}").data == [70, 5]
+    for bad in ("Acc.create({ owner: 'q', balance: -1 })", "Acc.create({ owner: 'z', balance: 1 })", "Acc.create({ id: 1, owner: 'n' })"):
+        with pytest.raises(ConstraintError):
+            run(bad)
+    assert [r["action"] for r in store.history(9).collect()] == ["create", "update", "delete"]
