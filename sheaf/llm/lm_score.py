@@ -295,8 +295,8 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
         if have + k > FREQUENT:
             break
         cut, have = c, have + k
-    frequent = words.where(F.col("c") >= cut).select(F.xxhash64("word").alias("h"), "c").toPandas()
-    h, c = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
+    frequent = words.where(F.col("c") >= cut).select(F.xxhash64("word").alias("h"), "c").toArrow()
+    h, c = frequent["h"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((train(units), h[order], c[order]))
     stop = (ends + 0.5) / (n_units + ends + 1.0)
