@@ -130,7 +130,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(term, df) over all documents for the given terms that occur."""
-    slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(BITMAP)).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()  # BITMAP at most
+    slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(BITMAP)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()  # BITMAP at most
     gate = np.zeros(BITMAP, dtype=bool)
     gate[slots] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(gate))
