@@ -53,8 +53,27 @@ def plan(n: int, cosine: float, recall: float) -> tuple[int, int, float, int]:
         needed += 1
 
 
+def _packed(x: list[float]) -> bytes:
+    """A vector's bytes: single precision where that loses nothing."""
+    v = np.asarray(x, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return b"f" + short.tobytes() if (short == v).all() else b"d" + v.tobytes()
+
+
+def _units(rows: list[bytes]) -> np.ndarray:
+    """Packed vectors of one dimension as unit vectors in double precision."""
+    kinds = {"f": np.float32, "d": np.float64}
+    if len({(x[:1], len(x)) for x in rows}) == 1:
+        v = np.frombuffer(b"".join(x[1:] for x in rows), dtype=kinds[rows[0][:1].decode()]).astype(np.float64).reshape(len(rows), -1)
+    else:
+        v = np.stack([np.frombuffer(x[1:], dtype=kinds[x[:1].decode()]).astype(np.float64) for x in rows])
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _folded(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, key and v: the vector as doubles and a digest of it; null where nothing can link."""
+    """vec_id, key and v: the packed vector and a digest of it; null where nothing can link."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
@@ -63,66 +82,67 @@ def _folded(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             keys, values = [], []
             for x in batch.column(1).to_pylist():
                 key = value = None
-                if x and None not in x:
-                    v = np.asarray(x, dtype=np.float64) + 0.0
-                    if np.isfinite(v).all() and v.any():
-                        v = v / np.abs(v).max()
-                        value = (v / np.linalg.norm(v)).tobytes()
-                        key = blake2b(np.asarray(x, dtype=np.float64).tobytes(), digest_size=16).digest()
+                if x and None not in x and np.isfinite(x).all() and any(x):
+                    key, value = blake2b(np.asarray(x, dtype=np.float64).tobytes(), digest_size=16).digest(), _packed(x)
                 keys.append(key)
                 values.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["vec_id", "key", "v"])
 
-    kind = vectors.schema[vec_id].dataType.simpleString()
-    return vectors.select(F.col(vec_id), F.col(embedding)).mapInArrow(fold, f"vec_id {kind}, key binary, v binary")
+    return vectors.select(F.col(vec_id).cast("bigint"), F.col(embedding)).mapInArrow(fold, "vec_id bigint, key binary, v binary")
+
+
+def _name(least_id, key) -> F.Column:
+    """A vector's name: its least id, in an order that bytes keep (null last), then its digest."""
+    big = F.unhex(F.lpad(F.hex(F.col(least_id).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.when(F.col(least_id).isNull(), F.unhex(F.lit("01" + "00" * 8))).otherwise(F.concat(F.unhex(F.lit("00")), big)), F.col(key))
+
+
+def _id_of(name) -> F.Column:
+    big = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), big)
 
 
-def _cells(distinct: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
-    """A row for each vector and table: cell, rep, w, v and the cells of all tables."""
+def _dealt(distinct: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
+    """rep, w, v, the cells of all tables, and 32 bits of each to tell where two vectors first met."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         mix = np.random.default_rng(seed + 1).integers(1, 2**63, size=(tables, k), dtype=np.uint64) | np.uint64(1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column("v").to_pylist()
             by_size: dict[int, list[int]] = {}
+            rows = batch.column(batch.schema.get_field_index("v")).to_pylist()
             for i, x in enumerate(rows):
-                by_size.setdefault(len(x) // 8, []).append(i)
+                by_size.setdefault((len(x) - 1) // (4 if x[:1] == b"f" else 8), []).append(i)
             for dim, own in by_size.items():
                 if dim not in lines:
                     rng = np.random.default_rng([seed, dim])
                     lines[dim] = rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k)
                 at, offset = lines[dim]
-                v = np.frombuffer(b"".join(rows[i] for i in own), dtype=np.float64).reshape(len(own), dim)
-                runs = np.floor((v @ at + offset) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(own), tables, k)
+                runs = np.floor((_units([rows[i] for i in own]) @ at + offset) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(own), tables, k)
                 cells = ((runs + np.uint64(7)) * mix).sum(axis=2, dtype=np.uint64)
                 cells ^= cells >> np.uint64(29)
-                cells = (cells * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim)).view(np.int64)
-                own_ids = pa.array(own, pa.int64())
-                picked = batch.take(own_ids)
-                every = pa.array([c.tobytes() for c in cells], pa.binary())
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), t, np.int32)), pa.array(cells[:, t].copy()), picked.column("rep"), picked.column("w"), every, picked.column("v")],
-                        names=["t", "cell", "rep", "w", "cells", "v"],
-                    )
-
-    kind = distinct.schema["rep"].dataType.simpleString()
-    return distinct.mapInArrow(deal, f"t int, cell bigint, rep {kind}, w bigint, cells binary, v binary")
-
-
-def _links(cells: DataFrame, cosine: float, window: float, needed: int, seed: int) -> DataFrame:
-    """(rep, other, n): n vectors linked with rep that were first met here, other in its component."""
-    kind = cells.schema["rep"].dataType.simpleString()
+                cells = cells * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim)
+                short = (cells >> np.uint64(32)).astype(np.uint32)
+                picked = batch.take(pa.array(own, pa.int64()))
+                every = pa.ListArray.from_arrays(pa.array(np.arange(0, len(own) * tables + 1, tables, dtype=np.int32)), pa.array(cells.view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(picked.column(picked.schema.get_field_index(c)) for c in ("rep", "w", "v")), every, pa.array([x.tobytes() for x in short], pa.binary())], names=["rep", "w", "v", "cells", "short"])
+
+    return distinct.mapInArrow(deal, "rep binary, w bigint, v binary, cells array<bigint>, short binary")
+
+
+def _links(dealt: DataFrame, cosine: float, window: float, needed: int, seed: int) -> DataFrame:
+    """(rep, other, n): n vectors linked with rep that were first met here, other in its component.
+
+    Names alone are dealt out to find the cells with company; only for these are the vectors sent.
+    """
+    cells = dealt.select("rep", F.posexplode("cells").alias("t", "cell"))
     sizes = cells.groupBy("t", "cell").agg(F.count("*").alias("_size"))
     shared = cells.join(sizes.where("_size > 1"), ["t", "cell"])
     parts = F.ceil(F.col("_size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     shared = shared.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     shared = shared.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")})
-    shared = shared.select("t", "cell", "_a", "_b", "_own", "rep", "w", "cells", "v")
+    shared = shared.select("t", "cell", "_a", "_b", "_own", "rep").join(dealt.select("rep", "w", "v", "short"), "rep")
     shared = shared.repartition("t", "cell", "_a", "_b").sortWithinPartitions("t", "cell", "_a", "_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +152,7 @@ def _links(cells: DataFrame, cosine: float, window: float, needed: int, seed: in
             n = run.num_rows
             t, a, b = (run.column(c)[0].as_py() for c in ("t", "_a", "_b"))
             rep, own = run.column("rep").to_pylist(), np.asarray(run.column("_own"))
-            v = np.frombuffer(b"".join(run.column("v").to_pylist()), dtype=np.float64).reshape(n, -1)
+            v = _units(run.column("v").to_pylist())
             if (dim := v.shape[1]) not in lines:
                 lines[dim] = np.random.default_rng([seed, dim, 2]).standard_normal((dim, COUNTED))
             at = v @ lines[dim]
@@ -151,7 +171,7 @@ def _links(cells: DataFrame, cosine: float, window: float, needed: int, seed: in
             if not pairs.any():
                 return
             pairs &= v @ v.T >= cosine - 1e-9
-            known = np.frombuffer(b"".join(run.column("cells").to_pylist()), dtype=np.int64).reshape(n, -1)
+            known = np.frombuffer(b"".join(run.column("short").to_pylist()), dtype=np.uint32).reshape(n, -1)
             for s in range(t):  # met before
                 pairs &= known[:, s, None] != known[None, :, s]
             if a != b:
@@ -181,13 +201,11 @@ def _links(cells: DataFrame, cosine: float, window: float, needed: int, seed: in
 
         def flush(out: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], type=rep_type), pa.array([x[1] for x in out], type=rep_type), pa.array([x[2] for x in out], pa.int64())], names=["rep", "other", "n"]
+                [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], names=["rep", "other", "n"]
             )
 
         held: list[pa.RecordBatch] = []
-        rep_type = pa.int64()
         for batch in batches:
-            rep_type = batch.schema.field("rep").type
             out: list = []
             table = pa.Table.from_batches([*held, batch])
             keys = np.stack([np.asarray(table.column(c), dtype=np.int64) for c in ("t", "cell", "_a", "_b")], axis=1)
@@ -203,30 +221,29 @@ def _links(cells: DataFrame, cosine: float, window: float, needed: int, seed: in
             meet(pa.Table.from_batches(held), out)
             yield flush(out)
 
-    return shared.mapInArrow(count, f"rep {kind}, other {kind}, n bigint")
+    return shared.mapInArrow(count, "rep binary, other binary, n bigint")
 
 
 def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95, recall: float = 0.97, seed: int = 17) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors``.
 
     A link joins two rows whose cosine is at least ``cosine``; found links are exact, and one at the
-    threshold is found with a chance of ``recall``. Vectors that are null, empty, zero or hold null or
-    non-finite components, and vectors of unequal length, have no link. Rows with equal vectors are
-    linked with each other, also where their ids are equal. component_id is the least id reachable;
-    rows with a null id take no part in it and keep a null component.
+    threshold is found with a chance of ``recall``. Ids are integers. Vectors that are null, empty, zero or
+    hold null or non-finite components, and vectors of unequal length, have no link. Rows with equal vectors
+    are linked with each other, also where their ids are equal. component_id is the least id reachable; rows
+    with a null id are never the least and have a null component.
     """
     base = checkpointed(_folded(vectors, vec_id, embedding))
-    distinct = base.where("key is not null").groupBy("key").agg(F.count("*").alias("w"), F.min("vec_id").alias("rep"), F.first("v").alias("v"))
-    distinct = checkpointed(distinct)
-    # ids of different vectors may be equal or null: the digest names a vector, the id is looked up again
-    named = distinct.select("key", "w", F.col("rep").alias("least_id"))
+    distinct = base.where("key is not null").groupBy("key").agg(F.count("*").alias("w"), F.min("vec_id").alias("least_id"), F.first("v").alias("v"))
+    distinct = checkpointed(distinct.select("key", _name("least_id", "key").alias("rep"), "w", "v"))
     k, tables, window, needed = plan(distinct.count(), cosine, recall)
-    links = checkpointed(_links(_cells(distinct.select(F.col("key").alias("rep"), "w", "v"), k, tables, seed), cosine, window, needed, seed).groupBy("rep", "other").agg(F.sum("n").alias("n")))
-    counts = links.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "key")
-    roots = connected_components(links.select(F.col("rep").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("key"), "root")
-    named = named.join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    known = named.join(least, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component")
+    dealt = checkpointed(_dealt(distinct.select("rep", "w", "v"), k, tables, seed))
+    links = checkpointed(_links(dealt, cosine, window, needed, seed).groupBy("rep", "other").agg(F.sum("n").alias("n")))
+    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
+    # names sort by id, so that the root of a component names its least id
+    roots = connected_components(links.select(F.col("rep").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("rep"), "root")
+    known = distinct.select("key", "rep", "w").join(counts, "rep", "left").join(roots, "rep", "left")
+    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), _id_of(F.coalesce("root", "rep")).alias("component"))
     out = base.select("vec_id", "key").join(known, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
@@ -234,7 +251,3 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
-
-
-#: The brute force; DuckDB computes list_cosine_similarity over doubles.
-OP3_SQL = None
