@@ -139,8 +139,10 @@ def test_model_prefers_its_language(spark):
     got = {r["doc_id"]: r for r in lm_score.scored(df, fold_of("doc_id") != 1).collect()}
     bits = {k: -got[k]["score"] / math.log10(2) / len(t) for k, t in [*docs, *odd]}
     held = [k for k, _ in docs if zlib.crc32(str(k).encode()) % 5 == 1]
-    assert sum(bits[k] for k in held) / len(held) < 2.0
-    assert min(bits[k] for k, _ in odd if zlib.crc32(str(k).encode()) % 5 == 1) > 4
+    own = sum(bits[k] for k in held) / len(held)
+    assert own < 2.0
+    # eight symbols at random hold nearly three bits each, which no model can code in less
+    assert min(bits[k] for k, _ in odd if zlib.crc32(str(k).encode()) % 5 == 1) > max(2.9, own + 1)
 
 
 def test_mixer_is_a_distribution():
