@@ -13,7 +13,8 @@ units only. Tables have a fixed size; partial tables are summed by slices. The m
 SAMPLE units drawn by their frequency, each without its own occurrence.
 
 The unigram counts are exact: frequent words (at most FREQUENT) are broadcast, occurrences of all others are
-joined by word. None of these can be a hot key, since each is rarer than every broadcast word.
+joined by word. None of these can be a hot key, since each is rarer than every broadcast word. The model's
+scores of as many frequent units are made once and broadcast, too; all others are made where they occur.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, fold_ascii, slices
 
-PIECE, SAMPLE, FREQUENT = 1 << 14, 40_000, 1_500_000
+PIECE, SAMPLE, FREQUENT = 1 << 14, 40_000, 250_000
 #: Bits of each predictor's table, and where it begins in the one array of all.
 WIDTHS = (18, 20, 21, 22)
 STARTS = tuple(sum(1 << b for b in WIDTHS[:k]) for k in range(len(WIDTHS)))
@@ -235,11 +236,47 @@ def train(units: DataFrame) -> Mixer:
     return mixer.freeze()
 
 
+def _least_count(df: DataFrame, count: str) -> int:
+    """The least count from which on at most FREQUENT rows lie; large counts are told apart by powers of two."""
+    step = F.when(F.col(count) < 4096, F.col(count)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(count))).cast("bigint"))
+    cut, have = 1 << 62, 0
+    for c, k in sorted(((r["c"], r["k"]) for r in df.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True):
+        if have + k > FREQUENT:
+            break
+        cut, have = c, have + k
+    return cut
+
+
+def _by_hash(found: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and what belongs to them."""
+    h, v = found["h"].to_numpy().view(np.uint64), found[value].to_numpy()
+    order = np.argsort(h)
+    return h[order], v[order]
+
+
+def _found(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted hash."""
+    if not len(hashes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return at, hashes[at] == wanted
+
+
+def unit_scores(units: DataFrame, model) -> DataFrame:
+    """(h, lm) of units under a broadcast model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.log10(batch.column(1).cast(pa.binary()).to_pylist()), pa.float64())], names=["h", "lm"])
+
+    return units.select(F.xxhash64("unit").alias("h"), "unit").mapInArrow(run, "h bigint, lm double")
+
+
 class Words:
     """Numbers of words as they come; with them what was looked up, up to a bounded size."""
 
-    def __init__(self, model: Mixer, hashes: np.ndarray, counts: np.ndarray, n_all: int, distinct: int):
-        self.model, self.hashes, self.counts = model, hashes, counts
+    def __init__(self, model: Mixer, counts: tuple[np.ndarray, np.ndarray], scores: tuple[np.ndarray, np.ndarray], n_all: int, distinct: int):
+        self.model, self.counts, self.scores = model, counts, scores
         self.total = n_all + 0.5 * (distinct + 1)
         self.clear()
 
@@ -257,13 +294,15 @@ class Words:
         for w in new:
             ids[w] = len(ids)
         if new:
-            h = np.fromiter((xxh64_intdigest(w.lower(), 42) for w in new), dtype=np.uint64, count=len(new))
-            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-            known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(new), bool)
-            c = np.where(known, self.counts[at] if len(self.hashes) else 0, 0)
-            self.known = np.concatenate([self.known, known])
-            self.base = np.concatenate([self.base, np.where(known, np.log10((c + 0.5) / self.total), 0.0)])
-            self.lm = np.concatenate([self.lm, self.model.log10(new)])
+            digest = lambda ws: np.fromiter((xxh64_intdigest(w, 42) for w in ws), dtype=np.uint64, count=len(new))
+            at, known = _found(self.counts[0], digest(w.lower() for w in new))
+            base = np.zeros(len(new))
+            base[known] = np.log10((self.counts[1][at[known]] + 0.5) / self.total)
+            at, scored = _found(self.scores[0], digest(new))
+            lm = np.empty(len(new))
+            lm[scored] = self.scores[1][at[scored]]
+            lm[~scored] = self.model.log10([new[k] for k in np.nonzero(~scored)[0].tolist()])
+            self.known, self.base, self.lm = np.concatenate([self.known, known]), np.concatenate([self.base, base]), np.concatenate([self.lm, lm])
         assert len(self.lm) == len(ids) and first <= len(ids)
         take = lambda xs: np.fromiter(map(ids.__getitem__, xs), dtype=np.int64, count=len(xs))
         return take(words), take(gaps)
@@ -287,24 +326,17 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = taught.select(F.lit(1)).count()
     n_all, distinct = n_words + ends, distinct + (ends > 0)
-    # the least count from which on at most FREQUENT words lie; large counts are told apart by powers of two
-    step = F.when(F.col("c") < 4096, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("bigint"))
-    by_count = sorted(((r["c"], r["k"]) for r in words.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    cut, have = 1 << 62, 0
-    for c, k in by_count:
-        if have + k > FREQUENT:
-            break
-        cut, have = c, have + k
-    frequent = words.where(F.col("c") >= cut).select(F.xxhash64("word").alias("h"), "c").toArrow()
-    h, c = frequent["h"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
-    order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((train(units), h[order], c[order]))
+    cut = _least_count(words, "c")
+    counts = _by_hash(words.where(F.col("c") >= cut).select(F.xxhash64("word").alias("h"), "c").toArrow(), "c")
+    model = spark.sparkContext.broadcast(train(units))
+    scores = _by_hash(unit_scores(units.where(F.col("n") >= _least_count(units, "n")), model).toArrow(), "lm")
+    shared = spark.sparkContext.broadcast((counts, scores))
     stop = (ends + 0.5) / (n_units + ends + 1.0)
     end_lm, go_on, which = math.log10(stop), math.log10(1 - stop), math.log10(0.5)
     end_base = math.log10((ends + 0.5) / (n_all + 0.5 * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(*shared.value, n_all, distinct)
+        table = Words(model.value, *shared.value, n_all, distinct)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             n_tokens, n_known, base, lm, rare = [], [], [], [], []
