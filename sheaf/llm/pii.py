@@ -4,15 +4,16 @@ Protected entities are the values that the patterns find. Their windows (WINDOW
 are the units of co-occurrence. For entity e and term t, with n_e the entity's distinct windows,
 n_et those that hold t, df_t the documents that hold t and D all documents:
 
-    IC(e) = log(D / n_e)          PMI(e; t) = log(n_et * D / (n_e * df_t))
+    IC(e) = log(D / n_e)          PMI(e; t) = log(n_et * D / (n_e * (df_t + SMOOTH)))
 
-A term discloses the share PMI / IC of what there is to know about the entity; it is 1 if the term
+A term discloses the share PMI / IC of what there is to know about the entity; it nears 1 if the term
 occurs with the entity only. From GENERALISE on, it is replaced by its class beside the entity, from
-REMOVE on it is dropped. Equal windows count once, so copies prove nothing, and SUPPORT distinct ones
-are needed.
+REMOVE on it is dropped. Every pair counts, however rare the entity: SMOOTH documents that hold the
+term without the entity are assumed besides those seen, so that little evidence weighs less, but is
+not left out. Equal windows count once, so copies prove nothing.
 
-Only windows, not texts, are shuffled. df_t covers every document, but is only asked for terms with
-support: words pass by a bitmap of fixed size, are counted before the shuffle and joined exactly.
+Only windows, not texts, are shuffled. df_t covers every document, but is only asked for terms beside
+entities: words pass by a bitmap of fixed size, are counted before the shuffle and joined exactly.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.util import checkpointed
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.7, 0.9
+WINDOW, SMOOTH, GENERALISE, REMOVE = 6, 2, 0.7, 0.9
 BITMAP = 1 << 22
 BROADCAST_ROWS = 50_000
 
@@ -170,7 +171,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFra
     windows = found.select(F.explode("windows").alias("w")).select("w.entity", "w.window", F.transform("w.terms", lambda x: x["term"]).alias("terms"))
     per_entity = windows.groupBy("entity", "window").agg(F.count("*").alias("k")).groupBy("entity").agg(F.count("*").alias("n_e"))
     each = windows.withColumn("term", F.explode(F.array_distinct("terms"))).groupBy("entity", "term", "window").agg(F.count("*").alias("k"))
-    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = checkpointed(pairs.join(per_entity, "entity"))
     schema = "entity string, term string, disclosed double, action string"
     if pairs.isEmpty():
@@ -178,7 +179,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFra
     total = docs.count()
     known = pairs.join(document_frequency(docs, pairs, text), "term")
     ic = F.log(F.greatest(F.lit(total) / F.col("n_e"), F.lit(1.0)))
-    pmi = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.greatest("df", "n_et")))
+    pmi = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * (F.greatest("df", "n_et") + SMOOTH)))
     known = known.withColumn("disclosed", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosed") >= GENERALISE)
     return checkpointed(known.select("entity", "term", "disclosed", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise").alias("action")))
 

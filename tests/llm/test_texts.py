@@ -57,6 +57,13 @@ def test_copies_prove_nothing(spark):
     assert all(r["term_spans"] is None for r in pii.detect(df).collect())
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    rows = [(0, "please ask zebulon about k@b.org for the key")] + [(k, f"please ask {k} about the key for nobody") for k in range(1, 401)]
+    found = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {rows[0][1][s["start"] : s["end"]] for s in found[0]["term_spans"] or ()} == {"zebulon"}
+    assert not any(found[k]["term_spans"] for k in range(1, 401))
+
+
 def vectors(rng, n, terms):
     out = []
     for _ in range(n):
