@@ -1,19 +1,21 @@
 """Personal data: patterns, and information-theoretic sanitisation of what points at it.
 
-Protected entities are the values that the patterns find. Their windows (WINDOW words on each side)
-are the units of co-occurrence. For entity e and term t, with n_e the entity's distinct windows,
-n_et those that hold t, df_t the documents that hold t and D all documents:
+Protected entities are the values that the patterns find. A term occurs with an entity where it
+stands in its window (WINDOW words on each side). The units are distinct texts, so copies weigh alike
+everywhere and prove nothing. For entity e and term t, with n_e the texts that hold the entity, n_et
+those that hold t beside it, df_t the texts that hold t and D all texts:
 
     IC(e) = log(D / n_e)          PMI(e; t) = log(n_et * D / (n_e * (df_t + SMOOTH)))
 
 A term discloses the share PMI / IC of what there is to know about the entity; it nears 1 if the term
 occurs with the entity only. From GENERALISE on, it is replaced by its class beside the entity, from
-REMOVE on it is dropped. Every pair counts, however rare the entity: SMOOTH documents that hold the
+REMOVE on it is dropped. Every pair counts, however rare the entity: SMOOTH texts that hold the
 term without the entity are assumed besides those seen, so that little evidence weighs less, but is
-not left out. Equal windows count once, so copies prove nothing.
+not left out.
 
-Only windows, not texts, are shuffled. df_t covers every document, but is only asked for terms beside
-entities: words pass by a bitmap of fixed size, are counted before the shuffle and joined exactly.
+Windows, not texts, are shuffled. df_t covers every text, but is only asked for terms beside entities:
+words pass by a bitmap of fixed size, are counted before the shuffle and joined exactly. A second
+bitmap tells the texts that may have copies: the words of those are shuffled, once a task and text.
 """
 
 from __future__ import annotations
@@ -80,8 +82,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def windows_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, list[tuple[str, int, int]]]]:
-    """(entity, digest of the window, terms with their place) for each span."""
+def windows_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(entity, terms with their place) for each span."""
     taken, out = [(s, e) for s, _, e in spans], []
     for s, kind, e in spans:
         value = text[s:e].lower() if kind < 2 else "".join(_DIGITS.findall(text[s:e]))
@@ -93,8 +95,7 @@ def windows_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
             if len(after) == WINDOW:
                 break
         terms = [(m[0].lower(), m.start(), m.end()) for m in (*before, *after) if not any(a < m.end() and m.start() < b for a, b in taken)]
-        digest = int.from_bytes(md5(" ".join(t for t, _, _ in terms).encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
-        out.append((f"{KINDS[kind]}:{value}", digest, terms))
+        out.append((f"{KINDS[kind]}:{value}", terms))
     return out
 
 
@@ -102,7 +103,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_FOUND = "text_key binary, base array<struct<start:int,kind:int,end:int>>, windows array<struct<entity:string,window:bigint,terms:array<struct<term:string,start:int,end:int>>>>"
+_FOUND = "text_key binary, base array<struct<start:int,kind:int,end:int>>, windows array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,65 +120,92 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
                 spans = base_spans(value)
                 keys.append(md5(value.encode("utf-8", "surrogatepass")).digest())
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                windows.append([{"entity": n, "window": w, "terms": [{"term": t, "start": s, "end": e} for t, s, e in ts]} for n, w, ts in (windows_of(value, spans) if spans else ())])
+                windows.append([{"entity": n, "terms": [{"term": t, "start": s, "end": e} for t, s, e in ts]} for n, ts in (windows_of(value, spans) if spans else ())])
             kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
             term = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-            window = pa.struct([("entity", pa.string()), ("window", pa.int64()), ("terms", pa.list_(term))])
+            window = pa.struct([("entity", pa.string()), ("terms", pa.list_(term))])
             yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary()), pa.array(bases, pa.list_(span)), pa.array(windows, pa.list_(window))], names=[*rest, "text_key", "base", "windows"])
 
     return docs.mapInArrow(search, schema)
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df) over all documents for the given terms that occur."""
-    slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(BITMAP)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()  # BITMAP at most
+def _gate(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap, packed, of the slots that the values fall in."""
+    slots = values.select(F.pmod(F.xxhash64(column), F.lit(BITMAP)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()  # BITMAP at most
     gate = np.zeros(BITMAP, dtype=bool)
     gate[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(gate))
+    return np.packbits(gate)
+
+
+def document_frequency(docs: DataFrame, copied: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df) over all distinct texts for the given terms that occur; copied: the text_key of texts that occur again."""
+    shared = docs.sparkSession.sparkContext.broadcast((_gate(terms, "term"), _gate(copied, "text_key")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        bits = np.unpackbits(shared.value).astype(bool)
+        bits, again = (np.unpackbits(x).astype(bool) for x in shared.value)
         known: dict[str, bool] = {}
         total: Counter[str] = Counter()
+        first = b""  # the key of a text in total: it has no copies, so no other rows have it
+
+        out: list[tuple[bytes, list[str], list[int]]] = []
+
+        def add(key: bytes, words: list[str], counts: list[int]) -> int:
+            out.extend((key + k.to_bytes(4, "big"), words[k : k + 20_000], counts[k : k + 20_000]) for k in range(0, len(words), 20_000))
+            return len(words)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-            total.clear()
-            return out
+            arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["key", "terms", "counts"])
 
+        waiting = 0
         for batch in batches:
             for x in batch.column(0):
-                for w in set(_WORD.findall((x.as_py() or "").lower())):
+                value, held = x.as_py() or "", []
+                for w in set(_WORD.findall(value.lower())):
                     hit = known.get(w)
                     if hit is None:
                         if len(known) > 300_000:
                             known.clear()
                         hit = known[w] = bool(bits[xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) % BITMAP])
                     if hit:
-                        total[w] += 1
-                if len(total) > 200_000:
+                        held.append(w)
+                key = md5(value.encode("utf-8", "surrogatepass")).digest()
+                if again[xxh64_intdigest(key, seed=42) % BITMAP]:
+                    waiting += add(key, sorted(held), [1] * len(held))
+                else:
+                    first = first or key
+                    total.update(held)
+                    if len(total) > 200_000:
+                        waiting += add(first, list(total), list(total.values()))
+                        total.clear()
+                        first = b""
+                if waiting > 200_000:
                     yield flush()
+                    waiting = 0
+        add(first, list(total), list(total.values()))
         yield flush()
 
-    counted = docs.select(text).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
-    return counted.join(terms.select("term").distinct(), "term")
+    once = docs.select(text).mapInArrow(count, "key binary, terms array<string>, counts array<bigint>").dropDuplicates(["key"])
+    each = once.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosed, action) of the terms that exceed a threshold."""
-    windows = found.select(F.explode("windows").alias("w")).select("w.entity", "w.window", F.transform("w.terms", lambda x: x["term"]).alias("terms"))
-    per_entity = windows.groupBy("entity", "window").agg(F.count("*").alias("k")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    each = windows.withColumn("term", F.explode(F.array_distinct("terms"))).groupBy("entity", "term", "window").agg(F.count("*").alias("k"))
-    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = checkpointed(pairs.join(per_entity, "entity"))
+    windows = found.select("text_key", F.explode("windows").alias("w")).select("text_key", "w.entity", F.transform("w.terms", lambda x: x["term"]).alias("terms"))
+    per_entity = windows.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    each = windows.select("entity", "text_key", F.explode("terms").alias("term")).distinct()
+    pairs = checkpointed(each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(per_entity, "entity"))
     schema = "entity string, term string, disclosed double, action string"
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    total = docs.count()
-    known = pairs.join(document_frequency(docs, pairs, text), "term")
+    texts = checkpointed(found.groupBy("text_key").agg(F.count("*").alias("n")))
+    total = texts.count()
+    known = pairs.join(document_frequency(docs, texts.where("n > 1"), pairs, text), "term")
     ic = F.log(F.greatest(F.lit(total) / F.col("n_e"), F.lit(1.0)))
     pmi = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * (F.greatest("df", "n_et") + SMOOTH)))
     known = known.withColumn("disclosed", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosed") >= GENERALISE)

@@ -64,6 +64,17 @@ def test_terms_of_an_entity_seen_once(spark):
     assert not any(found[k]["term_spans"] for k in range(1, 401))
 
 
+def test_copies_hide_nothing(spark):
+    rows = [(k, f"please write {'abc'[k] * 5} to zorblax mail a@b.org {'abc'[k] * 4} here") for k in range(3)]
+    rows += [(1000 + k, rows[0][1]) for k in range(300)] + [(2000 + k, f"please write {k} mail here aaaaa bbbbb ccccc aaaa bbbb cccc") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    found = pii.find(df)
+    frequency = pii.document_frequency(df, found.groupBy("text_key").count().where("count > 1"), spark.createDataFrame([("zorblax",), ("mail",)], "term string"))
+    assert {r["term"]: r["df"] for r in frequency.collect()} == {"zorblax": 3, "mail": 403}
+    spans = {r["doc_id"]: r["term_spans"] for r in pii.detect(df).collect()}
+    assert {rows[k][1][s["start"] : s["end"]] for k in range(3) for s in spans[k] or ()} == {"zorblax"} and spans[1299] == spans[0]
+
+
 def vectors(rng, n, terms):
     out = []
     for _ in range(n):
