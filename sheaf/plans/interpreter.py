@@ -9,11 +9,11 @@ field that refers to another collection a left join. Nothing is read until the r
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,10 @@ class EvalError(ValueError):
     pass
 
 
+class TooMany(EvalError):
+    pass
+
+
 @dataclass(frozen=True)
 class Value:
     """A column, its type, and the sets whose rows it needs; const: its value where it is a literal."""
@@ -195,11 +199,40 @@ class Interpreter:
     def materialised(self, s: SetValue) -> Value:
         rows = self.result(replace(s, set=s.set.page_size(MOST + 1))).data
         if len(rows) > MOST:
-            raise EvalError(f"a set of more than {MOST} elements as an array")
+            raise TooMany(f"a set of more than {MOST} elements as an array")
         kind = s.columns["value"][1] if s.single else T.StructType([T.StructField(n, k) for n, (_, k) in s.columns.items()])
         df = self.spark.createDataFrame([(rows if s.single else [tuple(r.get(n) for n in s.columns) for r in rows],)], T.StructType([T.StructField("v", T.ArrayType(kind))]))
         return Value(F.from_json(F.lit(df.select(F.to_json("v")).first()[0]), T.ArrayType(kind)), T.ArrayType(kind))
 
+    def stream(self, s: SetValue) -> Iterator[Any]:
+        """All elements in order, a partition at a time: values, or objects by name."""
+        df = s.set.to_df().select(*[F.col(c).alias(n) for n, (c, _) in s.columns.items()])
+        for r in df.toLocalIterator(prefetchPartitions=True):
+            yield r["value"] if s.single else r.asDict()
+
+    def folded(self, name: str, s: SetValue, args: list) -> Value:
+        """A fold over a set of any size: MOST elements at a time, each fold going on from the last one's value."""
+        kind = s.columns["value"][1] if s.single else T.StructType([T.StructField(n, k) for n, (_, k) in s.columns.items()])
+        elements = self.stream(s.but(s.set.reverse(), "reverse") if name.endswith("Right") else s)
+        seeded, carried, held = name in ("fold", "foldRight"), args[0], T.NullType()
+        value = None
+        while chunk := [x if s.single else tuple(x.values()) for x in itertools.islice(elements, MOST)]:
+            if seeded:
+                out = self.over_array("fold", Value(F.col("v"), T.ArrayType(kind)), [carried, args[1]])
+            else:
+                chunk = chunk if value is None else [value[0], *chunk]
+                out = self.over_array("reduce", Value(F.col("v"), T.ArrayType(kind)), [args[-1]])
+            schema = T.StructType([T.StructField("v", T.ArrayType(kind)), T.StructField("a", held)])
+            value = (self.spark.createDataFrame([(chunk, value[0] if value and seeded else None)], schema).select(out.c.alias("value")).first()["value"],)
+            carried, held = Value(F.col("a"), out.kind), out.kind
+        nested = isinstance(value[0], (Row, list))
+        schema = T.StructType([T.StructField("v", held)])
+        c = F.from_json(F.lit(self.spark.createDataFrame([value], schema).select(F.to_json(F.struct("v"))).first()[0]), schema)["v"] if nested else F.lit(value[0]).cast(held)
+        result = Value(c, held)
+        if name == "aggregate":
+            return self.over_array(name, Value(F.array(result.c), T.ArrayType(kind)), args)
+        return result
+
     # evaluation
 
     def evaluate(self, node, env: dict) -> Any:
@@ -590,9 +623,13 @@ class Interpreter:
         if name == "toArray":
             return self.materialised(s)
         if name in ("fold", "foldRight", "reduce", "reduceRight", "aggregate"):
-            return self.over_array(name, self.materialised(s), args)
+            try:
+                elements = self.materialised(s)
+            except TooMany:
+                return self.folded(name, s, args)
+            return self.over_array(name, elements, args)
         if name == "forEach":
-            for x in self.result(replace(s, set=s.set.page_size(MOST))).data:
+            for x in self.stream(s):
                 args[0](self.lit(x) if not isinstance(x, (dict, list)) else x)
             return self.lit(None)
         if name == "paginate":

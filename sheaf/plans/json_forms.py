@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.functions import arrays as A
 from sheaf.functions import dates as D
@@ -24,6 +27,9 @@ from sheaf.operators.ordered import Ordered
 from sheaf.sources.catalog import Catalog
 
 
+CHUNK = 16_000  # elements of a set that a fold takes at a time
+
+
 class FormError(ValueError):
     pass
 
@@ -229,11 +235,26 @@ class Forms:
     def form_reduce(self, form, env):
         f, seed, c = self.evaluate(form["reduce"], env), self.evaluate(form["initial"], env), self.evaluate(form["collection"], env)
         if isinstance(c, Elements):
-            c = self.array(c)
+            try:
+                return self.folded(f, _c(seed), c)
+            except AnalysisException:  # the lambda reads a row around it, so the array must stand there
+                c = [r[0] if len(c.values) == 1 else list(r) for r in c.ordered().rows()]
         return A.fold(_c(c), _c(seed), lambda a, x: _c(f(a, x)))
 
-    def array(self, c: Elements) -> list:
-        return [r[0] if len(c.values) == 1 else list(r) for r in c.ordered().take(100_000).df.collect()]
+    def folded(self, f: Callable, seed: Column, c: Elements) -> Column:
+        """A fold over a set of any size: CHUNK elements at a time, each fold going on from the last one's value."""
+        df = c.ordered().to_df().select((F.col(c.values[0]) if len(c.values) == 1 else F.array(*c.values)).alias("x"))
+        element, one = df.schema["x"].dataType, self.spark.range(1)
+        held = one.select(seed.alias("a")).schema["a"].dataType
+        for _ in range(2):  # the value may be wider than the seed
+            held = one.select(F.lit(None).cast(held).alias("a"), F.lit(None).cast(element).alias("x")).select(_c(f(F.col("a"), F.col("x"))).alias("a")).schema["a"].dataType
+        value = one.select(seed.cast(held).alias("a")).first()["a"]
+        schema = T.StructType([T.StructField("v", T.ArrayType(element)), T.StructField("a", held)])
+        elements = (r["x"] for r in df.toLocalIterator(prefetchPartitions=True))
+        while chunk := list(islice(elements, CHUNK)):
+            rows = self.spark.createDataFrame([(chunk, value)], schema)
+            value = rows.select(A.fold(F.col("v"), F.col("a"), lambda a, x: _c(f(a, x)).cast(held)).alias("a")).first()["a"]
+        return _c(value.asDict(True) if isinstance(value, Row) else value).cast(held)
 
     def _sized(self, name: str, signed: Callable, form, env):
         n, c = self.evaluate(form[name], env), self.evaluate(form["collection"], env)

@@ -47,6 +47,7 @@ text("x_strings", "Part.all().map(p => { id: p.id, a: p.name.toUpperCase().slice
 text("x_numbers", "Part.all().map(p => { id: p.id, a: p.size / 7, b: p.size % 7, c: p.size ** 2, d: Math.max(p.size, 25), e: (p.size & 12) | 1, f: Math.floor(p.price) })", "SELECT p_partkey AS id, CAST(p_size // 7 AS BIGINT) AS a, p_size % 7 AS b, CAST(p_size * p_size AS BIGINT) AS c, CAST(greatest(p_size, 25) AS BIGINT) AS d, CAST((p_size & 12) | 1 AS BIGINT) AS e, CAST(floor(p_price) AS BIGINT) AS f FROM (SELECT *, p_retailprice AS p_price FROM part)")
 text("x_arrays", "Part.where(.size < 6).map(p => { id: p.id, a: Array.sequence(0, p.size).map(i => i * 2).filter(.mod2 != 1).length })".replace(".filter(.mod2 != 1)", ".filter(i => i % 4 == 0)"), "SELECT p_partkey AS id, CAST((p_size + 1) // 2 AS INT) AS a FROM part WHERE p_size < 6")
 text("x_fold", "[5, 3, 9].fold(0, (a, x) => a * 10 + x) + Set.sequence(1, 5).toArray().reduce((a, b) => a + b)", "SELECT 549::BIGINT AS value")
+text("x_fold_orders", "Order.all().fold(7, (a, o) => (a * 31 + o.customer) % 1000003)", "SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS value FROM orders")
 text("x_blocks", "let f = (a, b) => a - b\nlet o = { x: 7, y: [1, 2] }\nf(o.x, o.y[1]) * (if (o.y.includes(3)) 1 else 10)", "SELECT 50::BIGINT AS value")
 text("x_dates", "Order.where(.id < 200).map(o => { id: o.id, y: Date('2024-02-28').add(2, 'days').dayOfMonth, t: Time('2024-01-01T00:00:00Z').add(o.id, 'hours').toSeconds() })", "SELECT o_orderkey AS id, 1 AS y, 1704067200 + o_orderkey * 3600 AS t FROM orders WHERE o_orderkey < 200")
 text("x_aggregates", "{ n: Order.byStatus('F').count(), any: Order.all().any(.total > 1000), every: Customer.all().every(.balance > 0), mean: Math.mean(Part.all().map(.size)), sum: Math.sum(Part.all().map(.size)) }", "SELECT struct_pack(n := (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), \"any\" := true, every := (SELECT min(c_acctbal) > 0 FROM customer), mean := (SELECT sum(p_size) // count(*) FROM part), sum := (SELECT sum(p_size) FROM part)) AS value")
@@ -103,3 +104,8 @@ form(
     }},
     "SELECT 3 AS a, 8 AS b, 15 AS c, 6 AS d, -6 AS e, 2 AS f, 9 AS g, 3 AS h, 9.0::DOUBLE AS i, 5.0::DOUBLE AS j, -1 AS k, 2.7::DOUBLE AS l, true AS m, false AS n, true AS o, true AS p, true AS q, false AS r, 1704072600::BIGINT AS s, 5000::BIGINT AS t, 2 AS u, 12::BIGINT AS v, '7' AS w, 2024 AS x, 8 AS y, 61 AS z",
 )
+form(
+    "v4_reduce_orders",
+    {"object": {"folded": {"reduce": {"lambda": ["a", "x"], "expr": {"modulo": [{"add": [{"multiply": [{"var": "a"}, 31]}, {"var": "x"}]}, 1000003]}}, "initial": 7, "collection": {"documents": {"collection": "Order"}}}}},
+    "SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_orderkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded FROM orders",
+)

@@ -13,7 +13,7 @@ from sheaf.functions import types as Y
 from sheaf.operators import setops as X
 from sheaf.operators.ordered import Ordered
 from sheaf.plans.interpreter import EvalError, Interpreter
-from sheaf.plans.json_forms import FormError, Forms
+from sheaf.plans.json_forms import Elements, FormError, Forms
 from sheaf.plans.syntax import ParseError, parse
 from sheaf.sources import export, versions
 from sheaf.sources.catalog import Catalog, Collection, Index
@@ -183,6 +183,33 @@ def test_language_sets(people):
             parse(bad)
 
 
+def test_folds_of_whole_sets(people, monkeypatch):
+    want, wanted = 7, 7
+    for x in range(40_000):
+        want, wanted = (want * 31 + x) % 1000003, (wanted * 31 + 39_999 - x) % 1000003
+    it = Interpreter(people.spark, people)
+    step = "(a, x) => (a * 31 + x) % 1000003"
+    assert it.run(f"Set.sequence(0, 40000).fold(7, {step})") == want
+    assert it.run(f"Set.sequence(0, 40000).foldRight(7, {step})") == wanted
+    assert it.run("Set.sequence(0, 40000).reduce((a, x) => if (a > x) a else x)") == 39_999
+    assert it.run("Set.sequence(0, 40000).reduceRight((a, x) => a - x)") == 39_999 - sum(range(39_999))
+    assert it.run("Set.sequence(0, 40000).aggregate(5, (a, x) => a + x)") == 5 + sum(range(40_000))
+    monkeypatch.setattr("sheaf.plans.interpreter.MOST", 2)
+    seen = []
+    it.on_set(it.evaluate(parse("Set.sequence(0, 50)"), {}), "forEach", [seen.append])
+    assert [v.const for v in seen] == list(range(50))
+    assert it.run("Person.all().fold(0, (a, p) => a * 10 + p.id)") == 1234
+    # more than an array of a set ever held
+    many = Forms(people.spark, people)
+    numbers = Elements(people.spark.range(100_010), ("id",))
+    f = lambda a, x: (a * F.lit(31) + x) % 1000003
+    got = many.form_reduce({"reduce": {"var": "f"}, "initial": 7, "collection": {"var": "c"}}, {"f": f, "c": numbers})
+    want = 7
+    for x in range(100_010):
+        want = (want * 31 + x) % 1000003
+    assert people.spark.range(1).select(got).first()[0] == want
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [30], "after": 40}
