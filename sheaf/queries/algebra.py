@@ -37,6 +37,13 @@ def flatmap_array(spark, d):
     return s.explode(F.array("l_returnflag", "l_linestatus"), "flag").df.select("l_orderkey", "flag", "flag_at")
 
 
+@query("SELECT l_orderkey, unnest([l_returnflag, l_linestatus]) AS flag, unnest([0, 1])::INT AS flag_at FROM lineitem")
+def flatmap_array_whole(spark, d):
+    """The same over all line items."""
+    s = Ordered.of(table(spark, d, "lineitem"), "l_orderkey")
+    return s.explode(F.array("l_returnflag", "l_linestatus"), "flag").df.select("l_orderkey", "flag", "flag_at")
+
+
 @query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 10)")
 def join_dedup(spark, d):
     """An index join: equal target elements are one."""

@@ -50,6 +50,7 @@ text("x_fold", "[5, 3, 9].fold(0, (a, x) => a * 10 + x) + Set.sequence(1, 5).toA
 text("x_fold_orders", "Order.all().fold(7, (a, o) => (a * 31 + o.customer) % 1000003)", "SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS value FROM orders")
 text("x_blocks", "let f = (a, b) => a - b\nlet o = { x: 7, y: [1, 2] }\nf(o.x, o.y[1]) * (if (o.y.includes(3)) 1 else 10)", "SELECT 50::BIGINT AS value")
 text("x_dates", "Order.where(.id < 200).map(o => { id: o.id, y: Date('2024-02-28').add(2, 'days').dayOfMonth, t: Time('2024-01-01T00:00:00Z').add(o.id, 'hours').toSeconds() })", "SELECT o_orderkey AS id, 1 AS y, 1704067200 + o_orderkey * 3600 AS t FROM orders WHERE o_orderkey < 200")
+text("x_dates_whole", "Order.all().map(o => { id: o.id, y: Date('2024-02-28').add(2, 'days').dayOfMonth, t: Time('2024-01-01T00:00:00Z').add(o.id, 'hours').toSeconds() })", "SELECT o_orderkey AS id, 1 AS y, 1704067200 + o_orderkey * 3600 AS t FROM orders")
 text("x_aggregates", "{ n: Order.byStatus('F').count(), any: Order.all().any(.total > 1000), every: Customer.all().every(.balance > 0), mean: Math.mean(Part.all().map(.size)), sum: Math.sum(Part.all().map(.size)) }", "SELECT struct_pack(n := (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), \"any\" := true, every := (SELECT min(c_acctbal) > 0 FROM customer), mean := (SELECT sum(p_size) // count(*) FROM part), sum := (SELECT sum(p_size) FROM part)) AS value")
 
 

@@ -136,6 +136,14 @@ def fold_ordered(spark, d):
     return spark.createDataFrame([(s.fold(7, step), s.fold_right(7, step))], "folded bigint, folded_right bigint")
 
 
+@query("SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded, CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey DESC)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded_right FROM orders")
+def fold_ordered_whole(spark, d):
+    """The same over all orders."""
+    s = ordered(spark, d, "orders", "o_orderkey")
+    step = lambda a, r: (a * 31 + r["o_custkey"]) % 1000003
+    return spark.createDataFrame([(s.fold(7, step), s.fold_right(7, step))], "folded bigint, folded_right bigint")
+
+
 @query("SELECT r_name, array_to_string(list(n_name ORDER BY n_name), ',') AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def to_array_per_group(spark, d):
     both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -69,13 +69,13 @@ def feed_second_page(spark, d):
     return spark.createDataFrame([(r["id"], r["ord"]) for r in page], "id bigint, ord bigint")
 
 
-def membership(spark, d, kind: str):
-    """Add and remove events: a user is in the set of a kind while the last event of the day was of it."""
+def membership(spark, d, *kinds: str):
+    """Add and remove events: a user is in the set of some kinds while the last event of the day was of one of them."""
     e = table(spark, d, "events").select((F.col("user_id") % 50).alias("k"), F.to_date("ts").alias("ts"), "event_type", "event_id")
     last = e.groupBy("k", "ts").agg(F.max_by("event_type", "event_id").alias("t"))
     from pyspark.sql import Window as W
 
-    last = last.withColumn("in", F.col("t") == kind).withColumn("was", F.coalesce(F.lag("in").over(W.partitionBy("k").orderBy("ts")), F.lit(False)))
+    last = last.withColumn("in", F.col("t").isin(*kinds)).withColumn("was", F.coalesce(F.lag("in").over(W.partitionBy("k").orderBy("ts")), F.lit(False)))
     return last.where("`in` <> was").select("k", "ts", F.when(F.col("in"), "add").otherwise("remove").alias("action"))
 
 
@@ -104,3 +104,9 @@ def historical_difference(spark, d):
 def historical_intersection(spark, d):
     both = X.historical({"a": membership(spark, d, "click"), "b": membership(spark, d, "view")}, ["k"], "intersection")
     return both.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT k, ts, CASE WHEN now THEN 'add' ELSE 'remove' END AS action FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY k ORDER BY ts), false) AS was FROM (SELECT k, ts, t = 'view' AS now FROM {DAYS})) WHERE now <> was")
+def historical_intersection_rows(spark, d):
+    """Two sets that overlap: a user is in both while the last event was a view."""
+    return X.historical({"a": membership(spark, d, "click", "view"), "b": membership(spark, d, "view", "purchase")}, ["k"], "intersection")
