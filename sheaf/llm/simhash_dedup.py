@@ -1,12 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints within 2 bits are linked. Each of the two 32-bit segments has a table; a fingerprint is
-entered under every member of the Hamming ball of radius 1 in that segment (the other segment
-unchanged). Two fingerprints within 2 bits meet in a table: both differing bits in one segment, or one
-in each, leave a common member half-way; and any two that meet are 2 bits apart at most, which is
-verified on the whole fingerprints. An entry is reached by at most 65 fingerprints, so no bucket grows
-with a group of copies, and linking each fingerprint with the one before it in its bucket keeps all
-links' components without listing pairs.
+Fingerprints within RADIUS = 2 bits are linked. A fingerprint is entered in SEGMENTS = 2 tables, one for
+each 32-bit segment, under that segment's value. Two fingerprints within 2 bits differ by 1 bit at most in
+one of the segments, so one of them finds the other in that segment's table when it looks up all members
+of the Hamming ball of radius 1 around its own value; a ball's member is only looked up from the side that
+has the lesser value, which finds each pair all the same. What the tables return is verified by the distance
+of the whole fingerprints.
+
+A segment's value that more than BUCKET fingerprints share is hot: its matches would grow with the square
+of the group. There the lookup goes on into the other segment. Members of the bucket itself are entered
+under every member of the ball of radius 1 in the other segment, where two within 2 bits meet, 33 at most
+in one place; linking each with the one before it keeps all links' components without listing pairs. A
+lookup from a neighbouring value leaves 1 bit for the other segment: 33 whole fingerprints are asked for.
 
 Equal fingerprints are folded first. Components are found by checkpointed rounds on the links.
 """
@@ -21,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, connected_components
+from sheaf.llm.util import checkpointed, connected_components, packed, unpacked
 
-SHINGLE, SEED, RADIUS = 3, 42, 2
+SHINGLE, SEED, RADIUS, BUCKET = 3, 42, 2, 128
 
 
 def fingerprint(text: str | None) -> int:
@@ -57,15 +62,40 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "fp bigint"]))
 
 
+def _ball(value, member) -> F.Column:
+    """The members of the Hamming ball of radius 1 around a 32-bit value that ``member`` accepts (value, bit)."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b))
+    return F.concat(F.array(value), F.transform(F.filter(bits, lambda b: member(value, b)), lambda b: value.bitwiseXOR(b)))
+
+
+def _whole(seg, value, other) -> F.Column:
+    """The fingerprint that has ``value`` in segment ``seg`` and ``other`` in the other one."""
+    high, low = F.when(seg == 0, value).otherwise(other), F.when(seg == 0, other).otherwise(value)
+    return F.call_function("shiftleft", high, F.lit(32)).bitwiseOR(low)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v) of fingerprints within RADIUS bits that keep the components of all such pairs."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
-    balls = F.concat(F.array("fp"), flips)  # of both segments: bits 0 to 31, and 32 to 63
-    entries = distinct.select("fp", F.explode(balls).alias("entry"))
-    before = F.lag("fp").over(W.partitionBy("entry").orderBy("fp"))
-    met = entries.select("fp", before.alias("other")).where("other is not null and fp <> other")
-    verified = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
-    return verified.select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
+    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    entry = lambda seg, value, other: F.struct(F.lit(seg).alias("seg"), value.alias("value"), other.alias("other"))
+    tables = distinct.select("fp", F.explode(F.array(entry(0, high, low), entry(1, low, high))).alias("e")).select("fp", "e.*")
+    hot = checkpointed(tables.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("seg", "value"))
+    up = _ball(F.col("value"), lambda v, b: v.bitwiseAND(b) == 0)  # a pair meets from the side that lacks the bit
+    lookups = tables.select("fp", "seg", F.explode(up).alias("value"), "other", F.col("value").alias("own"))
+    some = not hot.isEmpty()
+    entered = tables.join(hot, ["seg", "value"], "left_anti") if some else tables
+    met = lookups.join(entered.select("seg", "value", F.col("fp").alias("v")), ["seg", "value"]).select(F.col("fp").alias("u"), "v")
+    if some:
+        crowd = tables.join(hot, ["seg", "value"], "left_semi")
+        ball = _ball(F.col("other"), lambda v, b: F.lit(True))
+        spread = crowd.select("fp", F.explode(F.transform(ball, lambda x: _whole(F.col("seg"), F.col("value"), x))).alias("place"), "seg")
+        before = F.lag("fp").over(W.partitionBy("seg", "place").orderBy("fp"))
+        met = met.unionByName(spread.select(F.col("fp").alias("u"), before.alias("v")).where("v is not null"))
+        near = lookups.where("value <> own").join(hot, ["seg", "value"], "left_semi")
+        asked = near.select(F.col("fp").alias("u"), F.explode(F.transform(ball, lambda x: _whole(F.col("seg"), F.col("value"), x))).alias("v"))
+        met = met.unionByName(asked.join(distinct.select(F.col("fp").alias("v")), "v").select("u", "v"))
+    verified = met.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
+    return verified.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,9 +118,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Documents without an id stay.
     """
-    found = classes(docs, doc_id, text)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[doc_id] == F.col("_lost"), "left_anti")
+    columns = docs.columns
+    lost = classes(docs, doc_id, text).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = packed(docs, "row", F.col(doc_id).alias("doc_id")).join(lost, "doc_id", "left_anti")
+    return unpacked(kept, "row", columns)
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:

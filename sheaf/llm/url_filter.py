@@ -7,19 +7,25 @@ that key; a sweep keeps the stack of the rules whose interval is open, and the l
 whose path starts the URL's path decides.
 
 The sort is dealt by ranges of (key, salt), so a host or a URL that holds a third of all rows is cut
-into several ranges. A range that begins inside intervals is handed their rules: those are the
-prefixes of its first key, found by a join on equal keys, a few for each range.
+into several ranges. The ranges' ends are quantiles of a sample whose size follows from the number of
+ranges. A rule is sent, as a row, to every range that its interval meets, so each sweep begins with the
+rules that are open there; all others go to one range only.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, fold_ascii
+from sheaf.llm.util import fold_ascii, packed, unpacked, with_fields
+
+#: Rows sampled for each range, to cut the sorted line into ranges of like size.
+SAMPLED = 40
 
 RULES = [
     ("com", "/", "allow"),
@@ -84,61 +90,59 @@ def url_filter(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     ``rules`` has host, path and action. The longest fitting rule wins (the length of host and path
     together, then that of the host). No fitting rule: rule is null and verdict is ``default``. A null
     URL has an empty host and path, which no rule fits. Repeated rows stay. Input columns of the four
-    names are replaced. Of rules with equal host and path one is used, the one whose action sorts last;
+    names are replaced, any others stay as they are. Of rules with equal host and path one is used, the one whose action sorts last;
     rules with a null part or an empty host are void. An empty table gives no rows.
     """
+    spark = urls.sparkSession
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     rules = rules.where("host <> '' and path is not null and action is not null")
-    rules = rules.groupBy(fold_ascii(F.col("host")).alias("_rh"), F.col("path").alias("_rp")).agg(F.max("action").alias("_ra"))
-    rules = rules.withColumn("_key", host_key(F.col("_rh")))
-    dealt = split_url(urls.select(*keep), url)
-    dealt = dealt.withColumns({"_key": host_key(F.col("host")), "_salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int")})
-    events = dealt.unionByName(rules.withColumn("_salt", F.lit(-1)), allowMissingColumns=True)
-    events = checkpointed(events.repartitionByRange("_key", "_salt").sortWithinPartitions("_key", "_salt"))
-
-    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = next((b for b in batches if b.num_rows), None)
-        for _ in batches:
-            pass
-        if first is not None:
-            yield pa.RecordBatch.from_pydict({"_range": pa.array([TaskContext.get().partitionId()], pa.int32()), "_first": first.column("_key")[:1]})
-
-    starts = events.select("_key").mapInArrow(first_keys, "_range int, _first string")
-    labels = F.split("_first", "\0")
-    prefixes = starts.select(
-        "_range",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "\0"), F.lit("\0")))).alias("_key"),
-    )
-    carried: dict[int, list[tuple[str, str, str, str]]] = {}
-    for r in prefixes.join(rules, "_key").orderBy("_range", F.length("_key"), "_rp").collect():  # a few for each range
-        carried.setdefault(r["_range"], []).append((r["_key"], r["_rh"], r["_rp"], r["_ra"]))
+    rules = rules.groupBy(fold_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("action").alias("action"))
+    rules = rules.withColumn("key", host_key(F.col("rule_host")))
+    dealt = split_url(packed(urls.select(*(F.col(f"`{c}`") for c in keep)), "row", F.col(url).alias("url")), "url")
+    dealt = dealt.select("row", "host", "path", host_key(F.col("host")).alias("key"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("salt"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = split_url(urls.select(F.col(url).alias("url")), "url").select(host_key(F.col("host")).alias("key"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("salt"))
+    few = few.orderBy(F.xxhash64("salt", "key")).limit(SAMPLED * ranges).collect()  # SAMPLED for each range
+    line = sorted((r["key"], r["salt"]) for r in few)
+    ends = sorted({line[k * len(line) // ranges] for k in range(1, ranges)}) if line else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect_right(ends, x) for x in zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist())]
+            yield batch.append_column("range", pa.array(at, pa.int32()))
 
-    out = [*keep, "host", "path"]
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # all keys that begin with a rule's key lie between it and the key with its last NUL made greater
+            spans = [(bisect_left(ends, (k, -1)), bisect_left(ends, (k[:-1] + "\x01", -1))) for k in batch.column("key").to_pylist()]
+            rows = np.repeat(np.arange(batch.num_rows), [y - x + 1 for x, y in spans])
+            yield batch.take(pa.array(rows)).append_column("range", pa.array([r for x, y in spans for r in range(x, y + 1)], pa.int32()))
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    dealt = dealt.mapInArrow(deal, with_fields(dealt, "range int"))
+    rules = rules.withColumn("salt", F.lit(-1))
+    rules = rules.mapInArrow(spread, with_fields(rules, "range int"))
+    events = dealt.unionByName(rules, allowMissingColumns=True)
+    events = events.repartitionByRange(ranges, "range").sortWithinPartitions("range", "key", "salt")
 
-        stack = Stack(default)
-        for rule in carried.get(TaskContext.get().partitionId(), ()):
-            stack.open(*rule)
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, now = Stack(default), None
         for batch in batches:
-            salts, keys, paths = (batch.column(c).to_pylist() for c in ("_salt", "_key", "path"))
+            salts, keys, paths, places = (batch.column(c).to_pylist() for c in ("salt", "key", "path", "range"))
             is_url, found = [], []
             for k, (salt, key) in enumerate(zip(salts, keys)):
+                if places[k] != now:
+                    stack, now = Stack(default), places[k]
                 is_url.append(salt >= 0)
                 if salt >= 0:
                     found.append(stack.judge(key, paths[k]))
                 else:
-                    stack.open(key, *(batch.column(c)[k].as_py() for c in ("_rh", "_rp", "_ra")))
-            own = batch.select(out).filter(pa.array(is_url, pa.bool_()))
+                    stack.open(key, *(batch.column(c)[k].as_py() for c in ("rule_host", "rule_path", "action")))
+            own = batch.select(["row", "host", "path"]).filter(pa.array(is_url, pa.bool_()))
             columns = [*own.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*out, "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "host", "path", "rule", "verdict"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", rule string, verdict string"
-    return events.mapInArrow(sweep, schema)
+    swept = events.mapInArrow(sweep, with_fields(dealt.select("row", "host", "path"), "rule string, verdict string"))
+    return unpacked(swept, "row", keep, "host", "path", "rule", "verdict")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,19 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests,
-    a temporary one is set.
+    Only where that is unset and the master is local, one process on one machine, as in tests, a temporary folder is
+    made; on a cluster that is an error.
     """
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="sheaf-checkpoint-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sheaf-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, row: str, *own: Column) -> DataFrame:
+    """All columns of ``df`` as one, of the name ``row``, beside an operator's own: these can't clash with them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(row), *own)
+
+
+def unpacked(df: DataFrame, row: str, columns: Sequence[str], *own: Column | str) -> DataFrame:
+    """The columns again, then the operator's own."""
+    return df.select(*(F.col(f"`{row}`.`{c}`") for c in columns), *own)
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with more fields after its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
@@ -62,8 +84,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: every step replaces edges by edges to a nearer
     minimum, so that each component ends as a star. Groups are only folded with min(), which is
-    combined before the shuffle, and joined back by key, which Spark can split where a key is hot;
-    no node's neighbours are ever gathered. Each round is checkpointed.
+    combined before the shuffle, and joined back by key; the minima are written first, so that both
+    sides of that join are plain exchanges, which Spark splits where a key is hot. No node's
+    neighbours are ever gathered. Each round is checkpointed. A path of n nodes takes about log n
+    rounds; RuntimeError after ``most_rounds``.
     """
     links = edges.select("u", "v").where("u <> v")
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -72,11 +96,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # large-star: the larger neighbours of each node move to the least in its neighbourhood
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = checkpointed(large.where("u <> v").distinct())
         # small-star: a node and its smaller neighbours move to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = checkpointed(small)

@@ -44,10 +44,19 @@ def test_url_filter(spark):
     hosts = ["a.com", "www.a.com", "xa.com", "b.net", "c.b.net", "NET", "com", "q.org", "a.com:80", "", "a..com"]
     urls = [f"{rng.choice(['http', 'x'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en', '/es/xy', '/en/é\n?q=/es/', '#/en/', '?://'])}" for _ in range(300)]
     urls += [None, "", "no scheme/en/", "http://www.A.com/en/1"] + ["http://a.com/en/"] * 400
+    urls += ["http://" + "a." * 40_000 + "c.b.net/es/xy", "http://c.b.net/es/x" + "y" * 300_000, "http://" + "h" * 200_000]
     df = spark.createDataFrame([(k, u, "old") for k, u in enumerate(urls)], "page_id int, url string, verdict string").repartition(5)
+    assert len({u for u in urls}) > 100
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(df, spark.createDataFrame(rules, RULES)).collect()}
     assert got == {k: judged(u, rules) for k, u in enumerate(urls)}
     assert url_filter.url_filter(df.limit(0), spark.createDataFrame(rules, RULES)).count() == 0
+    odd = df.selectExpr("page_id", "url", "'7' as _key", "'8' as key", "9 as salt", "10 as `range`", "11 as row", "page_id as `a.b`")
+    judged_too = url_filter.url_filter(odd, spark.createDataFrame(rules, RULES))
+    assert judged_too.columns == [*odd.columns, "host", "path", "rule", "verdict"]
+    assert {tuple(r)[2:7] for r in judged_too.collect()} == {("7", "8", 9, 10, 11)} and all(r["a.b"] == r["page_id"] for r in judged_too.collect())
+    many = [("a.com", f"/p{k}/", "block") for k in range(3000)] + [("com", "/", "allow")]
+    paths = spark.range(6000).selectExpr("id", "concat('http://w.a.com/p', id % 4000, '/x') as url").repartition(7)
+    assert {(r["id"] % 4000 < 3000, r["verdict"]) for r in url_filter.url_filter(paths, spark.createDataFrame(many, RULES)).collect()} == {(True, "block"), (False, "allow")}
     assert {r["verdict"] for r in url_filter.url_filter(df, spark.createDataFrame([], RULES)).collect()} == {"allow"}
 
 
@@ -60,6 +69,13 @@ def test_warc_fixity(spark):
     assert {k: r["status"] for k, r in found.items() if r["status"] != "ok"} == {17: "corrupt", 333: "corrupt", 600: "missing", 9000: "extra"}
     assert found[1]["offset"] == len("record 0") and found[1]["shard"] == 0
     assert found[5]["length"] == len("record 5") + 2 * len("twice")
+    assert found[601]["status"] == "ok" and found[601]["b_digest"] == found[601]["digest"]
+    assert found[5]["digest"] != found[6]["digest"] and found[5]["status"] == "ok"
+    ends = [(-(1 << 63), "first"), (-1, "x"), (0, "y"), ((1 << 63) - 1, "last")]
+    wide = [warc_fixity.leaves(spark.createDataFrame([(*r, 1, 2) for r in x], "record_id long, bytes string, digest int, node int")) for x in (ends, [*ends[:3], (ends[3][0], "lost")])]
+    assert {r["record_id"]: r["status"] for r in warc_fixity.audit(*wide).collect()} == {ends[0][0]: "ok", -1: "ok", 0: "ok", ends[3][0]: "corrupt"}
+    hot = [warc_fixity.leaves(spark.createDataFrame([(1, f"copy {k % 3}") for k in range(n)] + [(2, "z" * 300_000)], "record_id long, bytes string")) for n in (300, 301)]
+    assert {r["record_id"]: r["status"] for r in warc_fixity.audit(*hot).collect()} == {1: "corrupt", 2: "ok"}
     empty = warc_fixity.leaves(spark.createDataFrame([], "record_id long, bytes string"))
     assert {r["status"] for r in warc_fixity.audit(a, empty).collect()} == {"missing"}
     assert warc_fixity.audit(empty, empty).count() == 0
@@ -171,6 +187,9 @@ def test_simhash(spark):
     assert {k: r["fp"] & (1 << 64) - 1 for k, r in got.items()} == dict(enumerate(fps))
     assert {k: r["component_id"] for k, r in got.items()} == dict(enumerate(root))
     assert {r["doc_id"] for r in simhash_dedup.deduplicated(df).collect()} == set(root)
+    odd = df.selectExpr("doc_id", "text", "fp", "7 as row", "8 as component_id", "9 as u", "1 as _lost")
+    kept = simhash_dedup.deduplicated(odd)
+    assert kept.columns == odd.columns and sorted(kept.collect()) == sorted(r for r in odd.collect() if r["doc_id"] in set(root))
     assert simhash_dedup.classes(df.limit(0)).count() == 0
 
 
@@ -180,3 +199,26 @@ def test_simhash_chain(spark):
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     got = {r["node"]: r["root"] for r in connected_components(simhash_dedup.links(df)).collect()}
     assert len(set(got.values())) == 1 and set(got) == set(fps[:5])
+
+
+@pytest.mark.parametrize("bucket", [128, 3, 0])
+def test_simhash_links_with_hot_segments(spark, monkeypatch, bucket):
+    """Many fingerprints that share a segment, and pairs at every place: the same components as brute force."""
+    monkeypatch.setattr(simhash_dedup, "BUCKET", bucket)
+    rng = random.Random(21)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        for _ in range(30):
+            near = centre
+            for b in rng.sample(range(64), rng.choice([1, 1, 2, 3, 4])):
+                near ^= 1 << b
+            fps |= {near, centre} if rng.random() < 0.5 else {near}
+    fps |= {(0xABCD << 32) | rng.getrandbits(12) for _ in range(300)}
+    fps = sorted(fps)
+    root = components(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    signed = [x - (x >> 63 << 64) for x in fps]
+    got = {r["node"]: r["root"] for r in connected_components(simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    found = [got.get(x, x) for x in signed]
+    want = [signed[r] for r in root]
+    assert len(set(zip(found, want))) == len(set(found)) == len(set(want))
