@@ -3,9 +3,15 @@
 The minimum of an item's shingles under a hash function is a shingle of a document with exactly the
 probability of the item's containment in it, however long the document is, so the short side is
 sketched and the long side is only asked for membership. Items are parted by their number of
-shingles; each part has its own sketch size and its own number of hits that makes a candidate,
-calibrated so that an item contained at the threshold is missed with a chance under 1e-9 (small items
-are sketched whole). A candidate is verified by its exact containment, on the shingles themselves.
+shingles; each part has its own number of hash functions. A document is a candidate for an item if so many of the
+item's minima are among its shingles:
+
+* An item of n shingles that is contained at the threshold lacks at most (1 - threshold) * n of them. At worst these are the
+  minima of most functions; the others must hit. Where that leaves at least one, no contained item is ever missed.
+* For longer items that bound is void. The number of hits is then the greatest that a contained item misses with a
+  chance under 1e-9.
+
+A candidate is verified by its exact containment, on the shingles themselves.
 
 Documents are read once for each block of items and never shuffled. A block holds a bounded number of
 item characters and is broadcast; a larger benchmark is searched in several blocks.
@@ -14,6 +20,7 @@ item characters and is broadcast; a larger benchmark is searched in several bloc
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +30,9 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import slices, with_fields
 
-WORDS, THRESHOLD, HASHES, BLOCK_CHARS = 5, 0.8, 64, 16 << 20
+WORDS, THRESHOLD, BLOCK_CHARS = 5, 0.8, 16 << 20
+#: Size parts: items of up to so many shingles, and the hash functions that sketch them.
+PARTS = ((8, 24), (32, 48), (128, 96), (math.inf, 128))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,38 +65,43 @@ def missed(size: int, functions: int, hits: int, threshold: float) -> float:
     return sum(math.comb(functions, k) * threshold**k * (1 - threshold) ** (functions - k) for k in range(hits))
 
 
+def needed_hits(weights: np.ndarray, size: int, functions: int, threshold: float) -> int:
+    """Functions whose minima must be in a document that may contain an item of ``size`` shingles.
+
+    weights: how many functions each distinct minimum is the minimum of.
+    """
+    lacking = size - math.ceil(threshold * size - 1e-9)
+    sure = functions - int(np.sort(weights)[::-1][:lacking].sum())
+    return sure if sure > 0 else max([h for h in range(1, functions) if missed(size, functions, h, threshold) < 1e-9], default=1)
+
+
 class ItemIndex:
     """Sketches of a block of items, and the items' shingles for the exact check."""
 
     def __init__(self, items: list[tuple[object, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.hash_word: dict[bytes, int] = {}
         self.items, self.short = [], {}
-        rng = np.random.default_rng(11)
-        mults = rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
-        sketch: dict[int, list[int]] = {}
+        mults = np.random.default_rng(11).integers(1, 2**63, max(f for _, f in PARTS), dtype=np.uint64) | np.uint64(1)
+        sketch: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            exact = shingles_of(words)
             if len(words) < WORDS:
-                self.short.setdefault(b" ".join(words), []).append(item_id)
+                self.short.setdefault(len(words), {}).setdefault(b" ".join(words), []).append(item_id)
                 continue
             hashes = np.unique(rolling(hashed(words)))
-            n = len(hashes)
-            if n <= 2 * HASHES:  # the smallest part: sketched whole
-                kept, hits = hashes, max(1, math.floor(threshold * n * 0.9))
-            else:
-                mixed = hashes[:, None] * mults[None, :]
+            functions = next(f for most, f in PARTS if len(hashes) <= most)
+            minima = np.empty(functions, dtype=np.uint64)
+            for k in range(functions):
+                mixed = hashes * mults[k]
                 mixed ^= mixed >> np.uint64(32)
-                kept = np.unique(hashes[mixed.argmin(axis=0)])
-                least = max(h for h in range(1, HASHES) if missed(n, HASHES, h, threshold) < 1e-9)
-                hits = max(1, min(least, len(kept)) - (HASHES - len(kept)))
+                minima[k] = hashes[(mixed * mults[k]).argmin()]
+            kept, weights = np.unique(minima, return_counts=True)
             at = len(self.items)
-            self.items.append((item_id, exact, hits))
-            for h in kept.tolist():
-                sketch.setdefault(h, []).append(at)
+            self.items.append((item_id, shingles_of(words), needed_hits(weights, len(hashes), functions, threshold)))
+            for h, w in zip(kept.tolist(), weights.tolist()):
+                sketch.setdefault(h, []).append((at, w))
         self.keys = np.array(sorted(sketch), dtype=np.uint64)
         self.owners = [np.array(sketch[h], dtype=np.int64) for h in self.keys.tolist()]
         self.bits = max(16, min(24, len(self.keys).bit_length() + 6))
@@ -101,8 +115,10 @@ class ItemIndex:
         at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == met)]
         if not len(at):
             return []
-        owners, counts = np.unique(np.concatenate([self.owners[k] for k in at.tolist()]), return_counts=True)
-        return [o for o, c in zip(owners.tolist(), counts.tolist()) if c >= self.items[o][2]]
+        pairs = np.concatenate([self.owners[k] for k in at.tolist()])
+        owners, place = np.unique(pairs[:, 0], return_inverse=True)
+        hits = np.bincount(place, pairs[:, 1])
+        return [o for o, c in zip(owners.tolist(), hits.tolist()) if c >= self.items[o][2]]
 
     def search(self, texts: list[str | None]) -> list[list[tuple[object, float]]]:
         """(item, containment) for each text of a slice."""
@@ -127,10 +143,10 @@ class ItemIndex:
                         c = len(exact & own) / len(exact)
                         if c >= self.threshold:
                             found[d].append((item_id, c))
-        if self.short:
+        for n, known in self.short.items():
             for d, ws in enumerate(words):
-                if 0 < len(ws) < WORDS:
-                    found[d] += [(i, 1.0) for i in self.short.get(b" ".join(ws), ())]
+                for x in known.keys() & set(map(b" ".join, zip(*(ws[k:] for k in range(n))))):
+                    found[d] += [(i, 1.0) for i in known[x]]
         return found
 
 
@@ -155,12 +171,24 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tu
         yield block
 
 
+_INDEXED: dict[tuple, ItemIndex] = {}
+
+
+def _indexed(shared, threshold: float) -> ItemIndex:
+    """The index of a broadcast block; a worker process keeps the one that it used last."""
+    key = (shared.value[0], threshold)
+    if key not in _INDEXED:
+        _INDEXED.clear()
+        _INDEXED[key] = ItemIndex(shared.value[1], threshold)
+    return _INDEXED[key]
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``docs`` but for clashing ones, and matches: array of (item_id, containment), maybe empty.
 
     Containment is the share of the item's distinct five-word shingles that the document holds. An item of
-    fewer than five words has its whole word sequence as its only shingle; since documents are shingled
-    alike, it matches only documents that consist of it. Null or empty texts and null item ids match
+    fewer than five words has its whole word sequence as its only shingle; any document that holds these words
+    in a row contains it. Null or empty texts and null item ids match
     nothing; repeated items of different ids all match, repeated rows stay, equal items are one.
     """
     spark = docs.sparkSession
@@ -170,10 +198,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     schema = with_fields(docs, f"matches array<{inner}>")
     found = docs.withColumn("matches", F.expr(f"cast(array() as array<{inner}>)"))
     for block in blocks_of(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, threshold)
+            index = _indexed(shared, threshold)
             for batch in batches:
                 texts, matches = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
                 for x, y in slices(texts):
@@ -200,11 +228,11 @@ WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) BETWEEN 1 AND 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w
 ), bs AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) BETWEEN 1 AND 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM b
-), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
-SELECT doc_id, item_id, round(count(*)::DOUBLE / max(n), 6) AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*)::DOUBLE / max(n) >= 0.8
+  SELECT DISTINCT item_id, least(len(ws), 5) AS n, unnest(CASE WHEN len(ws) BETWEEN 1 AND 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM b
+), ds AS (
+  SELECT DISTINCT doc_id, z.n, unnest(list_transform(range(1, len(ws) - z.n + 2), lambda i: array_to_string(ws[i:i + z.n - 1], ' '))) AS s FROM w, (SELECT DISTINCT n FROM bs) z WHERE len(ws) >= z.n
+), n AS (SELECT item_id, count(*) AS k FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, round(count(*)::DOUBLE / max(k), 6) AS containment
+FROM ds JOIN bs USING (n, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*)::DOUBLE / max(k) >= 0.8
 """
