@@ -3,9 +3,12 @@
 Unit vectors within cosine c differ by at most r = sqrt(2 - 2c), so each of many one-dimensional
 projections places them within a narrow window of each other, whereas unrelated vectors spread over
 the whole line. Each of L tables sorts the vectors by K projections, cut into runs of width W at a
-random offset: vectors that share all K runs share a cell. In a cell, M more projections count, for
-each pair, how often one lies in the window centred on the other; a pairs with at least
-``needed`` collisions is verified by its cosine in double precision.
+random offset: vectors that share all K runs share a cell. In a cell, COUNTED more projections count, for
+each pair, how often one lies in the window centred on the other; a pair with at least ``needed``
+collisions, and no other, is verified by its cosine in double precision.
+
+The cells are there because windows on single projections can't be narrow for large N: a window that keeps
+pairs at the threshold holds about a third of all vectors, so counting without cells grows with N squared.
 
 K follows from the number of vectors (few strangers share a cell), L and ``needed`` from the recall
 wanted at the threshold itself; closer pairs are found more surely. Pairs are never emitted: a pair
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, connected_components
 
-WIDTH, COUNTED, BLOCK, STRANGERS = 2.0, 16, 1024, 8.0
+WIDTH, COUNTED, BLOCK, SMALL, STRANGERS = 2.0, 16, 1024, 48, 8.0
 
 
 def _cell_rate(distance: float) -> float:
@@ -103,7 +106,7 @@ def _id_of(name) -> F.Column:
 
 
 def _dealt(distinct: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
-    """rep, w, v, the cells of all tables, and 32 bits of each to tell where two vectors first met."""
+    """rep, w, v and the cells of all tables."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -122,12 +125,11 @@ def _dealt(distinct: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
                 cells = ((runs + np.uint64(7)) * mix).sum(axis=2, dtype=np.uint64)
                 cells ^= cells >> np.uint64(29)
                 cells = cells * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim)
-                short = (cells >> np.uint64(32)).astype(np.uint32)
                 picked = batch.take(pa.array(own, pa.int64()))
                 every = pa.ListArray.from_arrays(pa.array(np.arange(0, len(own) * tables + 1, tables, dtype=np.int32)), pa.array(cells.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(picked.column(picked.schema.get_field_index(c)) for c in ("rep", "w", "v")), every, pa.array([x.tobytes() for x in short], pa.binary())], names=["rep", "w", "v", "cells", "short"])
+                yield pa.RecordBatch.from_arrays([*(picked.column(picked.schema.get_field_index(c)) for c in ("rep", "w", "v")), every], names=["rep", "w", "v", "cells"])
 
-    return distinct.mapInArrow(deal, "rep binary, w bigint, v binary, cells array<bigint>, short binary")
+    return distinct.mapInArrow(deal, "rep binary, w bigint, v binary, cells array<bigint>")
 
 
 def _links(dealt: DataFrame, cosine: float, window: float, needed: int, seed: int) -> DataFrame:
@@ -142,84 +144,100 @@ def _links(dealt: DataFrame, cosine: float, window: float, needed: int, seed: in
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     shared = shared.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     shared = shared.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")})
-    shared = shared.select("t", "cell", "_a", "_b", "_own", "rep").join(dealt.select("rep", "w", "v", "short"), "rep")
+    shared = shared.select("t", "cell", "_a", "_b", "_own", "rep").join(dealt, "rep").withColumn("cells", F.expr("slice(cells, 1, t)"))  # those of the tables before
     shared = shared.repartition("t", "cell", "_a", "_b").sortWithinPartitions("t", "cell", "_a", "_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, np.ndarray] = {}
 
-        def meet(run: pa.Table, out: list) -> None:
-            n = run.num_rows
-            t, a, b = (run.column(c)[0].as_py() for c in ("t", "_a", "_b"))
-            rep, own = run.column("rep").to_pylist(), np.asarray(run.column("_own"))
-            v = _units(run.column("v").to_pylist())
-            if (dim := v.shape[1]) not in lines:
-                lines[dim] = np.random.default_rng([seed, dim, 2]).standard_normal((dim, COUNTED))
-            at = v @ lines[dim]
+        def small_pairs(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """All pairs within cells of at most SMALL vectors."""
+            i, j = [], []
+            for n in np.unique(sizes).tolist():
+                x, y = np.triu_indices(n, 1)
+                at = first[sizes == n][:, None]
+                i.append((at + x).reshape(-1))
+                j.append((at + y).reshape(-1))
+            return np.concatenate(i), np.concatenate(j)
+
+        def window_pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of one cell with enough collisions, counted by a window that moves along each sorted line."""
+            n = len(at)
             met = np.zeros((n, n), dtype=np.uint8)
-            for m in range(COUNTED):  # the window of each query on the sorted line
+            for m in range(COUNTED):
                 order = np.argsort(at[:, m], kind="stable")
                 line = at[order, m]
-                low, high = np.searchsorted(line, line - window), np.searchsorted(line, line + window, side="right")
-                if n <= 32:
-                    met += np.abs(at[:, m, None] - at[None, :, m]) <= window
-                else:
-                    for q in range(n):
-                        met[order[q], order[low[q] : high[q]]] += 1
-            pairs = met >= needed
-            np.fill_diagonal(pairs, False)
-            if not pairs.any():
-                return
-            pairs &= v @ v.T >= cosine - 1e-9
-            known = np.frombuffer(b"".join(run.column("short").to_pylist()), dtype=np.uint32).reshape(n, -1)
-            for s in range(t):  # met before
-                pairs &= known[:, s, None] != known[None, :, s]
-            if a != b:
-                pairs &= own[:, None] != own[None, :]
-            i, j = np.nonzero(np.triu(pairs))
-            if not len(i):
-                return
-            close = np.einsum("ij,ij->i", v[i], v[j]) >= cosine
-            i, j = i[close], j[close]
-            w = np.asarray(run.column("w"))
-            n_links = np.bincount(i, w[j], n) + np.bincount(j, w[i], n)
-            root = list(range(n))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for x, y in zip(i.tolist(), j.tolist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    if rep[y] < rep[x]:
-                        x, y = y, x
-                    root[y] = x
-            linked = np.nonzero(n_links)[0]
-            out.extend((rep[x], rep[find(x)], int(n_links[x])) for x in linked.tolist())
-
-        def flush(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], names=["rep", "other", "n"]
-            )
+                high = np.searchsorted(line, line + window, side="right")
+                for q in range(n):  # the upper half of each window; the lower one is another query's upper half
+                    met[order[q], order[q + 1 : high[q]]] += 1
+            return np.nonzero(np.triu(met + met.T >= needed, 1))
+
+        def linked(run: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            """Links within each cell; cuts: where cells begin, and the end."""
+            sizes = np.diff(cuts)
+            rows, out = run.column("v").to_pylist(), []
+            dims = np.array([(len(x) - 1) // (4 if x[:1] == b"f" else 8) for x in rows])
+            whole, at = [None] * len(rows), np.zeros((len(rows), COUNTED))
+            for dim in np.unique(dims).tolist():
+                own = np.nonzero(dims == dim)[0]
+                if dim not in lines:
+                    lines[dim] = np.random.default_rng([seed, dim, 2]).standard_normal((dim, COUNTED))
+                units = _units([rows[k] for k in own.tolist()])
+                at[own] = units @ lines[dim]
+                for k, u in zip(own.tolist(), units):
+                    whole[k] = u
+            few = (sizes > 1) & (sizes <= SMALL)
+            pairs = [small_pairs(cuts[:-1][few], sizes[few])] if few.any() else []
+            if pairs:
+                i, j = pairs[0]
+                hits = np.zeros(len(i), dtype=np.int64)
+                for m in range(COUNTED):
+                    hits += np.abs(at[i, m] - at[j, m]) <= window
+                pairs = [(i[hits >= needed], j[hits >= needed])]
+            for k in np.nonzero(sizes > SMALL)[0].tolist():
+                i, j = window_pairs(at[cuts[k] : cuts[k + 1]])
+                pairs.append((i + cuts[k], j + cuts[k]))
+            if pairs:
+                i, j = (np.concatenate([p[k] for p in pairs]).astype(np.int64) for k in (0, 1))
+                t, a, b, own, w = (np.asarray(run.column(c)) for c in ("t", "_a", "_b", "_own", "w"))
+                ok = (a[i] == b[i]) | (own[i] != own[j])  # of two blocks, pairs across
+                i, j = i[ok], j[ok]
+                cells = run.column("cells").combine_chunks()
+                offsets, flat = np.asarray(cells.offsets), np.asarray(cells.values if not cells.offset else cells.flatten())
+                offsets = offsets - (offsets[0] if cells.offset else 0)
+                ok = np.ones(len(i), dtype=bool)
+                for s in range(int(t.max())):  # met before
+                    later = np.nonzero(t[i] > s)[0]
+                    ok[later] &= flat[offsets[i[later]] + s] != flat[offsets[j[later]] + s]
+                i, j = i[ok], j[ok]
+                close = np.zeros(len(i), dtype=bool)
+                for k in range(0, len(i), 8192):
+                    x, y = (np.stack([whole[q] for q in z[k : k + 8192].tolist()]) for z in (i, j))
+                    close[k : k + 8192] = np.einsum("ij,ij->i", x, y) >= cosine
+                i, j = i[close], j[close]
+                n_links = np.bincount(i, w[j], len(rows)) + np.bincount(j, w[i], len(rows))
+                rep = run.column("rep").to_pylist()
+                rank = np.empty(len(rep), dtype=np.int64)
+                order = sorted(range(len(rep)), key=rep.__getitem__)
+                rank[order] = np.arange(len(rep))
+                least, before = rank.copy(), None
+                while before is None or (least != before).any():  # the least name that links in the cell reach
+                    before = least.copy()
+                    np.minimum.at(least, i, before[j])
+                    np.minimum.at(least, j, before[i])
+                out = [(rep[x], rep[order[least[x]]], int(n_links[x])) for x in np.nonzero(n_links)[0].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["rep", "other", "n"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            out: list = []
             table = pa.Table.from_batches([*held, batch])
             keys = np.stack([np.asarray(table.column(c), dtype=np.int64) for c in ("t", "cell", "_a", "_b")], axis=1)
-            cuts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
-            cuts = np.concatenate([[0], cuts]) if len(keys) else cuts
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if y - x > 1:
-                    meet(table.slice(x, y - x), out)
-            held = table.slice(int(cuts[-1])).combine_chunks().to_batches() if len(cuts) else []
-            yield flush(out)
-        if held and sum(x.num_rows for x in held) > 1:
-            out = []
-            meet(pa.Table.from_batches(held), out)
-            yield flush(out)
+            cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1])
+            if len(cuts) > 1:
+                yield linked(table.slice(0, int(cuts[-1])), cuts)
+            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()
+        if n := sum(x.num_rows for x in held):
+            yield linked(pa.Table.from_batches(held), np.array([0, n]))
 
     return shared.mapInArrow(count, "rep binary, other binary, n bigint")
 
@@ -228,7 +246,7 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """vec_id, n_links, component_id and kept for each row of ``vectors``.
 
     A link joins two rows whose cosine is at least ``cosine``; found links are exact, and one at the
-    threshold is found with a chance of ``recall``. Ids are integers. Vectors that are null, empty, zero or
+    threshold is found with a chance of ``recall``. Ids are integers. Other columns are ignored. Vectors that are null, empty, zero or
     hold null or non-finite components, and vectors of unequal length, have no link. Rows with equal vectors
     are linked with each other, also where their ids are equal. component_id is the least id reachable; rows
     with a null id are never the least and have a null component.

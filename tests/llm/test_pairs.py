@@ -1,5 +1,6 @@
 """URL rules, fixity, vectors, containment and SimHash against brute force, with odd inputs."""
 
+import math
 import random
 
 import numpy as np
@@ -91,9 +92,10 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_embedding_dedup(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(1024, 48), (16, 48), (1024, 3)])
+def test_embedding_dedup(spark, monkeypatch, block, small):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((60, 24))
     v = np.concatenate([c + rng.standard_normal((n, 24)) * 0.16 for c, n in zip(centres, [80, 40] + [3] * 20 + [1] * 38)])
@@ -116,6 +118,26 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim, n", [(64, 5000), (384, 1500)])
+def test_embedding_recall(spark, dim, n):
+    """Planted pairs at and above the threshold, in higher dimensions and by the parameters of op3: recall, and no false link."""
+    rng = np.random.default_rng(dim)
+    v = rng.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for k in range(0, n - 1, 2):  # every second vector is turned from the one before it by a chosen cosine
+        c = rng.uniform(0.93, 0.99)
+        side = rng.standard_normal(dim)
+        side -= side @ v[k] * v[k]
+        v[k + 1] = (c * v[k] + math.sqrt(1 - c * c) * side / np.linalg.norm(side)) * rng.uniform(0.1, 9)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert all(got[k] <= linked[k].sum() for k in got)
+    assert sum(got.values()) >= 0.96 * linked.sum() > n / 3
+
+
 def test_embedding_repeats(spark):
     df = spark.createDataFrame([(4, [1.0, 0.0]), (4, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.01])], "vec_id long, embedding array<double>")
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(df, recall=0.9999).collect())
