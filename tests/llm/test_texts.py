@@ -193,6 +193,72 @@ def test_main_text():
     assert html_main_text.main_text("<div>" * 3000 + "<p>A deep, long paragraph of text, that is content.</p>") == "A deep, long paragraph of text, that is content."
 
 
+WORDY = " ".join(f"<p>Paragraph {k} of the article, with some words in it.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("start", ['article class="post comment-status-open"', 'article class="tags-enabled"', 'article id="share-buttons-on"', 'article class="header-visible"', 'article class="category-ads"', 'div class="search-results"', 'div class="page with-sidebar"', "form", 'div id="comments-and-more"'])
+def test_no_word_loses_the_article(start):
+    tag = start.split()[0]
+    page = f'<body><nav><a href="x">Home</a> <a href="y">More of this</a></nav><{start}>{WORDY}<p>Energy is <math><mi>E</mi><annotation>\\E</annotation></math>, we say.</p></{tag}><footer>All rights, reserved.</footer>'
+    assert html_main_text.main_text(page).split("\n") == [*(f"Paragraph {k} of the article, with some words in it." for k in range(6)), "Energy is E, we say."]
+
+
+def test_parts_of_an_article():
+    page = f"""<body class="has-sidebar comment-form"><header><h1>The site</h1><p>All the news, every day, for everyone who reads.</p></header><div class="comment-list"><p>A first reader: {"this is long, " * 30}</p></div>
+    <article><header><h1>The headline</h1><p>By someone, on some day.</p></header>{WORDY}<aside><p>{"An aside, with words. " * 9}</p></aside><div class="share-buttons"><p>Share this, with all.</p></div>
+    <section class="comments"><article class="comment"><p>{"I disagree, dear author, with all of it. " * 20}</p></article></section><footer><p>Filed under news, by someone, at some time.</p></footer></article>
+    <div class="sidebar"><p>{"A long text in the sidebar, about us. " * 9}</p></div><div><p>{"An advert without a name, but with words. " * 3}</p></div>"""
+    assert html_main_text.main_text(page).split("\n") == ["The headline", "By someone, on some day.", *(f"Paragraph {k} of the article, with some words in it." for k in range(6))]
+
+
+def test_the_cut_decides():
+    """Short list items that look like boilerplate on their own stay between paragraphs; a like list of links goes."""
+    page = "<body><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div><h2>Title</h2><p>A long paragraph of text, which says much.</p><ul><li>Point two</li><li>x</li></ul><p>Another paragraph of text, which says much.</p></div>"
+    costs, edges = html_main_text.graph_of(html_main_text.parsed(page))
+    assert [c > 0 for c in costs] != html_main_text.minimum_cut(costs, edges)
+    assert html_main_text.main_text(page) == "Title\nA long paragraph of text, which says much.\nPoint two\nx\nAnother paragraph of text, which says much."
+
+
+def test_pages_are_cut_at_least_cost():
+    """The labels of random small pages against all labellings, with the costs written out again."""
+    rng = random.Random(15)
+    parts = ["<p>Words, some of them.", "<li>x", "<div>", "</div>", "<ul>", "</ul>", '<a href="x">link</a>', "<h2>Head", '<div class="share">', "<p>y", "<article>", "</article>", "<aside>", "</aside>", "<br>", "tail"]
+    differ = 0
+    for _ in range(400):
+        page = html_main_text.parsed("".join(rng.choice(parts) for _ in range(rng.randrange(14))))
+        costs, edges = html_main_text.graph_of(page)
+        if len(costs) > 9:
+            continue
+        value = lambda x: sum(c for c, keep in zip(costs, x) if not keep) + sum(w for i, j, w in edges if x[i] != x[j])  # noqa: B023, E731
+        labels = html_main_text.minimum_cut(costs, edges)
+        assert value(labels) == pytest.approx(min(value([bool(m >> k & 1) for k in range(len(costs))]) for m in range(1 << len(costs))))
+        differ += labels != [c > 0 for c in costs]
+    assert differ > 20
+
+
+def test_long_and_deep_pages():
+    import time
+
+    began = time.time()
+    assert html_main_text.main_text("<div>" * 60_000 + "<p>A deep, long paragraph of text, that is content.</p>") == "A deep, long paragraph of text, that is content."
+    assert html_main_text.main_text("<b>" * 50_000 + "</i>" * 50_000 + "<p>Text, with words, that stays.</p>" * 3000).count("stays") == 3000
+    assert len(html_main_text.main_text("<article><p>" + "word, " * 1_000_000)) == 5_999_999
+    assert time.time() - began < 20
+
+
+def test_pages_of_the_table(spark):
+    """Whole table: title and paragraphs of each article, as a plain reading of these pages' one form finds them."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in html_main_text.op9_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    from html import unescape
+
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|div|section|ul|li)\b[^>]*>", article.replace("<br>", " "))]
+        assert got[r["page_id"]]["text"] == "\n".join(x for x in lines if x) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+
+
 def test_minimum_cut():
     rng = random.Random(13)
     for _ in range(300):
@@ -205,7 +271,7 @@ def test_minimum_cut():
 
 
 def test_extracted(spark):
-    df = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (2, None, "old")], "page_id int, html string, text string")
+    df = spark.createDataFrame([(1, PAGE, "old", 4), (2, None, "old", 4), (2, None, "old", 4)], "page_id int, html string, text string, n_chars int")
     got = html_main_text.extracted(df)
     assert got.columns == ["page_id", "text", "n_chars"] and sorted(r["n_chars"] for r in got.collect())[:2] == [0, 0]
     assert html_main_text.extracted(df.limit(0)).count() == 0
