@@ -116,10 +116,96 @@ def test_toxicity_held_out(spark):
     held = [(dict(labels)[r["doc_id"]], r["predicted"]) for r in got if r["doc_id"] is not None and r["doc_id"] < 900 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert sum(a == b for a, b in held) / len(held) > 0.98
     assert [r["predicted"] for r in got if r["doc_id"] is None] == [1]
+    odd = toxicity.score(df.selectExpr("doc_id", "text", "score", "'x' as label", "1 as id", "2 as toxic", "3 as terms"), model, evidence=True)
+    assert odd.columns == ["doc_id", "text", "label", "id", "toxic", "terms", "score", "predicted", "evidence"]
+    near = {r["doc_id"]: r["evidence"] for r in odd.collect()}
+    assert not any(k in e["doc_ids"] for k, es in near.items() for e in es) and all(es == sorted(es, key=lambda e: -round(e["similarity"], 9)) for es in near.values())
     nothing = toxicity.fit(df, known.limit(0))
     assert {r["predicted"] for r in toxicity.score(df, nothing).collect()} <= {0, 1}
 
 
+def brute_toxicity(docs, labels, neighbours=15):
+    """Scores by dense arithmetic: the telling terms, vectors, left-out votes and their calibration written out again."""
+    import numpy as np
+
+    words = {k: Counter(re.findall(r"\w+", (t or "").lower())) for k, t in docs}
+    train = sorted(k for k in labels if k in words and zlib.crc32(str(k).encode()) % 5)
+    y = np.array([labels[k] for k in train], dtype=float)
+    n, pos = len(y), int(y.sum())
+    df = Counter(t for k in train for t in words[k])
+    hits = Counter(t for k in train if labels[k] for t in words[k])
+
+    def g(d, k):
+        cells = [(k, d * pos / n), (d - k, d * (n - pos) / n), (pos - k, (n - d) * pos / n), (n - pos - d + k, (n - d) * (n - pos) / n)]
+        return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
+
+    reach = sorted(max(g(d, min(d, pos)), g(d, max(0, d - (n - pos)))) for d in df.values())
+    least = 2.0
+    while least < 2 * math.log(max(1, sum(r >= least for r in reach))) + 2:
+        least += 0.25
+    terms = sorted(t for t in df if g(df[t], hits[t]) >= least)
+    everywhere = Counter(t for c in words.values() for t in c)
+    idf = np.array([math.log((1 + len(docs)) / (1 + everywhere[t])) + 1 for t in terms])
+
+    def vector(c):
+        v = np.array([(1 + math.log(c[t])) if c[t] else 0.0 for t in terms]) * idf
+        return v / (np.linalg.norm(v) or 1)
+
+    v = np.array([vector(words[k]) for k in train])
+    prior = (pos + 0.5) / (n + 1)
+
+    def vote(sims):
+        best = np.sort(np.where(sims > 1e-12, sims, 0))[::-1]
+        kth = best[neighbours - 1]
+        top = np.nonzero((sims > 1e-12) & (np.round(sims, 12) > round(kth, 12)))[0].tolist()
+        ties = [k for k in np.nonzero((sims > 1e-12) & (np.round(sims, 12) == round(kth, 12)))[0].tolist()]
+        if len({y[k] for k in ties}) > 1 and len(top) + len(ties) > neighbours:
+            return None  # which of the ties are taken is up to the index
+        top += ties[: neighbours - len(top)]
+        w = sims[top] ** 2
+        return float(((w * y[top]).sum() + prior) / (w.sum() + 1))
+
+    return terms, {k: vector(c) for k, c in words.items()}, v, vote, train
+
+
+def test_toxicity_against_brute_force(spark):
+    """On the whole small table: terms, nearest examples and votes."""
+    import numpy as np
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    frame, label = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(frame, label)
+    kept = {i for ids in model.ids for i in ids[:1]}  # near copies count once
+    labels = {r["doc_id"]: int(r["toxic"] > 0) for r in label.where("toxic is not null").collect() if r["doc_id"] in kept}
+    terms, vectors, v, vote, train = brute_toxicity(docs, labels)
+    assert sorted(model.terms) == terms and len(terms) > 5
+    got, checked = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}, 0
+    for k, t in docs:
+        own = model.own.get(k, -1)
+        sims = v @ vectors[k]
+        if own >= 0:
+            sims[train.index(model.ids[own][0])] = 0
+        x = vote(sims)
+        if not vectors[k].any():
+            assert got[k]["score"] == model.blank
+        elif x is not None:
+            assert got[k]["score"] == pytest.approx(float(np.interp(x, *model.curve)), abs=1e-9)
+            checked += 1
+    assert checked > 20
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    rng = random.Random(16)
+    raw = [(x := rng.random(), float(rng.random() < x)) for _ in range(200)]
+    xs, ys = toxicity.NearestExamples.isotonic(raw)
+    assert all(a <= b for a, b in zip(ys, ys[1:])) and 0 <= ys[0] and ys[-1] <= 1 and xs[0] == 0 and xs[-1] == 1
+    best = []  # max-min formula of isotonic regression
+    y = [b for _, b in sorted(raw)]
+    for k in range(len(y)):
+        best.append(max(min(sum(y[a : b + 1]) / (b + 1 - a) for b in range(k, len(y))) for a in range(k + 1)))
+    assert len(set(round(b, 9) for b in best)) == len(xs) - 2
+
+
 def test_unigram_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "FREQUENT", 20)
     rng = random.Random(11)
