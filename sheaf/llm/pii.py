@@ -1,16 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of what points at it.
 
-Protected entities are the values that the patterns find. A term occurs with an entity where it
-stands in its window (WINDOW words on each side). The units are distinct texts, so copies weigh alike
-everywhere and prove nothing. For entity e and term t, with n_e the texts that hold the entity, n_et
+Protected entities are the values that the patterns find, and the groups that they belong to: an e-mail's domain, an
+address's network, a card's issuer, a phone number's area. What stands beside many values of one group accrues there. A term occurs
+with an entity where it stands in its window (WINDOW whole words on each side, however far away). The units are distinct
+texts, so copies weigh alike everywhere and prove nothing. For entity e and term t, with n_e the texts that hold the entity, n_et
 those that hold t beside it, df_t the texts that hold t and D all texts:
 
     IC(e) = log(D / n_e)          PMI(e; t) = log(n_et * D / (n_e * (df_t + SMOOTH)))
 
 A term discloses the share PMI / IC of what there is to know about the entity; it nears 1 if the term
-occurs with the entity only. From GENERALISE on, it is replaced by its class beside the entity, from
-REMOVE on it is dropped. Every pair counts, however rare the entity: SMOOTH texts that hold the
-term without the entity are assumed besides those seen, so that little evidence weighs less, but is
+occurs with the entity only. From GENERALISE on, it is replaced by its class beside the entity: [NAME] if it is written with
+a capital, [ACRONYM] if with capitals only, else [WORD]. From REMOVE on it is dropped. Every pair counts, however rare the entity:
+SMOOTH texts that hold the term without the entity are assumed besides those seen, so that little evidence weighs less, but is
 not left out.
 
 Windows, not texts, are shuffled. df_t covers every text, but is only asked for terms beside entities:
@@ -21,6 +22,7 @@ bitmap tells the texts that may have copies: the words of those are shuffled, on
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5, sha256
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed
+from sheaf.llm.util import checkpointed, packed, unpacked, with_fields
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SMOOTH, GENERALISE, REMOVE = 6, 2, 0.7, 0.9
@@ -82,20 +84,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def entities_of(kind: int, value: str) -> list[str]:
+    """The entity that a value is, and the group of entities that it belongs to."""
+    if kind == 0:
+        name = value.lower()
+        return [f"email:{name}", f"email@{name.rpartition('@')[2]}"]
+    if kind == 1:
+        return [f"ip:{value}", f"ip/{value.rpartition('.')[0]}"]
+    digits = "".join(_DIGITS.findall(value))
+    return [f"{KINDS[kind]}:{digits}", f"{KINDS[kind]}/{digits[:6]}"]
+
+
 def windows_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """(entity, terms with their place) for each span."""
-    taken, out = [(s, e) for s, _, e in spans], []
+    """(entity, terms with their place) for each span and each entity that it stands for."""
+    taken: list[list[int]] = []  # what spans cover, in order and disjoint
+    for s, _, e in spans:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    out, words, k = [], [], 0
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while k < len(taken) and taken[k][1] <= x:
+            k += 1
+        if k == len(taken) or y <= taken[k][0]:
+            words.append((x, y))
+    starts = [x for x, _ in words]
     for s, kind, e in spans:
-        value = text[s:e].lower() if kind < 2 else "".join(_DIGITS.findall(text[s:e]))
-        low, high = max(0, s - 24 * WINDOW), e + 24 * WINDOW
-        before = [m for m in _WORD.finditer(text, low, s)][-WINDOW:]
-        after = []
-        for m in _WORD.finditer(text, e, high):
-            after.append(m)
-            if len(after) == WINDOW:
-                break
-        terms = [(m[0].lower(), m.start(), m.end()) for m in (*before, *after) if not any(a < m.end() and m.start() < b for a, b in taken)]
-        out.append((f"{KINDS[kind]}:{value}", terms))
+        before, after = bisect_left(starts, s), bisect_left(starts, e)
+        near = [*words[max(0, before - WINDOW) : before], *words[after : after + WINDOW]]
+        terms = [(text[x:y].lower(), x, y) for x, y in near]
+        out += [(name, terms) for name in entities_of(kind, text[s:e])]
     return out
 
 
@@ -107,25 +127,24 @@ _FOUND = "text_key binary, base array<struct<start:int,kind:int,end:int>>, windo
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but for the text, with text_key, base and windows; a null text is empty."""
-    docs = docs.drop("text_key", "base", "windows")
+    """row (all columns of ``docs`` but the text), text_key, base and windows; a null text is empty."""
     rest = [c for c in docs.columns if c != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), _FOUND])
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("")).alias("row"), F.col(text).alias("text"))
+    schema = with_fields(docs.select("row"), _FOUND)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bases, windows = [], [], []
-            for x in batch.column(batch.schema.get_field_index(text)):
+            for x in batch.column(1):
                 value = x.as_py() or ""
                 spans = base_spans(value)
                 keys.append(md5(value.encode("utf-8", "surrogatepass")).digest())
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 windows.append([{"entity": n, "terms": [{"term": t, "start": s, "end": e} for t, s, e in ts]} for n, ts in (windows_of(value, spans) if spans else ())])
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
             term = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
             window = pa.struct([("entity", pa.string()), ("terms", pa.list_(term))])
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary()), pa.array(bases, pa.list_(span)), pa.array(windows, pa.list_(window))], names=[*rest, "text_key", "base", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bases, pa.list_(span)), pa.array(windows, pa.list_(window))], names=["row", "text_key", "base", "windows"])
 
     return docs.mapInArrow(search, schema)
 
@@ -228,15 +247,21 @@ def _joined(left: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but for the text, with base and term_spans."""
-    found = checkpointed(find(docs, text))
+    """The columns of ``docs`` but for the text, with base and term_spans; columns of these names are replaced, all others stay."""
+    rest = [c for c in docs.columns if c not in (text, "base", "term_spans")]
+    found = checkpointed(find(docs.select(*(F.col(f"`{c}`") for c in [*rest, text])), text))
     flagged = disclosing(docs, found, text)
-    return _joined(found.drop("windows"), term_spans(found, flagged)).drop("text_key")
+    return unpacked(_joined(found.drop("windows"), term_spans(found, flagged)), "row", rest, "base", "term_spans")
+
+
+def class_of(term: str) -> str:
+    """What a generalised term becomes."""
+    return "[WORD]" if not term[0].isupper() else "[ACRONYM]" if term.isupper() else "[NAME]"
 
 
 def redacted(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, str]]) -> str:
-    """Spans replaced by their kind; overlapping ones become one, named by the first."""
-    marks = sorted([(s, e, f"[{KINDS[k].upper()}]") for s, k, e in base] + [(s, e, "" if a == "remove" else "[TERM]") for s, e, a in terms])
+    """Spans replaced by their kind or class; overlapping ones become one, named by the first."""
+    marks = sorted([(s, e, f"[{KINDS[k].upper()}]") for s, k, e in base] + [(s, e, "" if a == "remove" else class_of(text[s:e])) for s, e, a in terms])
     out, at, k = [], 0, 0
     while k < len(marks):
         s, e, label = marks[k]
@@ -256,24 +281,25 @@ def sanitise(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
     """
     found = checkpointed(find(docs.select(text), text))
     spans = term_spans(found, disclosing(docs, found, text))
-    keyed = _joined(docs.drop("text_key", "term_spans").withColumn("text_key", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))), spans).drop("text_key")
+    keyed = packed(docs, "row", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("text_key"))
+    keyed = _joined(keyed, spans).select("row", "term_spans")
     out = docs.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, new, sizes = batch.schema.get_field_index(text), [], []
-            had = batch.column(batch.schema.get_field_index(n_chars)).to_pylist() if n_chars in out else [None] * batch.num_rows
-            for x, spans, n in zip(batch.column(at), batch.column(batch.schema.get_field_index("term_spans")), had):
+            columns = batch.column(0).flatten()
+            at, new, sizes = out.index(text), [], []
+            had = columns[out.index(n_chars)].to_pylist() if n_chars in out else [None] * batch.num_rows
+            for x, spans, n in zip(columns[at], batch.column(1), had):
                 value, terms = x.as_py(), [(s["start"], s["end"], s["action"]) for s in spans.as_py() or ()]
                 base = base_spans(value) if value else []
                 changed = redacted(value, base, terms) if base or terms else value
                 new.append(changed)
                 sizes.append(len(changed) if changed != value else n)
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in out}
-            columns[text] = pa.array(new, columns[text].type)
+            columns[at] = pa.array(new, columns[at].type)
             if n_chars in out:
-                columns[n_chars] = pa.array(sizes, columns[n_chars].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=out)
+                columns[out.index(n_chars)] = pa.array(sizes, columns[out.index(n_chars)].type)
+            yield pa.RecordBatch.from_arrays(columns, names=out)
 
     return keyed.mapInArrow(replace, docs.schema)
 

@@ -45,6 +45,11 @@ def test_pii_terms(spark):
     words = {rows[k][1][s["start"] : s["end"]] for k in range(6) for s in found[k]["term_spans"] or ()}
     assert words == {"zorblax"}
     assert not any(found[k]["term_spans"] or found[k]["base"] for k in found if k >= 50)
+    odd = df.selectExpr("doc_id", "text", "n_chars", "7 as text_key", "8 as term_spans", "9 as row", "10 as base", "11 as `a.b`")
+    assert {tuple(r)[3:] for r in pii.sanitise(odd).collect()} == {(7, 8, 9, 10, 11)} and pii.sanitise(odd).columns == odd.columns
+    kept = pii.detect(odd)
+    assert kept.columns == ["doc_id", "n_chars", "text_key", "row", "a.b", "base", "term_spans"]
+    assert {(r["text_key"], r["row"], r["a.b"]) for r in kept.collect()} == {(7, 9, 11)}
     clean = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
     assert clean[0]["text"] == "note 0 the  account of mail [EMAIL] belongs 0 to someone xxx" and clean[0]["n_chars"] == len(clean[0]["text"])
     assert clean[50]["text"] == rows[6][1] and clean[50]["n_chars"] == 7 and clean[400]["text"] is None
@@ -52,6 +57,54 @@ def test_pii_terms(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def brute_terms(docs):
+    """Spans of terms for each text, straight from the definition."""
+    texts = sorted({t or "" for _, t in docs})
+    word = re.compile(r"[^\W\d_]{3,}")
+    df, beside, holders, near = Counter(), {}, {}, {}
+    for t in texts:
+        df.update({w.lower() for w in word.findall(t)} | {w for w in word.findall(t.lower())})
+        spans = brute_spans(t)
+        words = [(m.start(), m.end()) for m in word.finditer(t) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+        for s, kind, e in spans:
+            v = t[s:e]
+            d = re.sub("[^0-9]", "", v)
+            names = [("email", v.lower()), ("domain", v.lower().split("@")[1])] if kind == 0 else [("ip", v), ("network", v[: v.rindex(".")])] if kind == 1 else [(kind, d), (kind, "group", d[:6])]
+            around = [w for w in words if w[1] <= s][-6:] + [w for w in words if w[0] >= e][:6]
+            for name in names:
+                holders.setdefault(name, set()).add(t)
+                for x, y in around:
+                    beside.setdefault((name, t[x:y].lower()), set()).add(t)
+                    near.setdefault(t, set()).add((name, x, y))
+    found = {}
+    for t, ws in near.items():
+        for name, x, y in ws:
+            n_e, n_et = len(holders[name]), len(beside[name, t[x:y].lower()])
+            ic = math.log(len(texts) / n_e)
+            if ic > 0 and (share := math.log(n_et * len(texts) / (n_e * (max(df[t[x:y].lower()], n_et) + 2))) / ic) >= 0.7:
+                found.setdefault(t, {}).setdefault((x, y), set()).add("remove" if share >= 0.9 else "generalise")
+    return {t: sorted((x, y, max(a)) for (x, y), a in s.items()) for t, s in found.items()}
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_term_spans_of_the_table(spark, monkeypatch, few):
+    """Whole table against the definition, by either join."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", few)
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in frame.collect()]
+    want = brute_terms(docs)
+    got = {r["doc_id"]: [tuple(s) for s in r["term_spans"] or ()] for r in pii.detect(frame).collect()}
+    assert got == {k: want.get(t or "", []) for k, t in docs} and sum(map(len, got.values())) > 20
+
+
+def test_windows_of_whole_words():
+    text = "supercalifragilistic" + " " * 400 + "a@b.org" + " 1" * 300 + " Zebulon and one more here of them all"
+    assert {t for _, ts in pii.windows_of(text, pii.base_spans(text)) for t, *_ in ts} == {"supercalifragilistic", "zebulon", "and", "one", "more", "here", "them"}
+    long = "word " * 200_000 + "1.2.3.4 " * 2000
+    assert len(pii.windows_of(long, pii.base_spans(long))) == 4000
+    assert [pii.class_of(x) for x in ("bank", "Bank", "BANK")] == ["[WORD]", "[NAME]", "[ACRONYM]"]
+
+
 def test_copies_prove_nothing(spark):
     df = spark.createDataFrame([(k, "the zorblax mail a@b.org here") for k in range(50)], "doc_id int, text string")
     assert all(r["term_spans"] is None for r in pii.detect(df).collect())
