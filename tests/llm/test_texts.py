@@ -272,8 +272,11 @@ def test_unigram_counts(spark, monkeypatch):
             c.update((t or "").encode().lower().split())
             c[None] += 1
     n, v = sum(c.values()), len(c)
-    df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, score string")
-    got = lm_score.scored(df, fold_of("doc_id") != 1).collect()
+    df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, score string").selectExpr("*", "1 as rare", "2 as _row", "3 as id", "4 as row", "5 as c", "6 as `a.b`", "7 as taught")
+    got = lm_score.scored(df, fold_of("doc_id") != 1)
+    assert got.columns == ["doc_id", "rare", "_row", "id", "row", "c", "a.b", "taught", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    got = got.collect()
+    assert {tuple(r)[1:8] for r in got} == {(1, 2, 3, 4, 5, 6, 7)}
     assert len(got) == len(docs)
     texts = {}
     for k, t in docs:
@@ -302,19 +305,149 @@ def test_model_prefers_its_language(spark):
     assert min(bits[k] for k, _ in odd if zlib.crc32(str(k).encode()) % 5 == 1) > max(2.9, own + 1)
 
 
-def test_mixer_is_a_distribution():
-    """The probabilities of all one-byte words, and of all one-byte gaps, add up to less than one."""
+def small_model(units):
     import numpy as np
 
-    tables = np.zeros((2, lm_score.SLOTS))
-    units = [b"abc", b"abd", b"b", b" ", b"\n"]
-    lm_score.count_tables(units, np.ones(len(units)), tables)
-    m = lm_score.Mixer(tables)
-    m.learn(units * 20)
-    m.freeze()
-    for gap in (False, True):
-        total = (10 ** m.log10([bytes([b]) for b in range(1, 256) if (bytes([b]) in lm_score._GAP) == gap])).sum()
-        assert 0 < total <= 1.0001
+    tree = lm_score.Tree(np.bincount(np.frombuffer(b"".join(units), np.uint8), minlength=257))
+    tables, firsts, mixer = np.zeros((2, lm_score.SLOTS), np.float32), np.zeros((lm_score.FIRSTS, 256)), lm_score.Mixer(lm_score.GATES, lm_score.MODELS)
+    lm_score.count_tables(units, np.ones(len(units)), tree, tables)
+    u = lm_score.Units([b" ".join(x for x in units if x.strip())])
+    np.add.at(firsts, (u.contexts(), u.data[u.starts]), 1)
+    return lm_score.Model(tables, tree, mixer, lm_score.Firsts(firsts).log10)
+
+
+def test_model_is_a_distribution():
+    """First bytes in any context, and what may follow one, add up to one or less."""
+    import numpy as np
+
+    m = small_model([b"abc", b"abd", b"b", b" ", b"\n"])
+    assert np.allclose((10.0 ** m.firsts.astype(float)).sum(axis=1), 1, atol=1e-4)
+    for head in (b"a", b"ab", b" ", b"q"):
+        ends = 10 ** m.rest([head])[0]
+        more = sum(10 ** (m.rest([head + bytes([b])])[0] - 0) for b in range(1, 256))
+        assert 0 < ends + more <= 1.0001
+    assert sorted(m.tree.depth.tolist())[0] < 8 and sum(2.0 ** -int(d) for d in m.tree.depth) == 1
+
+
+def test_steps_once_each():
+    """Scores by distinct steps are those of each unit on its own; long units are the sum of their parts."""
+    import numpy as np
+
+    rng = random.Random(19)
+    units = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 9))) for _ in range(300)] + [b"x" * n for n in (1, 1023, 1024, 1025, 2048, 5000)] + [" \n".encode(), b"  "]
+    m = small_model(units)
+    assert np.allclose(m.rest(units), [m.rest([u])[0] for u in units], atol=1e-4)
+    big = bytes(rng.choice(b"ab") for _ in range(3000))
+    whole = m.rest([big])[0]
+    lm_score.AT_ONCE, kept = 1024, lm_score.AT_ONCE
+    try:
+        assert m.rest([big])[0] == pytest.approx(whole, abs=1e-3)
+    finally:
+        lm_score.AT_ONCE = kept
+
+
+def test_a_unit_of_ten_megabytes(tmp_path):
+    """Bounded memory: a process of its own scores base64 without a space."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from sheaf.llm import lm_score as L
+rng = np.random.default_rng(1)
+text = bytes(rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOPabcdefghijklmnop0123", np.uint8), 10_000_000))
+tree = L.Tree(np.bincount(np.frombuffer(text[:10000], np.uint8), minlength=257))
+m = L.Model(np.zeros((2, L.SLOTS), np.float32), tree, L.Mixer(L.GATES, L.MODELS), L.Firsts(np.zeros((L.FIRSTS, 256))).log10)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = L._measured([text], L.Words(m, {}, 1.0), 1, -0.1)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, out[0].to_pylist(), out[5].to_pylist())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(__import__("pathlib").Path(lm_score.__file__).parents[2]))
+    assert said.returncode == 0, said.stderr[-800:]
+    assert int(said.stdout.split()[0]) < 700 and said.stdout.split()[1:] == ["[2]", "[1]"]
+
+
+def test_units_and_own_words():
+    rng = random.Random(20)
+    texts = [b"".join(rng.choice([b"a", b"bc", b" ", b"\n", b"\t ", b"long" * 9, "é".encode()]) for _ in range(rng.randrange(12))) for _ in range(300)] + [b"", b" ", b"x"]
+    u = lm_score.Units(texts)
+    spans = [(d, g, t) for d, x in enumerate(texts) for t, g in ((m[0], not m[0].strip()) for m in re.finditer(rb"[ \t\n\r\x0b\x0c]+|[^ \t\n\r\x0b\x0c]+", x))]
+    assert [(int(d), bool(g), u.data[s:e].tobytes()) for d, g, s, e in zip(u.doc, u.gap, u.starts, u.ends)] == spans
+    assert u.words == [t for _, g, t in spans if not g]
+    names = {}
+    for h, (_, _, t) in zip(u.hashes().tolist(), spans):
+        assert names.setdefault(t, h) == h
+    assert len(set(names.values())) == len(names)
+    import numpy as np
+
+    doc, ids = u.doc[~u.gap], np.array([len(w) for w in u.words])
+    before, held = lm_score.own_words(doc, ids)
+    for k in range(len(doc)):
+        mine = [j for j in range(k) if doc[j] == doc[k]]
+        assert (before[k], held[k]) == (sum(ids[j] == ids[k] for j in mine), len(mine))
+
+
+def brute_score(docs, taught, model, n_units, shares=lm_score.SHARES):
+    """log10 of each text, unit by unit and passage by passage, with the model's own bits."""
+    ends = sum(taught)
+    stop = (ends + 0.5) / (n_units + ends + 1)
+    cut = []
+    for t in docs:
+        u = lm_score.Units([t])
+        cut.append((u, [(h, a, b) for h, a, b in zip(*(x.tolist() for x in u.passages()))]))
+    held = Counter(h for (u, ps), own in zip(cut, taught) if own for h, a, b in ps if u.ends[b - 1] - u.starts[a] >= lm_score.LEAST_PASSAGE)
+    out = []
+    for (u, ps), own in zip(cut, taught):
+        logs, seen, n = {s: [] for s in shares}, Counter(), 0
+        for k, (a, b, gap) in enumerate(zip(u.starts, u.ends, u.gap)):
+            t = u.data[a:b].tobytes()
+            p = 10 ** (float(model.firsts[u.contexts()[k], t[0]]) + model.rest([t])[0])
+            for s in shares:
+                logs[s].append(math.log10(p if gap or not n else s * seen[t] / n + (1 - s) * p) + math.log10(1 - stop))
+            if not gap:
+                seen[t] += 1
+                n += 1
+        big = [(h, a, b) for h, a, b in ps if u.ends[b - 1] - u.starts[a] >= lm_score.LEAST_PASSAGE]
+        mine = Counter(h for h, _, _ in big) if own else Counter()
+        copies = [(h, a, b) for h, a, b in big if held[h] > mine[h]]
+        spelled = [sum(logs[s]) - sum(sum(logs[s][a:b]) for _, a, b in copies) for s in shares]
+        best = max(spelled)
+        x = best + math.log10(sum(10 ** (y - best) for y in spelled) / len(shares))
+        x += sum(math.log10((held[h] - mine[h]) / (sum(held.values()) - sum(mine.values()))) + math.log10(1 - stop) for h, _, _ in copies)
+        copied = 0
+        for h, a, b in ps:  # one after the other: copies so far tell the next
+            is_copy = (h, a, b) in copies
+            x += math.log10(((0.02 if is_copy else 1.0) + (copied if is_copy else ps.index((h, a, b)) - copied)) / (1.02 + ps.index((h, a, b))))
+            copied += is_copy
+        out.append(x + (math.log10(0.5) if len(u.data) > 1 else 0) + math.log10(stop))
+    return out
+
+
+def test_score_against_brute_force(spark):
+    """op7's score of a whole small table, written out again; texts that occur twice, and parts of them, are named."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice(["ther", "on", "ing", "re", "st", "ou", "X."]) for _ in range(rng.choice([1, 2, 3])))
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 5, 150, 300]))) + rng.choice(["", "\n", "."]) for _ in range(60)]
+    texts += [texts[k] for k in range(20)] + ["new start " + t + " new end" for t in texts[:10]] + ["", " ", "again " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    caught = {}
+    train = lm_score.train
+
+    def kept(units, *rest):
+        caught["n"], caught["model"] = units.agg(F.sum("n")).first()[0], train(units, *rest)
+        return caught["model"]
+
+    lm_score.train = kept
+    try:
+        got = {r["doc_id"]: r["score"] for r in lm_score.scored(df, fold_of("doc_id") != 1).collect()}
+    finally:
+        lm_score.train = train
+    taught = [zlib.crc32(str(k).encode()) % 5 != 1 for k in range(len(texts))]
+    want = brute_score([t.encode() for t in texts], taught, caught["model"], caught["n"])
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(want[k], rel=1e-4, abs=1e-3), (k, len(t))
+    twins = [k for k in range(60, 80) if len(texts[k]) > 500 and taught[k - 60] and taught[k]]
+    assert twins and all(got[k] / len(texts[k]) > 0.3 * sum(got[j] for j in range(20, 60)) / sum(len(texts[j]) for j in range(20, 60)) for k in twins)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
