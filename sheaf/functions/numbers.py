@@ -1,7 +1,7 @@
 """Numbers and mathematics as Column builders.
 
-Integers stay exact and turn into doubles where they overflow; domain errors are raised, since Spark
-itself would give null or NaN.
+Integers stay exact longs; since a column has one type, those that overflow are null, or with ``widened``
+all results are doubles. Domain errors are raised, since Spark itself would give null or NaN.
 """
 
 from __future__ import annotations
@@ -16,20 +16,42 @@ def _checked(ok: Column, value: Column, what: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(what)))
 
 
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _long(x) -> Column:
+    """Integers as longs, doubles as they are."""
+    return col(x) + F.lit(0).cast("bigint")
+
+
+def _exact(a: Column, b: Column, over: Column, value: Column) -> Column:
+    """Null where longs overflow, told without an exception in advance; doubles never do."""
+    whole = (F.typeof(a) == "bigint") & (F.typeof(b) == "bigint")
+    return F.when(~(whole & F.coalesce(over, F.lit(False))), value)
+
+
 def add(a, b) -> Column:
-    """Exact for integers that do not overflow, else a double."""
-    a, b = col(a), col(b)
-    return F.coalesce(F.try_add(a, b).cast("double"), a.cast("double") + b.cast("double"))
+    """Exact for integers, as a long; null where they overflow, see ``widened``. Doubles as IEEE has it."""
+    a, b = _long(a), _long(b)
+    return _exact(a, b, F.when(a >= 0, b > F.lit(_MOST) - F.greatest(a, F.lit(0))).otherwise(b < F.lit(_LEAST) - F.least(a, F.lit(0))), a + b)
 
 
 def subtract(a, b) -> Column:
-    a, b = col(a), col(b)
-    return F.coalesce(F.try_subtract(a, b).cast("double"), a.cast("double") - b.cast("double"))
+    a, b = _long(a), _long(b)
+    return _exact(a, b, F.when(b >= 0, a < F.lit(_LEAST) + F.greatest(b, F.lit(0))).otherwise(a > F.lit(_MOST) + F.least(b, F.lit(0))), a - b)
 
 
 def multiply(a, b) -> Column:
+    a, b = _long(a), _long(b)
+    small = a.between(-(1 << 31), 1 << 31) & b.between(-(1 << 31), 1 << 31)
+    product = a.try_cast("decimal(19,0)") * b.try_cast("decimal(19,0)")
+    return _exact(a, b, ~small & ~product.between(F.lit(_LEAST), F.lit(_MOST)), a * b)
+
+
+def widened(f, a, b) -> Column:
+    """add, subtract or multiply as a double: exact until integers overflow, or need more than 53 bits."""
     a, b = col(a), col(b)
-    return F.coalesce(F.try_multiply(a, b).cast("double"), a.cast("double") * b.cast("double"))
+    return F.coalesce(f(a, b).cast("double"), f(a.cast("double"), b.cast("double")))
 
 
 def negate(a) -> Column:

@@ -1,7 +1,8 @@
 """Ordered sets: a DataFrame with the keys that order it.
 
 Nothing is sorted until rows leave: filters, maps and reversals only rewrite the plan, and a limit
-after an order runs as a bounded top-k. The last key must make the order total.
+after an order runs as a bounded top-k. Where rows are cut off, by take, drop or a page, the other columns
+of simple types break ties after the keys, so rows that still tie are alike and only their number counts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sheaf.operators.setops import expanded
 
 Key = tuple[str, bool]
 Predicate = Column | Callable[[DataFrame], Column]
@@ -62,6 +66,14 @@ class Ordered:
     def sort(self) -> list[Column]:
         return [F.asc_nulls_last(k) if up else F.desc_nulls_first(k) for k, up in self.keys]
 
+    @property
+    def total(self) -> Ordered:
+        """By the keys, then by all other columns of simple types."""
+        known = {k for k, _ in self.keys}
+        simple = [f.name for f in self.df.schema if f.name not in known and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+        up = self.keys[0][1] if self.keys else True  # so that a reversed set is cut at the same rows
+        return self._with(self.df, (*self.keys, *((n, up) for n in simple)))
+
     # lazy
 
     def where(self, p: Predicate) -> Ordered:
@@ -102,21 +114,37 @@ class Ordered:
     def take(self, n: int) -> Ordered:
         if n < 0:
             raise ValueError("take needs a number of at least zero")
-        return self._with(self.df.orderBy(*self.sort).limit(n))
+        return self._with(self.df.orderBy(*self.total.sort).limit(n))
 
     def drop(self, n: int) -> Ordered:
-        """The rows past the n-th: its key is found by a bounded top-k, and the rest is a filter, not a global offset."""
+        """The rows past the n-th: its key is found by a bounded top-k, and the rest is a filter, not a global offset.
+
+        Rows that are alike and of which the n-th is one stay as often as the first n do not have them.
+        """
         if n <= 0:
             return self
-        names = [f"_last_{k}" for k, _ in self.keys]
-        last = self.take(n).reverse().take(1).df.select(*[F.col(k).alias(m) for (k, _), m in zip(self.keys, names)])
-        past = F.lit(False)
-        for (k, up), m in reversed(list(zip(self.keys, names))):
-            c, o = F.col(k), F.col(m)
+        whole = self.total
+        names = [f"_last_{k}" for k, _ in whole.keys]
+        head = self.take(n).df
+        last = whole._with(head).reverse().take(1).df.select(*[F.col(f"`{k}`").alias(m) for (k, _), m in zip(whole.keys, names)])
+        past, same = F.lit(False), F.lit(True)
+        for (k, up), m in reversed(list(zip(whole.keys, names))):
+            c, o = F.col(f"`{k}`"), F.col(f"`{m}`")
             later = (c > o) if up else (c < o)
             over = (c.isNull() & o.isNotNull()) if up else (c.isNotNull() & o.isNull())
             past = F.coalesce(later, F.lit(False)) | over | (c.eqNullSafe(o) & past)
-        return self._with(self.df.join(F.broadcast(last), past).drop(*names))  # one row is broadcast
+            same = same & c.eqNullSafe(o)
+        rest = self.df.join(F.broadcast(last), past).drop(*names)  # one row is broadcast
+        taken = head.join(F.broadcast(last), same).agg(F.count(F.lit(1)).alias("_taken"))
+        alike = self.df.join(F.broadcast(last), same).drop(*names)
+        columns = self.df.columns
+        if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in self.df.schema):
+            some = alike.agg(F.count(F.lit(1)).alias("_n"), F.collect_list(F.struct(*(F.col(f"`{c}`") for c in columns))).alias("_rows"))
+            left = some.crossJoin(F.broadcast(taken)).select(F.explode(F.slice("_rows", F.col("_taken").cast("int") + 1, F.col("_n").cast("int"))).alias("_row")).select("_row.*")
+        else:
+            times = alike.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(taken))  # one row
+            left = expanded(times, F.col("_n") - F.col("_taken"), columns)
+        return self._with(rest.unionByName(left))
 
     def page_size(self, n: int) -> Ordered:
         return replace(self, size=n)
@@ -129,7 +157,7 @@ class Ordered:
         """Rows on one side of a key prefix, as a disjunction that reaches the scan as a filter."""
         out = F.lit(inclusive) if prefix else F.lit(True)
         for (k, up), value in reversed(list(zip(self.keys, prefix))):
-            c, same = F.col(k), F.col(k).eqNullSafe(F.lit(value))
+            c, same = F.col(f"`{k}`"), F.col(f"`{k}`").eqNullSafe(F.lit(value))
             if value is None:
                 past = F.lit(False) if up == after else c.isNotNull()
             else:
@@ -213,12 +241,14 @@ class Ordered:
 
     # pages
 
-    def _cursor(self, row: Row) -> str:
-        return base64.urlsafe_b64encode(json.dumps([row[k] for k, _ in self.keys], default=str).encode()).decode()
+    def _cursor(self, row: Row, seen: int) -> str:
+        """The values of a row in the total order, and how many rows like it came so far."""
+        return base64.urlsafe_b64encode(json.dumps([[row[k] for k, _ in self.total.keys], seen], default=str).encode()).decode()
 
     @staticmethod
-    def _open(cursor: str) -> tuple:
-        return tuple(json.loads(base64.urlsafe_b64decode(cursor)))
+    def _open(cursor: str) -> tuple[tuple, int]:
+        values, seen = json.loads(base64.urlsafe_b64decode(cursor))
+        return tuple(values), seen
 
     def after(self, prefix: tuple, inclusive: bool = False) -> Ordered:
         return self.where(self._beyond(prefix, True, inclusive))
@@ -229,7 +259,11 @@ class Ordered:
 
     def paginate(self, cursor: str | None = None, size: int | None = None) -> Page:
         """A page and the cursor of the next: keys seek into the data, so late pages cost as little as early ones."""
-        size = size or self.size
-        rows = (self.after(self._open(cursor)) if cursor else self).take(size + 1).df.collect()
-        data = rows[:size]
-        return Page(data, self._cursor(data[-1]) if len(rows) > size else None, self._cursor(data[0]) if data else None)
+        size, whole = size or self.size, self.total
+        place, seen = self._open(cursor) if cursor else ((), 0)
+        rows = (whole.after(place, inclusive=True) if cursor else whole).take(size + 1 + seen).df.collect()
+        data = rows[seen : seen + size]
+        more = len(rows) > seen + size
+        alike = lambda r: [r[k] for k, _ in whole.keys]
+        count = sum(alike(r) == alike(data[-1]) for r in rows[: seen + size]) if data else 0
+        return Page(data, self._cursor(data[-1], count) if more else None, self._cursor(data[0], 0) if data else None)

@@ -19,21 +19,22 @@ def _counted(sets: tuple[DataFrame, ...]) -> DataFrame:
     return marked.groupBy(*columns).agg(*[F.count_if(F.col("_set") == k).alias(f"_n{k}") for k in range(len(sets))])
 
 
-def _expanded(counted: DataFrame, times, columns: list[str]) -> DataFrame:
+def expanded(counted: DataFrame, times, columns: list[str]) -> DataFrame:
+    """Rows as often as ``times`` says."""
     # in two steps, so that no array is long where a row is very frequent
     some = counted.withColumn("_times", times).where("_times > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / CHUNK))))
     own = F.least(F.lit(CHUNK), F.col("_times") - F.col("_chunk") * CHUNK).cast("int")
-    return some.select(*columns, F.explode(F.array_repeat(F.lit(0), own))).drop("col")
+    return some.select(*(F.col(f"`{c}`") for c in columns), F.explode(F.array_repeat(F.lit(0), own)).alias("_copy")).drop("_copy")
 
 
 def union_max(*sets: DataFrame) -> DataFrame:
     counts = [F.col(f"_n{k}") for k in range(len(sets))]
-    return _expanded(_counted(sets), F.greatest(*counts) if len(counts) > 1 else counts[0], sets[0].columns)
+    return expanded(_counted(sets), F.greatest(*counts) if len(counts) > 1 else counts[0], sets[0].columns)
 
 
 def intersection_min(*sets: DataFrame) -> DataFrame:
     counts = [F.col(f"_n{k}") for k in range(len(sets))]
-    return _expanded(_counted(sets), F.least(*counts) if len(counts) > 1 else counts[0], sets[0].columns)
+    return expanded(_counted(sets), F.least(*counts) if len(counts) > 1 else counts[0], sets[0].columns)
 
 
 def difference(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -95,6 +96,8 @@ class SetValue:
     refs: frozenset = frozenset()
     steps: tuple[str, ...] = ()
     joins: dict = field(default_factory=dict)
+    pipeline: tuple | None = ()  # (step, lambda) since the collection, as long as a stream could go through them
+    covered: tuple[str, ...] | None = None  # of an index: the fields that it holds
     serial: int = field(default_factory=lambda: next(_SERIAL))
 
     @classmethod
@@ -129,6 +132,15 @@ class SetValue:
         return replace(self, set=rows, steps=(*self.steps, step), **changes)
 
 
+@dataclass(frozen=True)
+class EventSource:
+    """Changes of a set: its collection's versions through the set's filters and maps, before and after each change."""
+
+    collection: Collection
+    pipeline: tuple = ()
+    watched: tuple[str, ...] = ()
+
+
 class _Followed(RowValue):
     """A referenced row, joined to the set that refers to it; further references join to the same set."""
 
@@ -136,6 +148,7 @@ class _Followed(RowValue):
 class Interpreter:
     def __init__(self, spark: SparkSession, catalog: Catalog):
         self.spark, self.catalog = spark, catalog
+        self.cursors: dict[str, SetValue] = {}
         self.one = spark.range(1).select(F.lit(0).alias("nothing"))
 
     # running
@@ -153,7 +166,14 @@ class Interpreter:
             page = Ordered(v.set.df, v.set.keys, v.set.size).paginate()
             back = {c: n for n, (c, _) in v.columns.items()}
             rows = [{back[c]: x for c, x in r.asDict().items() if c in back} for r in page.data]
-            return Page([r["value"] for r in rows] if v.single else rows, page.after)
+            return self.paged(v, Page([r["value"] for r in rows] if v.single else rows, page.after))
+        if isinstance(v, EventSource):
+            from sheaf.streaming.changes import feed
+
+            rows, cursor, _ = feed(self.events(v))
+            return Page([r.asDict(True) for r in rows], cursor)
+        if isinstance(v, Collection):
+            return v.name
         if isinstance(v, RowValue):
             v = v.packed()
         if isinstance(v, Value):
@@ -163,6 +183,8 @@ class Interpreter:
     def frame(self, v: Any) -> DataFrame:
         if isinstance(v, SetValue):
             return v.set.to_df().select(*[F.col(c).alias(n) for n, (c, _) in v.columns.items()])
+        if isinstance(v, EventSource):
+            return self.events(v)
         if isinstance(v, RowValue):
             v = v.packed()
         return self.one.select(v.c.alias("value")) if isinstance(v, Value) else v
@@ -184,6 +206,36 @@ class Interpreter:
             df = df.withColumn(n, F.lit(None).cast(k))
         return Value(c, df.select(c.alias("value")).schema[0].dataType, refs)
 
+    def plain(self, x: Any) -> Value:
+        """A plain Python value as a literal."""
+        if isinstance(x, dict):
+            items = [(k, self.plain(v)) for k, v in x.items()]
+            return self.typed(F.struct(*[v.c.alias(k) for k, v in items]) if items else F.from_json(F.lit("{}"), "struct<>"))
+        if isinstance(x, (list, tuple)):
+            return self.typed(F.array(*[self.plain(v).c for v in x]))
+        return self.lit(x if isinstance(x, (bool, int, float, str, type(None))) else str(x))
+
+    def logged(self, args) -> Value:
+        """Values go to the log as they are; a set shows its first page."""
+        import logging
+
+        logging.getLogger("sheaf").info("%s", " ".join(str(self.result(a)) for a in args if not (isinstance(a, Value) and a.refs)))
+        return self.lit(None)
+
+    def resumed(self, s: SetValue, cursor: str, size: Value | None) -> Any:
+        back = {c: n for n, (c, _) in s.columns.items()}
+        page = Ordered(s.set.df, s.set.keys, int(size.const) if size else s.set.size).paginate(cursor)
+        rows = [{back[c]: x for c, x in r.asDict().items() if c in back} for r in page.data]
+        return self.paged(s, Page([r["value"] for r in rows] if s.single else rows, page.after))
+
+    def paged(self, s: SetValue, page: Page) -> Page:
+        """The set stays known under the cursor: it is the set as it was planned then."""
+        if page.after:
+            if len(self.cursors) >= 10_000:
+                self.cursors.pop(next(iter(self.cursors)))
+            self.cursors[page.after] = s
+        return page
+
     live: list[SetValue] = []
     bound: dict[str, T.DataType] = {}
 
@@ -310,11 +362,9 @@ class Interpreter:
 
     def on_as_of(self, node, env):
         when, saved = self.value(self.evaluate(node[1], env)), self.catalog
-        seen = Catalog(self.spark)
-        seen.functions, seen.roles, seen.stores = saved.functions, saved.roles, saved.stores
-        for n, c in saved.collections.items():
-            seen.create(replace(c, df=saved.stores[n].rows(when.c)) if n in saved.stores else c)
-        self.catalog = seen
+        if when.const is None and self.one.select(when.c > F.current_timestamp()).first()[0]:
+            raise EvalError("at: a time in the future")
+        self.catalog = saved.as_of(when.c)
         try:
             return self.evaluate(node[2], env)
         finally:
@@ -336,10 +386,8 @@ class Interpreter:
         if op == "+" and isinstance(a.kind, T.StringType):
             return Value(S.add(a.c, b.c), T.StringType(), refs)
         if op in "+-*" and op != "**":
-            if whole:
-                tries = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
-                return Value(tries(a.c, b.c), T.LongType(), refs)
-            return Value({"+": N.add, "-": N.subtract, "*": N.multiply}[op](a.c, b.c), T.DoubleType(), refs)
+            f = {"+": N.add, "-": N.subtract, "*": N.multiply}[op]
+            return Value(f(a.c, b.c), T.LongType(), refs) if whole else Value(f(a.c.cast("double"), b.c.cast("double")), T.DoubleType(), refs)
         if op == "/":
             return Value(N.divide_int(a.c, b.c) if whole else N.divide(a.c, b.c), T.LongType() if whole else T.DoubleType(), refs)
         if op == "%":
@@ -366,6 +414,11 @@ class Interpreter:
             return v.get(name)
         if isinstance(v, dict):
             return v[name]() if name in ("E", "PI", "NaN", "Infinity") else v[name]
+        if isinstance(v, Collection):
+            if name == "definition":
+                return self.defined(v)
+            if name == "name":
+                return self.lit(v.name)
         if isinstance(v, Value):
             if isinstance(v.kind, T.StructType) and name in v.kind.names:
                 return Value(v.c.getField(name), v.kind[name].dataType, v.refs)
@@ -421,6 +474,10 @@ class Interpreter:
     def method(self, target: Any, name: str, args: list) -> Any:
         if isinstance(target, Collection):
             return self.on_collection(target, name, args)
+        if isinstance(target, EventSource):
+            if name not in ("where", "map"):
+                raise EvalError(f"no method {name} on an event source")
+            return replace(target, pipeline=(*target.pipeline, (name, args[0])))
         if isinstance(target, SetValue):
             return self.on_set(target, name, args)
         if isinstance(target, dict):
@@ -457,7 +514,7 @@ class Interpreter:
         store = self.catalog.stores[c.name]
         rows = self.one.select(F.lit(id_).cast("long").alias("id")) if data is None else self.one.select(*([F.lit(id_).cast("long").alias("id")] if id_ is not None else []), data.c.alias("d")).select("*", "d.*").drop("d")
         if "id" not in rows.columns:
-            rows = rows.withColumn("id", F.lit((store.log().agg(F.max("id")).first()[0] or 0) + 1))
+            rows = rows.withColumn("id", F.lit(store.next_id()))
         id_ = rows.first()["id"]
         if action == "update":
             store.update(rows, clear=tuple(f.name for f in data.kind if isinstance(f.dataType, T.NullType)))
@@ -466,6 +523,72 @@ class Interpreter:
         fresh = self.catalog.create(replace(c, df=store.rows()))
         return self.document(fresh, self.lit(id_))
 
+    def defined(self, c: Collection) -> Value:
+        """What a collection is: its name, fields, computed fields, indexes, checks and unique constraints."""
+        names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+        fields = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for f in c.rows.schema])
+        packed = F.struct(F.lit(c.name).alias("name"), fields.alias("fields"), names(c.computed).alias("computed"), names(c.indexes).alias("indexes"), names(c.checks).alias("checks"), names(",".join(u) for u in c.unique).alias("unique"))
+        return self.typed(packed)
+
+    def fields_of(self, s: SetValue, lambdas: list) -> tuple[str, ...]:
+        """The fields that accessors name."""
+        back, out = {c: n for n, (c, _) in s.columns.items()}, []
+        for f in lambdas:
+            v = self.on_row(s, f)
+            named = [n for c, n in back.items() if isinstance(v, Value) and str(v.c._jc.toString()) == c]
+            if not named:
+                raise EvalError("a watched field is an accessor such as .name")
+            out.append(named[0])
+        return tuple(out)
+
+    def event_source(self, s: SetValue, lambdas: list) -> EventSource:
+        from sheaf.streaming.changes import check_streamable
+
+        check_streamable(list(s.steps))
+        if s.pipeline is None or s.collection is None and not s.pipeline:
+            raise EvalError("only sets of a collection or an index can be streamed")
+        watched = self.fields_of(s, lambdas)
+        if s.covered is not None and (bad := [f for f in watched if f not in s.covered]):
+            raise EvalError(f"the index does not hold {', '.join(bad)}")
+        return EventSource(s.pipeline[0][1], s.pipeline[1:], watched)
+
+    def events(self, e: EventSource) -> DataFrame:
+        """(id, ts, ord, event_type, data): add, update or remove, as the images before and after pass the set's filters."""
+        from sheaf.sources import versions
+        from sheaf.streaming import changes
+
+        log = self.catalog.log(e.collection.name)
+        if log is None:
+            raise EvalError(f"no log tells the changes of {e.collection.name}")
+        plain = [f.name for f in log.schema if f.name not in ("ts", "ord", "action")]
+        images = versions.before_images(log.withColumn("_id", F.col("id")), plain, tie="ord").select("id", "ts", "ord", "before", "after")
+        if e.watched:
+            images = changes.changed(images, *e.watched)
+        tag, passed, data = next(_SERIAL), {}, {}
+        df = images
+        for side in ("before", "after"):
+            df = df.select("*", *[F.col(side).getField(n).alias(f"s{tag}{side}_{n}") for n in plain])
+        for side in ("before", "after"):
+            s = SetValue(Ordered(df, ()), {n: (f"s{tag}{side}_{n}", log.schema[n].dataType) for n in plain}, e.collection)
+            row: Any = s.row()
+            ok = F.col(side).isNotNull()
+            for step, f in e.pipeline:
+                self.live = [*self.live, s]
+                try:
+                    v = f(row)
+                    if step == "where":
+                        ok = ok & F.coalesce(self.value(v).c, F.lit(False))
+                    else:
+                        row = self.value(v)
+                finally:
+                    self.live = self.live[:-1]
+            if s.joins:
+                raise EvalError("a stream's filters and maps read the document only")
+            passed[side], data[side] = ok, self.value(row).c
+        kind = F.when(~passed["before"] & passed["after"], "add").when(passed["before"] & passed["after"], "update").when(passed["before"] & ~passed["after"], "remove")
+        out = df.select("id", "ts", "ord", kind.alias("event_type"), F.when(passed["after"], data["after"]).otherwise(data["before"]).alias("data"))
+        return out.where("event_type is not null")
+
     def single_row(self, s: SetValue) -> Any:
         """The first row as a value, read now; null where there is none."""
         rows = self.result(replace(s, set=s.set.page_size(1))).data
@@ -482,7 +605,9 @@ class Interpreter:
             low = high = None
             if args:
                 low, high = (self.bounds(args[0], k) for k in ("from", "to"))
-            return SetValue.of(c.all(low, high), c)
+            return replace(SetValue.of(c.all(low, high), c), pipeline=(("from", c),) if low is None and high is None else None)
+        if name == "toString":
+            return self.lit(c.name)
         if name == "byId":
             return self.document(c, args[0])
         if name in ("create", "createData"):
@@ -491,6 +616,10 @@ class Interpreter:
             index = c.indexes[name]
             n = len(index.terms)
             base = SetValue.of(Ordered(c.rows, Ordered.of(c.rows, *index.values, c.id).keys), c)
+            given = [self.value(a) for a in args[:n]]
+            same = lambda row: Value(reduce(lambda x, y: x & y, [F.array_contains(row.get(t).c, a.c) if t in index.multi else row.get(t).c == a.c for t, a in zip(index.terms, given)], F.lit(True)), T.BooleanType())
+            fixed = len(args) == n and not any(a.refs for a in given) and not index.computed
+            base = replace(base, pipeline=(("from", c), ("where", same)) if fixed else None, covered=(*index.terms, *(v.lstrip("-") for v in index.values)))
             for t, a in zip(index.terms, args[:n]):
                 a = self.value(a)
                 column = F.col(base.columns[t][0])
@@ -500,7 +629,7 @@ class Interpreter:
                 as_tuple = lambda x: () if x is None else tuple(x) if isinstance(x, (list, tuple)) else (x,)
                 base = base.but(base.set.range(as_tuple(low), as_tuple(high)), "range")
             return base
-        return self.on_set(SetValue.of(c.all(), c), name, args)
+        return self.on_set(replace(SetValue.of(c.all(), c), pipeline=(("from", c),)), name, args)
 
     def bounds(self, v: Value, key: str) -> Any:
         if key not in v.kind.names:
@@ -548,10 +677,12 @@ class Interpreter:
         return s.but(replace(joined, df=df.select(*keep) if not s.outer else df), "map", columns=columns, collection=None, single=not isinstance(v.kind, T.StructType), joins={})
 
     def on_set(self, s: SetValue, name: str, args: list) -> Any:
-        if name in ("where", "filter"):
-            return self.filtered(s, args[0])
-        if name == "map":
-            return self.mapped(s, args[0])
+        if name in ("where", "filter", "$where"):
+            return replace(self.filtered(s, args[0]), pipeline=s.pipeline and (*s.pipeline, ("where", args[0])))
+        if name in ("map", "$map"):
+            return replace(self.mapped(s, args[0]), pipeline=s.pipeline and (*s.pipeline, ("map", args[0])))
+        if name == "$flatMap":
+            name = "flatMap"
         if name == "flatMap":
             inner = self.on_row(s, args[0])
             if isinstance(inner, Value) and isinstance(inner.kind, T.ArrayType):
@@ -591,12 +722,10 @@ class Interpreter:
             both = parts[0].unionByName(parts[1], allowMissingColumns=True)
             out = SetValue.of(Ordered(both, tuple(keys)), None, s.single)
             return replace(out, columns={n: out.columns[n] for n in s.columns}, steps=(*s.steps, "concat"))
-        if name in ("toSet", "toStream", "eventSource", "changesOn", "eventsOn"):
-            if name != "toSet":
-                from sheaf.streaming.changes import check_streamable
-
-                check_streamable(list(s.steps))
+        if name == "toSet":
             return s
+        if name in ("toStream", "eventSource", "changesOn", "eventsOn"):
+            return self.event_source(s, args)
         if name == "first":
             return self.single_row(s)
         if name == "last":
@@ -608,18 +737,19 @@ class Interpreter:
             return self.single_row(s.but(s.set.reverse(), "reverse"))
         if name == "includes":
             found = s.set.df.where(F.col(s.columns["value"][0]).eqNullSafe(args[0].c)).limit(1)
-            return self.lit(found.count() > 0)
+            return self.subquery(found.agg((F.count(F.lit(1)) > 0).alias("v")), T.BooleanType())
         if name in ("isEmpty", "nonEmpty"):
             if s.outer:
                 return Exists(s, name == "isEmpty")
-            return self.lit((s.set.df.limit(1).count() > 0) == (name == "nonEmpty"))
+            some = s.set.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("v"))
+            return self.subquery(some, T.BooleanType(), lambda c: c if name == "nonEmpty" else ~c)
         if name == "any":
             return self.on_set(self.filtered(s, args[0]), "nonEmpty", [])
         if name == "every":
             p = self.on_row(s, args[0])
-            return self.lit(s.joined().df.where(~F.coalesce(p.c, F.lit(False))).limit(1).count() == 0)
+            return self.subquery(s.joined().df.where(~F.coalesce(p.c, F.lit(False))).limit(1).agg((F.count(F.lit(1)) == 0).alias("v")), T.BooleanType())
         if name == "count":
-            return self.lit(s.set.df.count())
+            return self.subquery(s.set.df.agg(F.count(F.lit(1)).alias("v")), T.LongType())
         if name == "toArray":
             return self.materialised(s)
         if name in ("fold", "foldRight", "reduce", "reduceRight", "aggregate"):
@@ -636,6 +766,12 @@ class Interpreter:
             return self.result(s.but(s.set.page_size(int(args[0].const)), "page") if args else s)
         raise EvalError(f"no method {name} on a set")
 
+    def subquery(self, df: DataFrame, kind: T.DataType, then: Callable = lambda c: c) -> Value:
+        """A single row's single value as part of the plan. Within a lambda over an array it is read now, since Spark can't plan it there."""
+        if self.bound or self.live:
+            return Value(then(F.lit(df.first()[0]).cast(kind)), kind)
+        return Value(then(df.scalar()), kind)
+
     def over_array(self, name: str, v: Value, args: list) -> Any:
         element = v.kind.elementType
         refs = v.refs
@@ -740,19 +876,91 @@ def _mean(self, v):
     if isinstance(v, SetValue):
         c, kind = v.columns["value"]
         whole = isinstance(kind, T.IntegralType)
-        x = v.set.df.agg((N.mean_of_integers(c) if whole else N.mean_of(c)).alias("v")).first()["v"]
-        return self.lit(x)
+        return self.subquery(v.set.df.agg((N.mean_of_integers(c) if whole else N.mean_of(c)).alias("v")), T.LongType() if whole else T.DoubleType())
     return self.typed(A.mean(v.c), v)
 
 
 def _sum(self, v):
     if isinstance(v, SetValue):
         c, kind = v.columns["value"]
-        x = v.set.df.agg(N.sum_of(c).alias("v")).first()["v"]
-        return self.lit(int(x) if isinstance(kind, T.IntegralType) and abs(x) < 1 << 53 else x)
+        if isinstance(kind, T.IntegralType):  # null where the exact sum is no long
+            exact = F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+            return self.subquery(v.set.df.agg(exact.try_cast("bigint").alias("v")), T.LongType())
+        return self.subquery(v.set.df.agg(N.sum_of(c).alias("v")), T.DoubleType())
     return self.typed(A.sum_(v.c), v)
 
 
+def _paginate(self, cursor, size=None):
+    """The page after a cursor that a page of the same set gave: ``Set.paginate([set, cursor])`` names both; see ``resumed``."""
+    saved = self.cursors.get(cursor.const)
+    if saved is None:
+        raise EvalError("unknown cursor; a page of this session gives one")
+    return self.resumed(saved, cursor.const, size)
+
+
+def _v4(self, form):
+    """Evaluate a JSON form, given as text."""
+    import json
+
+    from sheaf.plans.json_forms import Elements, Forms
+
+    forms = Forms(self.spark, self.catalog)
+    out = forms.evaluate(json.loads(form.const), {})
+    if isinstance(out, Elements):
+        o = out.ordered()
+        s = SetValue.of(Ordered(o.df, o.keys))
+        if len(out.values) == 1:
+            return replace(s, columns={"value": s.columns[out.values[0]]}, single=True)
+        return replace(s, columns={v: s.columns[v] for v in out.values})
+    if isinstance(out, Column):
+        return self.typed(out)
+    return self.plain(out)
+
+
+def _from_entries(self, pairs):
+    """Pairs [key, value] or { key, value } to an object; keys are constants, of equal keys the last counts."""
+    kind = pairs.kind.elementType
+    keyed = isinstance(kind, T.StructType)
+    key = (lambda x: x["key"]) if keyed else (lambda x: x[0])
+    names = self.one.select(F.transform(pairs.c, lambda x: key(x).cast("string")).alias("k")).first()["k"]
+    last = {n: k for k, n in enumerate(names)}
+    return self.typed(F.struct(*[(F.get(pairs.c, F.lit(k))["value"] if keyed else F.get(F.get(pairs.c, F.lit(k)), F.lit(1))).alias(n) for n, k in last.items()]), pairs)
+
+
+def _named(kind: str):
+    """The module of definitions of a kind: all of them, or one by its name."""
+
+    def by_name(self, name):
+        if kind == "collection" and name.const in self.catalog.collections:
+            return self.catalog.collections[name.const]
+        if kind == "function" and name.const in self.catalog.functions:
+            return self.catalog.functions[name.const]
+        if not self.catalog.has(kind, name.const):
+            raise EvalError(f"no {kind} {name.const}")
+        return self.plain({"name": name.const, **self.catalog.objects.get(kind, {}).get(name.const, {})})
+
+    def every(self):
+        return SetValue.of(Ordered.of(self.catalog.listing().where(F.col("kind") == kind).select("name"), "name"))
+
+    return {"()": _own(by_name), "byName": _own(by_name), "all": _own(every), "exists": _own(lambda self, name: self.lit(self.catalog.has(kind, name.const)))}
+
+
+def _who(self):
+    who = self.catalog.identity.who
+    return self.document(self.catalog.collections[who[0]], self.lit(who[1])) if who else self.lit(None)
+
+
+def _tokens_of(self, d):
+    id_ = self.one.select(self.value(d).c.getField("id")).first()[0]
+    found = [(t,) for t, x in self.catalog.objects.get("token", {}).items() if (x["instance"].collection, x["instance"].id) == (d.owner.name, id_)]
+    return SetValue.of(Ordered.of(self.spark.createDataFrame(found, "value string"), "value"), single=True)
+
+
+def _identifier(self, name):
+    kind = next((k for k in ("collection", "function", "role", "index", "database", "key", "token", "access_provider") if self.catalog.has(k, name.const)), None)
+    return self.plain({"kind": kind, "name": name.const}) if kind else self.lit(None)
+
+
 MODULES: dict[str, dict[str, Callable]] = {
     "Math": {
         "abs": N.abs_, "acos": N.acos, "asin": N.asin, "atan": N.atan, "ceil": N.ceil, "cos": N.cos, "cosh": N.cosh, "degrees": N.degrees, "exp": N.exp, "floor": N.floor, "hypot": N.hypot,
@@ -765,7 +973,7 @@ MODULES: dict[str, dict[str, Callable]] = {
     "Set": {
         "sequence": _own(lambda self, a, b: SetValue.of(Ordered.sequence(self.spark, int(a.const), int(b.const)), single=True)),
         "single": _own(lambda self, v: SetValue.of(Ordered.single(self.one.select(v.c.alias("value"))), single=True)),
-        "paginate": _own(lambda self, cursor, size=None: (_ for _ in ()).throw(EvalError("continue with Ordered.paginate(cursor)"))),
+        "paginate": _own(_paginate),
     },
     "Time": {"()": _own(lambda self, s: self.typed(D.parse(s.c), s)), "fromString": D.parse, "now": D.now, "epoch": _own(lambda self, x, u: self.typed(D.epoch(x.c, u.const), x))},
     "Date": {"()": _own(lambda self, s: self.typed(D.date_parse(s.c), s)), "fromString": D.date_parse, "today": D.today},
@@ -777,7 +985,7 @@ MODULES: dict[str, dict[str, Callable]] = {
         "entries": _own(lambda self, o: self.typed(F.array(*[F.struct(F.lit(n).alias("key"), o.c.getField(n).alias("value")) for n in o.kind.names]), o)),
         "assign": _own(lambda self, a, b: self.typed(F.struct(*[a.c.getField(n).alias(n) for n in a.kind.names if n not in b.kind.names], *[b.c.getField(n).alias(n) for n in b.kind.names]), a, b)),
         "select": _own(lambda self, o, path: self.typed(_path(o, path), o)), "hasPath": _own(lambda self, o, path: self.typed(_path(o, path).isNotNull(), o)),
-        "toString": _own(lambda self, o: self.typed(F.to_json(o.c) if isinstance(o.kind, (T.StructType, T.ArrayType)) else Y.to_string(o.c), o)),
+        "fromEntries": _own(_from_entries), "toString": _own(lambda self, o: self.typed(F.to_json(o.c) if isinstance(o.kind, (T.StructType, T.ArrayType)) else Y.to_string(o.c), o)),
     },
 }
 
@@ -794,8 +1002,20 @@ def _path(o: Value, path: Value) -> Column:
     return c
 
 
+MODULES |= {
+    "Collection": _named("collection"), "Function": _named("function"), "Role": _named("role"), "Database": _named("database"), "Key": _named("key"), "AccessProvider": _named("access_provider"),
+    "Token": {**_named("token"), "byDocument": _own(_tokens_of)},
+    "Query": {
+        "identity": _own(_who), "token": _own(lambda self: self.lit(self.catalog.identity.token)),
+        "isEnvTypechecked": _own(lambda self: self.lit(False)), "isEnvProtected": _own(lambda self: self.lit(bool(self.catalog.objects.get("environment", {}).get("protected")))),
+    },
+    "Schema": {"defForIdentifier": _own(_identifier)},
+    "TransactionTime": {"()": _own(lambda self: self.typed(F.current_timestamp()))},
+}
+MODULES["FQL"] = MODULES
+
 GLOBALS: dict[str, Any] = {
     "asc": lambda key: Ordering(key, True), "desc": lambda key: Ordering(key, False),
     "newId": _own(lambda self: self.typed(Y.new_id())), "abort": _own(lambda self, v: Value(Y.abort(v.c), T.StringType(), v.refs)),
-    "log": lambda *args: Value(F.lit(None), T.NullType()), "dbg": lambda v: v,
+    "log": _own(lambda self, *args: self.logged(args)), "dbg": _own(lambda self, v: (self.logged([v]), v)[1]), "evalV4": _own(_v4),
 }

@@ -1,13 +1,15 @@
 """The JSON expression language: each form is an object whose first key names the function.
 
-Scalars become Columns, sets are DataFrames of index values (see ``Elements``). Only reads are
-evaluated here; writes are versions that ``sheaf.sources.versions`` appends.
+Scalars become Columns, sets are DataFrames of index values (see ``Elements``). Writes of documents append
+versions to the collection's store; collections, indexes, functions, roles, databases and keys are entries of
+the catalog.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import islice
 from typing import Any
@@ -23,10 +25,11 @@ from sheaf.functions import numbers as N
 from sheaf.functions import strings as S
 from sheaf.functions import types as Y
 from sheaf.operators import setops as X
-from sheaf.operators.ordered import Ordered
-from sheaf.sources.catalog import Catalog
+from sheaf.operators.ordered import Key, Ordered, keys_of
+from sheaf.sources.catalog import Catalog, Index
 
 
+SCHEMA_KINDS = frozenset("collection database index function key token credentials role access_provider".split())
 CHUNK = 16_000  # elements of a set that a fold takes at a time
 
 
@@ -36,13 +39,19 @@ class FormError(ValueError):
 
 @dataclass(frozen=True)
 class Elements:
-    """A set: its value columns, in order."""
+    """A set: its value columns, and the keys that order it; by default the values, ascending."""
 
     df: DataFrame
     values: tuple[str, ...]
+    keys: tuple[Key, ...] | None = None
+    log: DataFrame | None = None  # versions (id, ts, action, ...) of the documents, where the set can tell its events
 
     def ordered(self) -> Ordered:
-        return Ordered.of(self.df.select(*self.values), *self.values)
+        keys = keys_of(*self.values) if self.keys is None else self.keys
+        return Ordered(self.df.select(*dict.fromkeys([*self.values, *(k for k, _ in keys)])), keys)
+
+    def but(self, df: DataFrame) -> Elements:
+        return replace(self, df=df)
 
 
 @dataclass(frozen=True)
@@ -51,6 +60,25 @@ class Ref:
     id: Any
 
 
+class Named(str):
+    """The name of a part of the schema, and what it names."""
+
+    kind: str
+
+    def __new__(cls, kind: str, name: str):
+        out = super().__new__(cls, name)
+        out.kind = kind
+        return out
+
+
+class Document(dict):
+    """A document that was read."""
+
+
+class Uuid(str):
+    pass
+
+
 def _many(x: Any) -> list:
     return x if isinstance(x, list) else [x]
 
@@ -165,7 +193,7 @@ class Forms:
     form_quote = lambda self, form, env: form["quote"]
 
     def evaluate_literal(self, kind: str, value: Any) -> Any:
-        return {"@ts": lambda: D.parse(F.lit(value)), "@date": lambda: D.date_parse(F.lit(value)), "@bytes": lambda: F.unbase64(F.lit(value)), "@uuid": lambda: value, "@obj": lambda: value}[kind]()
+        return {"@ts": lambda: D.parse(F.lit(value)), "@date": lambda: D.date_parse(F.lit(value)), "@bytes": lambda: F.unbase64(F.lit(value)), "@uuid": lambda: Uuid(value), "@ref": lambda: Ref(value["collection"], value["id"]), "@set": lambda: self.evaluate(value, {}), "@int": lambda: int(value), "@long": lambda: int(value), "@double": lambda: float(value), "@obj": lambda: value}[kind]()
 
     def __getattr__(self, name: str):
         if name.startswith("form_@"):
@@ -219,7 +247,9 @@ class Forms:
         if isinstance(c, Elements):
             row = [F.col(v) for v in c.values]
             out = f(*row)
-            return Elements(c.df.withColumn("value", _c(out)), ("value", *c.values))
+            o = c.ordered()
+            kept = [F.col(k).alias(f"_k{n}") for n, (k, _) in enumerate(o.keys)]
+            return Elements(c.df.select(_c(out).alias("value"), *kept), ("value",), tuple((f"_k{n}", up) for n, (_, up) in enumerate(o.keys)))
         return [f(x) for x in c] if isinstance(c, list) else A.map_(c, lambda x: _c(f(x)))
 
     def form_foreach(self, form, env):
@@ -229,7 +259,7 @@ class Forms:
     def form_filter(self, form, env):
         f, c = self.evaluate(form["filter"], env), self.evaluate(form["collection"], env)
         if isinstance(c, Elements):
-            return Elements(c.df.where(f(*[F.col(v) for v in c.values])), c.values)
+            return c.but(c.df.where(f(*[F.col(v) for v in c.values])))
         return A.filter_(_c(c), lambda x: f(x))
 
     def form_reduce(self, form, env):
@@ -259,7 +289,7 @@ class Forms:
     def _sized(self, name: str, signed: Callable, form, env):
         n, c = self.evaluate(form[name], env), self.evaluate(form["collection"], env)
         if isinstance(c, Elements):
-            return Elements(getattr(c.ordered(), name)(n).df, c.values)
+            return c.but(getattr(c.ordered(), name)(n).df)
         return signed(_c(c), n)
 
     form_take = lambda self, form, env: self._sized("take", A.take_signed, form, env)
@@ -346,12 +376,16 @@ class Forms:
         return [[k, v] for k, v in self.evaluate(form["to_array"], env).items()]
 
     def type_test(self, name: str, v: Any) -> Any:
-        kinds = {"number": (int, float), "double": float, "integer": int, "boolean": bool, "string": str, "array": list, "object": dict, "ref": Ref, "set": Elements, "lambda": type(lambda: 0)}
+        kinds = {"number": (int, float), "double": float, "integer": int, "boolean": bool, "array": list, "object": dict, "ref": (Ref, Named), "set": Elements, "lambda": type(lambda: 0), "doc": Document, "uuid": Uuid}
         if isinstance(v, Column):
             names = {"number": "bigint|int|double|float|smallint|tinyint|decimal.*", "double": "double|float", "integer": "bigint|int|smallint|tinyint", "boolean": "boolean", "string": "string", "array": "array.*", "object": "struct.*|map.*", "bytes": "binary", "timestamp": "timestamp.*", "date": "date"}
-            return F.typeof(v).rlike(f"^({names[name]})$") if name in names else F.lit(False)
+            return F.typeof(v).rlike(f"^({names[name]})$") & v.isNotNull() if name in names else F.lit(False)
         if name == "null":
             return v is None
+        if name == "string":
+            return isinstance(v, str) and not isinstance(v, (Named, Uuid))
+        if name in SCHEMA_KINDS:  # a name of such a part, or a reference to a document of such a kind
+            return isinstance(v, Named) and v.kind == name or isinstance(v, Ref) and v.collection == {"key": "keys", "token": "tokens"}.get(name, name)
         return isinstance(v, kinds.get(name, ())) and not (name in ("number", "integer") and isinstance(v, bool))
 
     # refs and sets
@@ -360,26 +394,33 @@ class Forms:
         c, i = self.args(form, env, "ref", "id")
         return Ref(c, i)
 
-    form_collection = lambda self, form, env: form[next(iter(form))]
-    form_index = form_function = form_role = form_database = form_collection
+    def _named(kind: str):  # noqa: N805
+        def named(self, form, env):
+            return Named(kind, self.evaluate(next(iter(form.values())), env))
+
+        return named
+
+    form_collection, form_index, form_function, form_role, form_database, form_access_provider = map(_named, ("collection", "index", "function", "role", "database", "access_provider"))
 
-    def form_collections(self, form, env):
-        return Elements(self.catalog.listing().where("kind = 'collection'").select("name"), ("name",))
+    def _listed(kind: str):  # noqa: N805
+        def listed(self, form, env):
+            return Elements(self.catalog.listing().where(F.col("kind") == kind).select("name"), ("name",))
 
-    def form_indexes(self, form, env):
-        return Elements(self.catalog.listing().where("kind = 'index'").select("name"), ("name",))
+        return listed
 
-    def form_functions(self, form, env):
-        return Elements(self.catalog.listing().where("kind = 'function'").select("name"), ("name",))
+    form_collections, form_indexes, form_functions, form_roles, form_databases, form_keys, form_tokens, form_credentials, form_access_providers = map(
+        _listed, ("collection", "index", "function", "role", "database", "key", "token", "credentials", "access_provider")
+    )
 
     def form_documents(self, form, env):
         c = self.catalog.collection(self.evaluate(form["documents"], env))
-        return Elements(c.rows, (c.id,))
+        return Elements(c.rows, (c.id,), log=self.catalog.log(c.name))
 
     def form_singleton(self, form, env):
         r = self.evaluate(form["singleton"], env)
         c = self.catalog.collection(r.collection)
-        return Elements(c.by_id(r.id), (c.id,))
+        log = self.catalog.log(c.name)
+        return Elements(c.by_id(r.id), (c.id,), log=None if log is None else log.where(F.col("id") == r.id))
 
     def _index(self, name: str):
         for c in self.catalog.collections.values():
@@ -390,10 +431,14 @@ class Forms:
     def form_match(self, form, env):
         c, index = self._index(self.evaluate(form["index"], env) if "index" in form else self.evaluate(form["match"], env))
         terms = _many(self.evaluate(form["terms"] if "terms" in form else form["match"], env)) if index.terms else []
-        df = index.entries(c.rows, c.id)
+        df, log = index.entries(c.rows, c.id), self.catalog.log(c.name)
         for t, v in zip(index.terms, terms, strict=True):
             df = df.where(F.col(t) == _c(v))
-        return Elements(df, tuple(v.lstrip("-") for v in index.values) or (c.id,))
+            if log is not None:
+                log = log.where(F.array_contains(t, _c(v)) if t in index.multi else F.col(t) == _c(v)) if t in log.columns else None
+        # entries are ordered by their values in the index's directions, then by the document
+        values = tuple(v.lstrip("-") for v in index.values) or (c.id,)
+        return Elements(df, values, (*keys_of(*(index.values or (c.id,))), *(() if c.id in values else keys_of(c.id))), log)
 
     def _sets(self, name: str, of_sets: Callable, of_arrays: Callable, form, env):
         parts = _many(self.evaluate(form[name], env))
@@ -411,27 +456,68 @@ class Forms:
         return Elements(c.df.select(*c.values).distinct(), c.values) if isinstance(c, Elements) else A.distinct(_c(c))
 
     def form_join(self, form, env):
+        """Elements that the target yields for any element of the source, each once.
+
+        A lambda's body may be a match, whose terms are any expression of the source's values, and unions, let and distinct of
+        such; it becomes one join on the terms.
+        """
         source, target = self.evaluate(form["join"], env), form["with"]
         if isinstance(target, dict) and "lambda" in target:
-            body = target["expr"]
-            target = body.get("index", body.get("match"))
+            names = target["lambda"]
+            df = source.df.select(*[F.col(v).alias(f"_s{k}") for k, v in enumerate(source.values)])
+            own = [F.col(f"_s{k}") for k in range(len(source.values))]
+            bound = {names: own[0] if len(own) == 1 else own} if isinstance(names, str) else dict(zip(names, own, strict=True))
+            return self._joined(df, target["expr"], {**env, **bound})
         c, index = self._index(self.evaluate(target, env))
-        df = index.entries(c.rows, c.id)
-        keys = source.df.select(*[F.col(v).alias(t) for v, t in zip(source.values, index.terms)])
-        values = [v.lstrip("-") for v in index.values] or [c.id]
-        return Elements(X.index_join(keys, df, list(index.terms), values), tuple(values))
+        return self._entries_of(source.df.select(*[F.col(v).alias(t) for v, t in zip(source.values, index.terms)]), c, index)
+
+    def _entries_of(self, terms: DataFrame, c, index) -> Elements:
+        values = tuple(v.lstrip("-") for v in index.values) or (c.id,)
+        return Elements(X.index_join(terms, index.entries(c.rows, c.id), list(index.terms), list(values)), values, keys_of(*(index.values or (c.id,))))
+
+    def _joined(self, source: DataFrame, body: Any, env: dict) -> Elements:
+        name = next(iter(body))
+        if name == "let":
+            env = dict(env)
+            for part in _many(body["let"]):
+                env |= {k: self.evaluate(v, env) for k, v in part.items()}
+            return self._joined(source, body["in"], env)
+        if name == "distinct":
+            return self._joined(source, body["distinct"], env)
+        if name == "union":
+            parts = [self._joined(source, x, env) for x in _many(body["union"])]
+            frames = [p.df.select(*[F.col(v).alias(f"v{k}") for k, v in enumerate(p.values)]) for p in parts]
+            return Elements(reduce(DataFrame.unionByName, frames).distinct(), tuple(frames[0].columns))
+        if name != "match":
+            raise FormError(f"a join's lambda cannot have {name}")
+        c, index = self._index(self.evaluate(body["index"], env) if "index" in body else self.evaluate(body["match"], env))
+        terms = _many(self.evaluate(body["terms"] if "terms" in body else body["match"], env))
+        return self._entries_of(source.select(*[_c(v).alias(t) for t, v in zip(index.terms, terms, strict=True)]), c, index)
 
     def form_range(self, form, env):
+        """Between two prefixes of values in the set's order, both included; of a reversed set, from is the greater one."""
         c, low, high = self.args(form, env, "range", "from", "to")
         as_tuple = lambda x: tuple(x) if isinstance(x, list) else () if x is None else (x,)
-        return Elements(c.ordered().range(as_tuple(low), as_tuple(high)).df, c.values)
+        return c.but(c.ordered().range(as_tuple(low), as_tuple(high)).df)
 
     def form_reverse(self, form, env):
         c = self.evaluate(form["reverse"], env)
         if isinstance(c, Elements):
-            return Elements(c.ordered().reverse().to_df(), c.values)
+            return replace(c, keys=c.ordered().reverse().keys)
         return A.reverse(_c(c))
 
+    def form_events(self, form, env):
+        """The versions of a document, or of a set's documents, as a set of (ts, action, document); for paginate."""
+        c = self.evaluate(form["events"], env)
+        if isinstance(c, Ref):
+            c = self.form_singleton({"singleton": {"quote": c}}, env)
+        return self._events(c)
+
+    def _events(self, c: Elements) -> Elements:
+        if c.log is None:
+            raise FormError("no log tells the events of this set")
+        return Elements(c.log.select("ts", "action", F.col("id").alias("document")), ("ts", "action", "document"))
+
     def form_exists(self, form, env):
         c = self.evaluate(form["exists"], env)
         if isinstance(c, Ref):
@@ -444,10 +530,10 @@ class Forms:
             rows = self.catalog.collection(c.collection).by_id(c.id).take(1)
             if not rows:
                 raise FormError("instance not found")
-            return rows[0].asDict()
+            return Document(rows[0].asDict())
         if isinstance(c, Elements):
             o = c.ordered()
-            rows = (o.last() if name == "last" else o.first()).collect()
+            rows = (o.last() if name == "last" else o.first()).select(*c.values).collect()
             if not rows:
                 raise FormError("the set is empty")
             return rows[0][0] if len(c.values) == 1 else list(rows[0])
@@ -459,16 +545,206 @@ class Forms:
     form_last = lambda self, form, env: self._end("last", form, env)
 
     def form_paginate(self, form, env):
-        """Forward from after, which is included; backward from before, which is not; 64 elements."""
+        """Forward from after, which is included; backward from before, which is not; 64 elements, in the set's order.
+
+        A cursor is the next element. Where the page ends among equal elements, it is {"value", "skip"}: so many of them
+        came before. cursor: a cursor under the name of its direction. ts: documents as of then. events: versions instead of
+        elements. sources: each element with the sets of a union, intersection or difference that hold it.
+        """
+        if "ts" in form:
+            at = self.evaluate(form["ts"], env)
+            seen = Forms(self.spark, self.catalog.as_of(D.parse(F.lit(at)) if isinstance(at, str) else F.timestamp_micros(F.lit(at)) if isinstance(at, int) else at))
+            return seen.form_paginate({k: v for k, v in form.items() if k != "ts"}, env)
+        inner = form["paginate"]
         c, size, after, before = self.args(form, env, "paginate", "size", "after", "before")
+        if "cursor" in form:
+            cursor = self.evaluate(form["cursor"], env)
+            after, before = (cursor.get("after"), cursor.get("before")) if isinstance(cursor, dict) and cursor.keys() & {"after", "before"} else (cursor, None)
+        if isinstance(c, Ref):
+            c = self.form_singleton({"singleton": {"quote": c}}, env)
+        if isinstance(c, (list, Column)):
+            return {"data": c}
+        if form.get("events"):
+            c = self._events(c)
+        held = None
+        if form.get("sources"):
+            parts = _many(inner[next(iter(inner))]) if next(iter(inner)) in ("union", "intersection", "difference") else [inner]
+            sets = [self.evaluate(p, env) for p in parts]
+            frames = {str(k): p.df.select(*[F.col(v).alias(w) for v, w in zip(p.values, c.values)]) for k, p in enumerate(sets)}
+            held = X.sources(**frames)
         size, o = size or 64, c.ordered()
-        flat = lambda r: r[0] if len(c.values) == 1 else list(r)
+        flat = lambda r: r[c.values[0]] if len(c.values) == 1 else [r[v] for v in c.values]
+        opened = lambda x: (tuple(_many(x["value"])), x["skip"]) if isinstance(x, dict) and "skip" in x else (tuple(_many(x)), 0)
         if before is not None:
-            rows = o.before(tuple(_many(before))).take(size + 1).df.collect()
+            place, skip = opened(before)
+            rows = o.before(place).take(size + 1 + skip).df.collect()[skip:]
             page = {"data": [flat(r) for r in reversed(rows[:size])], "after": before}
-            return page | ({"before": flat(rows[size - 1])} if len(rows) > size else {})
-        if after is not None:
-            o = o.after(tuple(_many(after)), inclusive=True)
-        rows = o.take(size + 1).df.collect()
-        page = {"data": [flat(r) for r in rows[:size]]}
-        return page | ({"after": flat(rows[size])} if len(rows) > size else {}) | ({"before": after} if after is not None else {})
+            if len(rows) > size:
+                alike = sum(flat(r) == flat(rows[size - 1]) for r in rows[:size])
+                page["before"] = flat(rows[size - 1]) if flat(rows[size]) != flat(rows[size - 1]) else {"value": flat(rows[size - 1]), "skip": -alike}
+        else:
+            place, skip = opened(after) if after is not None else ((), 0)
+            rows = (o.after(place, inclusive=True) if after is not None else o).take(size + 1 + max(0, skip)).df.collect()[max(0, skip) :]
+            page = {"data": [flat(r) for r in rows[:size]]}
+            if len(rows) > size:
+                alike = sum(x == flat(rows[size]) for x in page["data"]) + (skip if after is not None and flat(rows[size]) == (place[0] if len(c.values) == 1 else list(place)) else 0)
+                page["after"] = {"value": flat(rows[size]), "skip": alike} if alike else flat(rows[size])
+            if after is not None:
+                page["before"] = after
+        if held is not None:
+            names = {tuple(_many(flat(r))): r["sources"] for r in held.join(F.broadcast(self.spark.createDataFrame([tuple(_many(x)) for x in page["data"]], held.select(*c.values).schema)), list(c.values), "left_semi").collect()} if page["data"] else {}
+            page["data"] = [{"value": x, "sources": [parts[int(k)] for k in names[tuple(_many(x))]]} for x in page["data"]]
+        return page
+
+    # writes
+
+    def _store(self, name: str):
+        if name not in self.catalog.stores:
+            raise FormError(f"{name} has no store to write to")
+        return self.catalog.stores[name]
+
+    def _params(self, form: dict, env: dict, id_: Any = None) -> DataFrame:
+        data = self.evaluate(form["params"], env) if "params" in form else {}
+        data = data.get("data", {}) if isinstance(data, dict) else data
+        return self.spark.range(1).select(*([] if id_ is None else [F.lit(id_).cast("long").alias("id")]), *[_c(v).alias(k) for k, v in data.items()])
+
+    def _fresh(self, name: str, id_: Any = None) -> Any:
+        """The collection as it is after a write, and one of its documents."""
+        c = self.catalog.create(replace(self.catalog.collection(name), df=self._store(name).rows(), id="id"))
+        rows = c.by_id(id_).take(1) if id_ is not None else []
+        return Document({"ref": Ref(name, id_), "data": {k: v for k, v in rows[0].asDict().items() if k != "id"}}) if rows else None
+
+    def form_create(self, form, env):
+        target = self.evaluate(form["create"], env)
+        name, id_ = (target.collection, target.id) if isinstance(target, Ref) else (str(target), None)
+        store = self._store(name)
+        id_ = store.next_id() if id_ is None else id_
+        store.create(self._params(form, env, id_))
+        return self._fresh(name, id_)
+
+    def _changed(self, action: str, form, env):
+        r = self.evaluate(form[action], env)
+        if isinstance(r, Named):
+            return self._defined(action, r, form, env)
+        store = self._store(r.collection)
+        if not self._fresh(r.collection, r.id):
+            raise FormError("instance not found")
+        rows = self._params(form, env, r.id)
+        if action == "update":
+            data = self.evaluate(form.get("params", {}), env).get("data", {})
+            store.update(rows, clear=tuple(k for k, v in data.items() if v is None))
+        else:
+            getattr(store, action)(rows)
+        return self._fresh(r.collection, r.id)
+
+    form_update = lambda self, form, env: self._changed("update", form, env)
+    form_replace = lambda self, form, env: self._changed("replace", form, env)
+
+    def form_delete(self, form, env):
+        r = self.evaluate(form["delete"], env)
+        if isinstance(r, Named):
+            return self.catalog.forget(r.kind, str(r))
+        was = self._fresh(r.collection, r.id)
+        self._changed("delete", form, env)
+        return was
+
+    def form_insert(self, form, env):
+        """A version put into the history of a document, in place of one of that time and action."""
+        r, at, action = self.args(form, env, "insert", "ts", "action")
+        store = self._store(r.collection)
+        store.put(self._params(form, env, r.id), _c(at), action)
+        self._fresh(r.collection)
+        return {"ts": at, "action": action, "document": r}
+
+    def form_remove(self, form, env):
+        r, at, action = self.args(form, env, "remove", "ts", "action")
+        self._store(r.collection).take_out(r.id, _c(at), action)
+        self._fresh(r.collection)
+
+    def _defined(self, action: str, name: Named, form: dict, env: dict):
+        params = self.evaluate(form.get("params", {}), env)
+        known = self.catalog.objects.setdefault(name.kind, {})
+        if name not in known and not self.catalog.has(name.kind, str(name)):
+            raise FormError(f"no {name.kind} {name}")
+        known[str(name)] = {**known.get(str(name), {}), **params} if action == "update" else dict(params)
+        return Document({"ref": name, **known[str(name)]})
+
+    def _new(kind: str):  # noqa: N805
+        def create(self, form, env):
+            params = self.evaluate(next(iter(form.values())), env)
+            name = params.get("name") or secrets.token_hex(8)
+            if self.catalog.has(kind, name):
+                raise FormError(f"{kind} {name} exists")
+            out = {k: v for k, v in params.items() if not callable(v)}
+            if kind == "collection":
+                self.catalog.new_store(name, params.get("fields", "data string"))
+            elif kind == "index":
+                c = self.catalog.collection(str(params["source"]))
+                path = lambda x: x["field"][-1] if isinstance(x, dict) else x
+                terms = tuple(map(path, params.get("terms", [])))
+                values = tuple(("-" if isinstance(v, dict) and v.get("reverse") else "") + path(v) for v in params.get("values", []))
+                multi = tuple(f.name for f in c.rows.schema if f.name in terms and isinstance(f.dataType, T.ArrayType))
+                self.catalog.create(c.with_index(Index(name, terms, values, multi)))
+            elif kind == "function":
+                body = params["body"]
+                self.catalog.function(name, body)
+            elif kind == "key":
+                out["secret"] = self.catalog.identity.new_key(name, params.get("role"))
+            self.catalog.objects.setdefault(kind, {})[name] = {k: v for k, v in out.items() if k != "secret"}
+            return Document({"ref": Named(kind, name), **out})
+
+        return create
+
+    form_create_collection, form_create_index, form_create_function, form_create_role, form_create_database, form_create_key, form_create_access_provider = map(
+        _new, ("collection", "index", "function", "role", "database", "key", "access_provider")
+    )
+    form_create_class = form_create_collection
+
+    def form_move_database(self, form, env):
+        name, to = self.args(form, env, "move_database", "to")
+        self.catalog.objects["database"][str(name)]["parent"] = str(to)
+
+    # identity
+
+    def form_key_from_secret(self, form, env):
+        found = self.catalog.identity.key_of(self.evaluate(form["key_from_secret"], env))
+        if found is None:
+            raise FormError("no key has this secret")
+        return Document({"ref": Ref("keys", found[0]), "role": found[1]})
+
+    def form_identify(self, form, env):
+        r, password = self.args(form, env, "identify", "password")
+        return self.catalog.identity.verify((r.collection, r.id), password)
+
+    def form_login(self, form, env):
+        r, params = self.args(form, env, "login", "params")
+        if not self.catalog.identity.verify((r.collection, r.id), params["password"]):
+            raise FormError("authentication failed")
+        token, secret = self.catalog.identity.login((r.collection, r.id))
+        self.catalog.objects.setdefault("token", {})[token] = {"instance": r}
+        return Document({"ref": Ref("tokens", token), "instance": r, "secret": secret})
+
+    def form_logout(self, form, env):
+        gone = self.catalog.identity.logout(bool(self.evaluate(form["logout"], env)))
+        for t in gone:
+            self.catalog.objects.get("token", {}).pop(t, None)
+        return bool(gone)
+
+    def form_current_identity(self, form, env):
+        who = self.catalog.identity.who
+        if who is None:
+            raise FormError("no identity")
+        return Ref(*who)
+
+    def form_current_token(self, form, env):
+        if self.catalog.identity.token is None:
+            raise FormError("no token")
+        return Ref("tokens", self.catalog.identity.token)
+
+    form_identity = form_current_identity
+    form_has_identity = form_has_current_identity = lambda self, form, env: self.catalog.identity.who is not None
+    form_has_current_token = lambda self, form, env: self.catalog.identity.token is not None
+
+    def form_issue_access_jwt(self, form, env):
+        r, seconds = self.args(form, env, "issue_access_jwt", "expire_in")
+        return self.catalog.identity.jwt((r.collection, r.id), int(seconds or 3600))

@@ -198,15 +198,18 @@ columns(
 
 columns(
     "number_operators", "lineitem", "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"],
-    add=(lambda: N.add("l_partkey", F.col("l_suppkey")), "CAST(l_partkey + l_suppkey AS DOUBLE)"),
-    add_overflow=(lambda: N.add(F.lit((1 << 63) - 1), F.col("l_partkey")), "CAST(9223372036854775807 AS DOUBLE) + CAST(l_partkey AS DOUBLE)"),
-    subtract=(lambda: N.subtract("l_partkey", F.col("l_suppkey")), "CAST(l_partkey - l_suppkey AS DOUBLE)"),
-    multiply=(lambda: N.multiply("l_partkey", F.col("l_suppkey")), "CAST(l_partkey * l_suppkey AS DOUBLE)"),
+    add=(lambda: N.add("l_partkey", F.col("l_suppkey")), "l_partkey + l_suppkey"),
+    add_big=(lambda: N.add(F.lit((1 << 53) + 1), F.col("l_partkey")), "9007199254740993 + l_partkey"),
+    add_overflow=(lambda: N.add(F.lit((1 << 63) - 500), F.col("l_partkey")), "CASE WHEN l_partkey < 500 THEN 9223372036854775308 + least(l_partkey, 499) END"),
+    add_widened=(lambda: N.widened(N.add, F.lit((1 << 63) - 1), F.col("l_partkey")), "CAST(9223372036854775807 AS DOUBLE) + CAST(l_partkey AS DOUBLE)"),
+    subtract=(lambda: N.subtract("l_partkey", F.col("l_suppkey")), "l_partkey - l_suppkey"),
+    multiply_overflow=(lambda: N.multiply(F.lit(1 << 54), F.col("l_partkey")), "CASE WHEN l_partkey < 512 THEN 18014398509481984 * least(l_partkey, 511) END"),
+    multiply=(lambda: N.multiply("l_partkey", F.col("l_suppkey")), "l_partkey * l_suppkey"),
     negate=(lambda: N.negate("l_partkey"), "-l_partkey"),
     divide_int=(lambda: N.divide_int(-F.col("l_partkey"), F.col("l_linenumber") + 1), "CAST(-l_partkey // (l_linenumber + 1) AS BIGINT)"),
     divide=(lambda: F.round(N.divide("l_extendedprice", F.col("l_quantity")), 6), "round(l_extendedprice / l_quantity, 6)"),
     modulo=(lambda: N.modulo(-F.col("l_partkey"), F.col("l_linenumber") + 1), "-l_partkey % (l_linenumber + 1)"),
-    sum_chain=(lambda: N.chain(N.add, "l_partkey", F.col("l_suppkey"), F.col("l_linenumber")), "CAST(l_partkey + l_suppkey + l_linenumber AS DOUBLE)"),
+    sum_chain=(lambda: N.chain(N.add, "l_partkey", F.col("l_suppkey"), F.col("l_linenumber")), "l_partkey + l_suppkey + l_linenumber"),
     bit_and=(lambda: N.bit_and("l_partkey", F.col("l_suppkey")), "l_partkey & l_suppkey"),
     bit_or=(lambda: N.bit_or("l_partkey", F.col("l_suppkey")), "l_partkey | l_suppkey"),
     bit_xor=(lambda: N.bit_xor("l_partkey", F.col("l_suppkey")), "xor(l_partkey, l_suppkey)"),

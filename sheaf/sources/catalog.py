@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.operators.ordered import Ordered, keys_of
+from sheaf.sources.identity import Identity
 
 Builder = Callable[[DataFrame], Column]
 
@@ -40,7 +41,7 @@ class Index:
             out = out.withColumn(t, F.explode_outer(F.array_distinct(t)))
         if self.terms:
             out = out.where(reduce(lambda a, b: a | b, [F.col(t).isNotNull() for t in self.terms]))
-        return out.distinct() if self.multi else out
+        return out  # ids are unique and arrays' elements distinct, so entries are, too
 
 
 @dataclass(frozen=True)
@@ -170,6 +171,9 @@ class Catalog:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.collections, self.functions, self.roles, self.stores = spark, {}, {}, {}, {}
+        self.logs: dict[str, DataFrame] = {}  # versions of collections that no store holds
+        self.objects: dict[str, dict[str, dict]] = {}  # what else is defined, by kind and name
+        self.identity, self.folder = Identity(), None  # folder: where new collections are stored
 
     def create(self, collection: Collection) -> Collection:
         self.collections[collection.name] = collection
@@ -188,7 +192,45 @@ class Catalog:
     def definition(self, name: str) -> T.StructType:
         return self.collections[name].rows.schema
 
+    def has(self, kind: str, name: str) -> bool:
+        own = {"collection": self.collections, "function": self.functions, "role": self.roles, "index": {i for c in self.collections.values() for i in c.indexes}}
+        return name in own.get(kind, ()) or name in self.objects.get(kind, ())
+
+    def forget(self, kind: str, name: str) -> None:
+        """Drop a definition; a collection's files stay."""
+        for known in ({"collection": self.collections, "function": self.functions, "role": self.roles}.get(kind, {}), self.objects.get(kind, {})):
+            known.pop(name, None)
+        if kind == "index":
+            for c in list(self.collections.values()):
+                if name in c.indexes:
+                    self.create(replace(c, indexes={k: v for k, v in c.indexes.items() if k != name}))
+
+    def log(self, name: str) -> DataFrame | None:
+        """The versions of a collection (id, ts, ord, action, fields), where they are known."""
+        return self.stores[name].log() if name in self.stores else self.logs.get(name)
+
+    def as_of(self, ts: Column) -> Catalog:
+        """This catalog with collections as they were; those without a log stay."""
+        from sheaf.sources import versions
+
+        seen = Catalog(self.spark)
+        seen.functions, seen.roles, seen.stores, seen.logs, seen.objects, seen.identity, seen.folder = self.functions, self.roles, self.stores, self.logs, self.objects, self.identity, self.folder
+        for n, c in self.collections.items():
+            log = self.log(n)
+            seen.create(c if log is None else replace(c, df=versions.as_of(log, ts, tie="ord").drop("ts", "ord", "action")))
+        return seen
+
+    def new_store(self, name: str, fields: str) -> Collection:
+        """An empty collection that can be written, in a folder of its own."""
+        from sheaf.sources.store import Store
+
+        if self.folder is None:
+            raise ValueError("the catalog has no folder for new collections")
+        self.stores[name] = store = Store(self.spark, f"{self.folder}/{name}", T.StructType.fromDDL(fields))
+        return self.create(Collection(name, store.rows()))
+
     def listing(self) -> DataFrame:
         rows = [("collection", n) for n in self.collections] + [("index", f"{n}.{i}") for n, c in self.collections.items() for i in c.indexes]
         rows += [("function", n) for n in self.functions] + [("role", n) for n in self.roles]
+        rows += [(k, n) for k, named in self.objects.items() for n in named if (k, n) not in set(rows) and not (k == "index" and any(r[1].endswith(f".{n}") for r in rows))]
         return self.spark.createDataFrame(rows, "kind string, name string")

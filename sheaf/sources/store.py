@@ -34,7 +34,14 @@ class Store:
         self._writes = (last or 0) + 1
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        """All versions, without those that were taken out or replaced; these are few, and joined by id."""
+        raw = self.spark.read.schema(self.schema).parquet(self.path)
+        edits = raw.where(F.col("action").startswith("-")).select("id", "ts", F.substring("action", 2, 99).alias("action"), F.col("ord").alias("_until"))
+        if edits.isEmpty():
+            return raw
+        last = edits.groupBy("id", "ts", "action").agg(F.max("_until").alias("_until"))
+        kept = raw.where(~F.col("action").startswith("-")).join(last, ["id", "ts", "action"], "left").where(F.col("_until").isNull() | (F.col("ord") > F.col("_until")))
+        return kept.select(*self.schema.names)
 
     def rows(self, ts: Column | None = None) -> DataFrame:
         """What is alive now, or was at a time."""
@@ -63,6 +70,21 @@ class Store:
         out.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.mode("append").parquet(self.path)
         self._writes += 1
 
+    def next_id(self) -> int:
+        """Unique without a look at the log, so that writers do not meet: microseconds, then random bits."""
+        import secrets
+        import time
+
+        return (int(time.time() * 1e6) & ((1 << 51) - 1)) << 12 | secrets.randbits(12)
+
+    def put(self, rows: DataFrame, ts: Column, action: str) -> None:
+        """A version of a past time; of equal id, time and action the last one written counts."""
+        self._append(self._filled(rows), action, ts)
+
+    def take_out(self, id_: int, ts: Column, action: str) -> None:
+        """The version of an id, time and action leaves the history: a mark hides it, files are only appended to."""
+        self._append(self._filled(self.spark.range(1).select(F.lit(id_).cast("long").alias("id"))), f"-{action}", ts)
+
     def create(self, rows: DataFrame, ts: Column | None = None) -> None:
         """New documents; an id that is alive is an error."""
         if self.rows().join(rows.select("id"), "id", "left_semi").limit(1).count():
