@@ -26,19 +26,21 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, fold_ascii, slices, unpacked, with_fields
+from sheaf.llm.util import checkpointed, fold_ascii, unpacked, with_fields
 
-PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 250_000, 1, 500_000
+PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 250_000, 1, 600_000
+#: A task that counts has tables of a fixed size, so it should count many units.
+UNITS_IN_A_TASK = 400_000
 #: Bits of each predictor's table, and where it begins in the one array of all.
 WIDTHS = (20, 21, 22, 22)
 STARTS = tuple(sum(1 << b for b in WIDTHS[:k]) for k in range(len(WIDTHS)))
@@ -51,7 +53,7 @@ LONG, AT_ONCE = 1024, 1 << 18
 #: Contexts of a first byte: for words how the word before ended, whether a line ended and the word's first byte; for gaps the word's last byte.
 ENDINGS, WORD_STARTS, FIRSTS = 8, 4096, 4096 + 256
 #: Shares of the document's own words; bytes that a passage has at least, and words that it has about.
-SHARES, LEAST_PASSAGE, ABOUT = (0.02, 0.25), 48, 32
+SHARES, LEAST_PASSAGE, ABOUT = (0.02, 0.25), 48, 64
 HELD_OUT = 1
 _GAP = b" \t\n\r\x0b\x0c"
 _IS_GAP = np.isin(np.arange(256), list(_GAP))
@@ -304,27 +306,30 @@ class Model:
 
 
 class Units:
-    """The words and gaps of some texts, as arrays over all units in order."""
-
-    def __init__(self, texts: list[bytes]):
-        joined = b"\n".join(texts) + b"\n"
-        self.data = data = np.frombuffer(joined, dtype=np.uint8)
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        self.begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        between = self.begins + sizes
+    """The words and gaps of some texts, as arrays over all units in order.
+
+    data holds the texts' bytes one after the other, begins where each starts, and at last the end.
+    """
+
+    def __init__(self, data: np.ndarray, begins: np.ndarray):
+        self.data, self.begins = data, begins
         space = _IS_GAP[data]
-        new = np.empty(len(data), dtype=bool)
-        new[0], new[1:] = True, space[1:] != space[:-1]
-        new[between] = True
-        new[between[:-1] + 1] = True
-        starts = np.nonzero(new)[0]
-        kept = np.ones(len(starts), dtype=bool)
-        kept[np.searchsorted(starts, between)] = False
-        ends = np.append(starts[1:], len(data))
-        self.starts, self.ends = starts[kept], ends[kept]
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.append(np.searchsorted(self.starts, self.begins), len(self.starts))))
+        new = np.empty(len(data) + 1, dtype=bool)
+        new[1:-1] = space[1:] != space[:-1]
+        new[begins] = True
+        self.starts = np.nonzero(new[:-1])[0]
+        self.ends = np.append(self.starts[1:], len(data)) if len(self.starts) else self.starts
+        self.doc = np.repeat(np.arange(len(begins) - 1), np.diff(np.searchsorted(self.starts, begins)))
         self.gap = space[self.starts]
-        self.words = joined.split()  # those of the units that are no gaps
+        self.size = self.ends - self.starts
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Units:
+        return cls(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)), dtype=np.int64)]))
+
+    def bytes_of(self, units: np.ndarray) -> list[bytes]:
+        whole = self.data.tobytes() if len(units) > 1000 else memoryview(self.data)
+        return [bytes(whole[a:b]) for a, b in zip(self.starts[units].tolist(), self.ends[units].tolist())]
 
     def contexts(self) -> np.ndarray:
         """The context of each unit's first byte."""
@@ -339,26 +344,57 @@ class Units:
         out = np.where(second, (_ENDING[last[two]] * 2 + line) * 256 + first[two], line * 256)
         return np.where(self.gap, WORD_STARTS + np.where(alike, last[before], 0), out)
 
+    @cached_property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each unit's bytes: of the first and the last eight, and for longer units of all."""
-        size = self.ends - self.starts
-        out = size.astype(np.uint64)
+        size = self.size
+        self.head, self.tail = np.zeros(len(size), dtype=np.uint64), np.zeros(len(size), dtype=np.uint64)
         for x in range(0, len(self.data), AT_ONCE):
             y = min(len(self.data), x + AT_ONCE)
             eight = np.concatenate([self.data[x : y + 7], np.zeros(7, np.uint8)]).astype(np.uint64)
             for step in (1, 2, 4):
                 eight[:-step] |= eight[step:] << np.uint64(8 * step)  # eight bytes from each place on
             a, b = np.searchsorted(self.starts, (x, y))
-            out[a:b] += (eight[self.starts[a:b] - x] & _MASKS[np.minimum(size[a:b], 8)]) * _M1
+            self.head[a:b] = eight[self.starts[a:b] - x] & _MASKS[np.minimum(size[a:b], 8)]
             a, b = np.searchsorted(self.ends - 8, (x, y))
             long = np.nonzero(size[a:b] > 8)[0] + a
-            out[long] += eight[self.ends[long] - 8 - x] * _M2
+            self.tail[long] = eight[self.ends[long] - 8 - x]
+        out = size.astype(np.uint64) + self.head * _M1 + (self.tail ^ (self.tail >> np.uint64(33))) * _M2
         long = np.nonzero(size > 16)[0]
         for k in range(0, len(long), 1 << 14):
             for some in ([long[k : k + (1 << 14)]] if size[long[k : k + (1 << 14)]].sum() < 4 * AT_ONCE else long[k : k + (1 << 14)].reshape(-1, 1)):
                 self._add_all(out, some, size)
         return (out ^ (out >> np.uint64(31))) * _M1
 
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each unit, the bytes of each number): units are alike if their bytes are, hashes only find them."""
+        out = self.data[self.starts].astype(np.int64)  # a unit of one byte has the byte's number
+        used = np.zeros(256, dtype=bool)
+        used[out[self.size == 1]] = True
+        names = [bytes([b]) for b in np.nonzero(used)[0].tolist()]
+        out = (np.cumsum(used) - 1)[out]
+        units = np.nonzero(self.size > 1)[0]
+        h = self.hashes[units]
+        order = np.argsort(h)
+        sorted_h = h[order]
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = sorted_h[1:] != sorted_h[:-1]
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        first = units[order[fresh]]
+        own = self.bytes_of(first)
+        head, tail, size = self.head[units], self.tail[units], self.size[units]
+        odd = (size != self.size[first][number]) | (head != self.head[first][number]) | (tail != self.tail[first][number])
+        long = np.nonzero((size > 16) & ~odd)[0]
+        odd[[k for k, x in zip(long.tolist(), self.bytes_of(units[long])) if x != own[number[k]]]] = True
+        if odd.any():  # two units of one hash
+            more: dict[bytes, int] = {}
+            at = np.nonzero(odd)[0]
+            number[at] = [more.setdefault(x, len(own) + len(more)) for x in self.bytes_of(units[at])]
+            own += more
+        out[units] = number + len(names)
+        return out, names + own
+
     def _add_all(self, out: np.ndarray, some: np.ndarray, size: np.ndarray) -> None:
         """Add all bytes of some units to their hashes; those of one very long unit a bounded number at a time."""
         for x in range(0, int(size[some].max()), AT_ONCE) if len(some) == 1 else (0,):
@@ -372,7 +408,7 @@ class Units:
         n = len(self.starts)
         if not n:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        h = self.hashes()
+        h = self.hashes
         word = np.nonzero(~self.gap)[0]
         before = np.where(np.diff(self.doc[word], prepend=-1) == 0, np.roll(h[word], 1), np.uint64(0))  # the text's word before
         pair = (h[word] + before * np.uint64(3)) * _M2
@@ -386,8 +422,16 @@ class Units:
         return ((total ^ (total >> np.uint64(32))) * _M1).view(np.int64), first, np.append(first[1:], n)
 
 
-def _encoded(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def units_of(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, Units]]:
+    """(first row, one after the last, their units) of a column of texts, about ``most`` bytes at a time; null is empty."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    begins = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if begins[-1] else np.empty(0, np.uint8)
+    x = 0
+    while x < len(column):
+        y = max(x + 1, int(np.searchsorted(begins, begins[x] + most, side="right")) - 1)
+        yield x, y, Units(data[begins[x] : begins[y]], begins[x : y + 1] - begins[x])
+        x = y
 
 
 def gathered(training: DataFrame, text: str) -> DataFrame:
@@ -403,24 +447,18 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), unit, pa.nulls(len(n), pa.int64()) if h is None else pa.array(h, pa.int64()), n], names=["kind", "unit", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        total: dict[bytes, int] = {}
         firsts, symbols = np.zeros(FIRSTS * 256, dtype=np.int64), np.zeros(257, dtype=np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for x, y in slices(texts):
-                u = Units(_encoded(texts[x:y]))
-                total.update(u.words)
-                single = u.gap & (u.ends - u.starts == 1)
-                for b, n in zip(*(z.tolist() for z in np.unique(u.data[u.starts[single]], return_counts=True))):
-                    total[bytes([b])] += n
-                for k in np.nonzero(u.gap & ~single)[0].tolist():
-                    total[u.data[u.starts[k] : u.ends[k]].tobytes()] += 1
+            for _, _, u in units_of(batch.column(0)):
+                number, names = u.distinct()
+                for name, n in zip(names, np.bincount(number, minlength=len(names)).tolist()):
+                    total[name] = total.get(name, 0) + n
                 if len(total) > KEPT:
                     yield rows(0, list(total), None, list(total.values()))
                     total.clear()
                 np.add.at(firsts, u.contexts() * 256 + u.data[u.starts], 1)
                 symbols[:256] += np.bincount(u.data, minlength=256) - np.bincount(u.data[u.starts], minlength=256)
-                symbols[10] -= y - x  # what stands between texts
                 symbols[256] += len(u.starts)
                 h, a, b = u.passages()
                 if len(h):
@@ -501,67 +539,50 @@ def _least_count(df: DataFrame, count: str) -> int:
 
 
 class Words:
-    """Numbers of words as they come; with them what was looked up, up to a bounded size."""
+    """Numbers of words and gaps as they come; with them what was looked up, up to a bounded size.
 
-    def __init__(self, model: Model, counts: dict[bytes, int], scale: float):
+    counts: of frequent words, by their lower case; frequent, rests: units whose scores were made once for all.
+    """
+
+    def __init__(self, model: Model, counts: dict[bytes, int], scale: float, frequent: list[bytes] = [], rests: np.ndarray = np.empty(0)):  # noqa: B006
         self.model, self.counts, self.scale = model, counts, scale
-        self.gaps: dict[bytes, float] = {}
+        self.first = (dict(zip(frequent, range(len(frequent)))), list(frequent), rests, *self._counted(frequent))
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.rest, self.base, self.known = np.empty(0), np.empty(0), np.empty(0, bool)
+        ids, names, self.rest, self.base, self.known = self.first
+        self.ids, self.names = dict(ids), list(names)
+
+    def _counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        c = np.array([self.counts.get(w.lower(), 0) for w in words], dtype=np.float64)
+        return np.where(c > 0, np.log10((c + 0.5) / self.scale), 0.0), c > 0
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words; rest, base and known are by number."""
-        if len(self.ids) > KEPT:
+        if len(self.ids) > KEPT + len(self.first[1]):
             self.clear()
         ids = self.ids
         found = list(map(ids.get, words))
         if None in found:
-            new = list(dict.fromkeys(w for w, k in zip(words, found) if k is None))
+            new = sorted(w for w, k in zip(words, found) if k is None)  # words in order share their steps
             ids.update(zip(new, range(len(ids), len(ids) + len(new))))
             self.names += new
-            c = np.array([self.counts.get(w.lower(), 0) for w in new], dtype=np.float64)
-            self.known = np.concatenate([self.known, c > 0])
-            self.base = np.concatenate([self.base, np.where(c > 0, np.log10((c + 0.5) / self.scale), 0.0)])
-            order = sorted(range(len(new)), key=new.__getitem__)  # words in order share their steps
-            rest = np.empty(len(new))
-            rest[order] = self.model.rest([new[k] for k in order])
-            self.rest = np.concatenate([self.rest, rest])
+            base, known = self._counted(new)
+            self.known, self.base = np.concatenate([self.known, known]), np.concatenate([self.base, base])
+            self.rest = np.concatenate([self.rest, self.model.rest(new)])
             found = list(map(ids.__getitem__, words))
         return np.array(found, dtype=np.int64)
 
-    def gap_rests(self, u: Units) -> np.ndarray:
-        """For each gap, in order, log10 of the probability of what follows its first byte."""
-        at = np.nonzero(u.gap)[0]
-        single = u.ends[at] - u.starts[at] == 1
-        if not self.gaps:
-            self.gaps = dict(zip([bytes([b]) for b in _GAP], self.model.rest([bytes([b]) for b in _GAP]).tolist()))
-        by_byte = np.zeros(256)
-        for b in _GAP:
-            by_byte[b] = self.gaps[bytes([b])]
-        out = by_byte[u.data[u.starts[at]]]
-        long = [u.data[u.starts[k] : u.ends[k]].tobytes() for k in at[~single].tolist()]
-        if new := list(dict.fromkeys(g for g in long if g not in self.gaps)):
-            if len(self.gaps) > KEPT // 8:
-                self.gaps = {bytes([b]): self.gaps[bytes([b])] for b in _GAP}
-                new = list(dict.fromkeys(long))
-            self.gaps.update(zip(new, self.model.rest(new).tolist()))
-        out[~single] = [self.gaps[g] for g in long]
-        return out
-
 
 _WORDS: dict[str, Words] = {}
 
 
 def _words(shared) -> Words:
     """What a worker process has looked up for this model, kept from task to task."""
-    key, model, words, n, scale = shared.value
+    key, model, words, n, scale, frequent, rests = shared.value
     if key not in _WORDS:
         _WORDS.clear()
-        _WORDS[key] = Words(model, dict(zip(words.to_pylist(), n.tolist())), scale)
+        _WORDS[key] = Words(model, dict(zip(words.to_pylist(), n.tolist())), scale, frequent.to_pylist(), rests)
     return _WORDS[key]
 
 
@@ -581,11 +602,9 @@ def own_words(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def unit_logs(u: Units, table: Words, ids: np.ndarray) -> np.ndarray:
     """log10 of the probability of each unit, for each of SHARES (shares, units)."""
-    log = table.model.firsts[u.contexts(), u.data[u.starts]].astype(np.float64)
+    log = table.model.firsts[u.contexts(), u.data[u.starts]] + table.rest[ids]
     word = np.nonzero(~u.gap)[0]
-    log[word] += table.rest[ids]
-    log[u.gap] += table.gap_rests(u)
-    before, held = own_words(u.doc[word], ids)
+    before, held = own_words(u.doc[word], ids[word])
     out = np.tile(log, (len(SHARES), 1))
     seen, some = np.nonzero(before)[0], (held > 0).astype(np.float64)
     own, plain = before[seen] / held[seen], 10.0 ** np.maximum(log[word[seen]], -300)
@@ -604,14 +623,16 @@ def _lists(owner: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)), values)
 
 
-def _measured(texts: list[bytes], table: Words, end_known: int, go_on: float) -> list[pa.Array]:
+def _measured(u: Units, table: Words, end_known: int, go_on: float) -> list[pa.Array]:
     """The columns of _PART, without the end of the text, for a slice of texts."""
-    u, n, kinds = Units(texts), len(texts), len(SHARES)
-    ids = table.look_up(u.words)
+    n, kinds = len(u.begins) - 1, len(SHARES)
+    number, names = u.distinct()
+    ids = table.look_up(names)[number]
     logs = unit_logs(u, table, ids) + go_on  # and the text goes on
     word_doc = u.doc[~u.gap]
-    known = table.known[ids]
     whole = np.stack([np.bincount(u.doc, x, n) for x in logs])
+    ids = ids[~u.gap]
+    known = table.known[ids]
     # words to be looked up in the table of all words
     at = np.nonzero(~known)[0]
     pair, k = np.unique(word_doc[at] * np.int64(1 << 32) + ids[at], return_counts=True)
@@ -632,7 +653,7 @@ def _measured(texts: list[bytes], table: Words, end_known: int, go_on: float) ->
     passages = pa.StructArray.from_arrays([pa.array(h[order][first]), pa.array(many, pa.int64()), each], names=["h", "k", "logs"])
     return [
         pa.array(np.bincount(word_doc, minlength=n) + 1), pa.array(np.bincount(word_doc, known, n).astype(np.int64) + end_known), pa.array(np.bincount(word_doc, table.base[ids], n)),
-        pa.array(list(map(len, texts)), pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, big, n).astype(np.int64)),
+        pa.array(np.diff(u.begins), pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, big, n).astype(np.int64)),
         pa.ListArray.from_arrays(pa.array(np.arange(0, n * kinds + 1, kinds, dtype=np.int32)), pa.array(whole.T.reshape(-1))), _lists(pair >> 32, n, rare), _lists(doc[order][first], n, passages),
     ]
 
@@ -649,7 +670,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     taught = docs.where(training).select(F.col(text).alias("text"))
     counted = checkpointed(gathered(taught, "text"))
     units = counted.where("kind = 0").select("unit", "n")
-    n_units = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_units, n_distinct = units.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = units.where(~F.substring("unit", 1, 1).isin(*_GAP.decode())).groupBy(fold_ascii(F.col("unit")).alias("word")).agg(F.sum("n").alias("c"))
     words = checkpointed(words)
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -664,8 +685,10 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
         counts[found["h"].to_numpy()] = found["n"].to_numpy()
     held = counted.where("kind = 1").select("h", F.col("n").alias("c"))
     all_passages = held.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    model = train(units.sortWithinPartitions("unit"), firsts.reshape(FIRSTS, 256), symbols)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model, frequent["word"].combine_chunks().cast(pa.binary()), frequent["c"].to_numpy(), scale))
+    model = train(units.coalesce(1 + n_distinct // UNITS_IN_A_TASK).sortWithinPartitions("unit"), firsts.reshape(FIRSTS, 256), symbols)
+    often = units.where(F.col("n") >= _least_count(units, "n")).select("unit").orderBy("unit").toArrow()["unit"].combine_chunks().cast(pa.binary())
+    rests = model.rest(often.to_pylist())
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model, frequent["word"].combine_chunks().cast(pa.binary()), frequent["c"].to_numpy(), scale, often, rests))
     stop = (ends + 0.5) / (n_units + ends + 1.0)
     end_lm, go_on, which = math.log10(stop), math.log10(1 - stop), math.log10(0.5)
     end_base = math.log10((ends + 0.5) / scale)
@@ -673,9 +696,8 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _words(shared)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for x, y in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), *_measured(_encoded(texts[x:y]), table, int(ends > 0), go_on)], names=names)
+            for x, y, u in units_of(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), *_measured(u, table, int(ends > 0), go_on)], names=names)
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("")).alias("row"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("taught"))
     schema = with_fields(packed.select("row", "taught"), _PART)

@@ -311,7 +311,7 @@ def small_model(units):
     tree = lm_score.Tree(np.bincount(np.frombuffer(b"".join(units), np.uint8), minlength=257))
     tables, firsts, mixer = np.zeros((2, lm_score.SLOTS), np.float32), np.zeros((lm_score.FIRSTS, 256)), lm_score.Mixer(lm_score.GATES, lm_score.MODELS)
     lm_score.count_tables(units, np.ones(len(units)), tree, tables)
-    u = lm_score.Units([b" ".join(x for x in units if x.strip())])
+    u = lm_score.Units.of([b" ".join(x for x in units if x.strip())])
     np.add.at(firsts, (u.contexts(), u.data[u.starts]), 1)
     return lm_score.Model(tables, tree, mixer, lm_score.Firsts(firsts).log10)
 
@@ -359,7 +359,7 @@ text = bytes(rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOPabcdefghijklmnop0123", n
 tree = L.Tree(np.bincount(np.frombuffer(text[:10000], np.uint8), minlength=257))
 m = L.Model(np.zeros((2, L.SLOTS), np.float32), tree, L.Mixer(L.GATES, L.MODELS), L.Firsts(np.zeros((L.FIRSTS, 256))).log10)
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-out = L._measured([text], L.Words(m, {}, 1.0), 1, -0.1)
+out = L._measured(L.Units.of([text]), L.Words(m, {}, 1.0), 1, -0.1)
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, out[0].to_pylist(), out[5].to_pylist())
 """
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(__import__("pathlib").Path(lm_score.__file__).parents[2]))
@@ -368,19 +368,24 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, out
 
 
 def test_units_and_own_words():
+    import numpy as np
+    import pyarrow as pa
+
     rng = random.Random(20)
     texts = [b"".join(rng.choice([b"a", b"bc", b" ", b"\n", b"\t ", b"long" * 9, "é".encode()]) for _ in range(rng.randrange(12))) for _ in range(300)] + [b"", b" ", b"x"]
-    u = lm_score.Units(texts)
+    u = lm_score.Units.of(texts)
     spans = [(d, g, t) for d, x in enumerate(texts) for t, g in ((m[0], not m[0].strip()) for m in re.finditer(rb"[ \t\n\r\x0b\x0c]+|[^ \t\n\r\x0b\x0c]+", x))]
     assert [(int(d), bool(g), u.data[s:e].tobytes()) for d, g, s, e in zip(u.doc, u.gap, u.starts, u.ends)] == spans
-    assert u.words == [t for _, g, t in spans if not g]
+    number, known = u.distinct()
+    assert [known[k] for k in number] == [t for _, _, t in spans] and len(set(known)) == len(known)
+    columns = pa.array([t.decode() or None for t in texts])
+    parts = [(x, y, v) for c in (columns, columns.slice(7)) for x, y, v in lm_score.units_of(c, 40)]
+    assert [v.data[s:e].tobytes() for x, y, v in parts for s, e in zip(v.starts, v.ends)] == [t for _, _, t in spans] + [t for d, _, t in spans if d >= 7]
     names = {}
-    for h, (_, _, t) in zip(u.hashes().tolist(), spans):
+    for h, (_, _, t) in zip(u.hashes.tolist(), spans):
         assert names.setdefault(t, h) == h
     assert len(set(names.values())) == len(names)
-    import numpy as np
-
-    doc, ids = u.doc[~u.gap], np.array([len(w) for w in u.words])
+    doc, ids = u.doc[~u.gap], u.size[~u.gap]
     before, held = lm_score.own_words(doc, ids)
     for k in range(len(doc)):
         mine = [j for j in range(k) if doc[j] == doc[k]]
@@ -393,7 +398,7 @@ def brute_score(docs, taught, model, n_units, shares=lm_score.SHARES):
     stop = (ends + 0.5) / (n_units + ends + 1)
     cut = []
     for t in docs:
-        u = lm_score.Units([t])
+        u = lm_score.Units.of([t])
         cut.append((u, [(h, a, b) for h, a, b in zip(*(x.tolist() for x in u.passages()))]))
     held = Counter(h for (u, ps), own in zip(cut, taught) if own for h, a, b in ps if u.ends[b - 1] - u.starts[a] >= lm_score.LEAST_PASSAGE)
     out = []
@@ -419,7 +424,7 @@ def brute_score(docs, taught, model, n_units, shares=lm_score.SHARES):
             is_copy = (h, a, b) in copies
             x += math.log10(((0.02 if is_copy else 1.0) + (copied if is_copy else ps.index((h, a, b)) - copied)) / (1.02 + ps.index((h, a, b))))
             copied += is_copy
-        out.append(x + (math.log10(0.5) if len(u.data) > 1 else 0) + math.log10(stop))
+        out.append(x + (math.log10(0.5) if len(u.data) else 0) + math.log10(stop))
     return out
 
 
