@@ -237,6 +237,7 @@ class Interpreter:
         return page
 
     live: list[SetValue] = []
+    inside = 0  # lambdas over arrays
     bound: dict[str, T.DataType] = {}
 
     def value(self, v: Any) -> Value:
@@ -768,7 +769,7 @@ class Interpreter:
 
     def subquery(self, df: DataFrame, kind: T.DataType, then: Callable = lambda c: c) -> Value:
         """A single row's single value as part of the plan. Within a lambda over an array it is read now, since Spark can't plan it there."""
-        if self.bound or self.live:
+        if self.bound or self.live or self.inside:
             return Value(then(F.lit(df.first()[0]).cast(kind)), kind)
         return Value(then(df.scalar()), kind)
 
@@ -785,7 +786,14 @@ class Interpreter:
                 kind = self.typed(out.c, out).kind
             finally:
                 self.bound = saved
-            run = lambda *cs: self.value(f(*[Value(c, k) for c, k in zip(cs, kinds)])).c
+
+            def run(*cs: Column) -> Column:
+                self.inside += 1
+                try:
+                    return self.value(f(*[Value(c, k) for c, k in zip(cs, kinds)])).c
+                finally:
+                    self.inside -= 1
+
             # Spark tells a lambda's arguments by its signature
             return (lambda x: run(x)) if len(kinds) == 1 else (lambda a, x: run(a, x)), kind
 
@@ -922,7 +930,10 @@ def _from_entries(self, pairs):
     kind = pairs.kind.elementType
     keyed = isinstance(kind, T.StructType)
     key = (lambda x: x["key"]) if keyed else (lambda x: x[0])
-    names = self.one.select(F.transform(pairs.c, lambda x: key(x).cast("string")).alias("k")).first()["k"]
+    df = self.one
+    for s in self.live:
+        df = df.crossJoin(s.joined().df.limit(1))  # a row to stand in; keys do not depend on it
+    names = df.select(F.transform(pairs.c, lambda x: key(x).cast("string")).alias("k")).first()["k"]
     last = {n: k for k, n in enumerate(names)}
     return self.typed(F.struct(*[(F.get(pairs.c, F.lit(k))["value"] if keyed else F.get(F.get(pairs.c, F.lit(k)), F.lit(1))).alias(n) for n, k in last.items()]), pairs)
 

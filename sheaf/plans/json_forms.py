@@ -146,14 +146,35 @@ class Forms:
 
     def run(self, form: Any) -> Any:
         """Scalars as values; sets as they are, not read."""
-        out = self.evaluate(form, {})
-        if isinstance(out, Column):
-            return Y.simple(self.spark.range(1).select(out.alias("value")).first()["value"])
-        if isinstance(out, list):
-            return [self.run({"object": {"v": x}})["v"] if isinstance(x, Column) else x for x in out]
-        if isinstance(out, dict) and out:
-            return Y.simple(self.spark.range(1).select(_c(out).alias("value")).first()["value"])
-        return out
+        return self.plain(self.evaluate(form, {}))
+
+    def plain(self, out: Any) -> Any:
+        """A result with all Columns in it read, in one job."""
+        columns: list[Column] = []
+
+        def find(x: Any) -> None:
+            if isinstance(x, Column):
+                columns.append(x)
+            elif isinstance(x, dict):
+                for v in x.values():
+                    find(v)
+            elif isinstance(x, list):
+                for v in x:
+                    find(v)
+
+        find(out)
+        if not columns:
+            return out
+        found = iter(self.spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first())
+
+        def put(x: Any) -> Any:
+            if isinstance(x, Column):
+                return Y.simple(next(found))
+            if isinstance(x, dict):
+                return type(x)({k: put(v) for k, v in x.items()})
+            return [put(v) for v in x] if isinstance(x, list) else x
+
+        return put(out)
 
     def evaluate(self, form: Any, env: dict) -> Any:
         if isinstance(form, list):
@@ -378,6 +399,8 @@ class Forms:
     def type_test(self, name: str, v: Any) -> Any:
         kinds = {"number": (int, float), "double": float, "integer": int, "boolean": bool, "array": list, "object": dict, "ref": (Ref, Named), "set": Elements, "lambda": type(lambda: 0), "doc": Document, "uuid": Uuid}
         if isinstance(v, Column):
+            if name == "null":
+                return v.isNull()
             names = {"number": "bigint|int|double|float|smallint|tinyint|decimal.*", "double": "double|float", "integer": "bigint|int|smallint|tinyint", "boolean": "boolean", "string": "string", "array": "array.*", "object": "struct.*|map.*", "bytes": "binary", "timestamp": "timestamp.*", "date": "date"}
             return F.typeof(v).rlike(f"^({names[name]})$") & v.isNotNull() if name in names else F.lit(False)
         if name == "null":
@@ -547,8 +570,8 @@ class Forms:
     def form_paginate(self, form, env):
         """Forward from after, which is included; backward from before, which is not; 64 elements, in the set's order.
 
-        A cursor is the next element. Where the page ends among equal elements, it is {"value", "skip"}: so many of them
-        came before. cursor: a cursor under the name of its direction. ts: documents as of then. events: versions instead of
+        A cursor is the next element. Where the page ends among equal elements, or the order has other keys, it is {"at", "skip"}: the
+        element's keys, and how many of its like came before. cursor: a cursor under the name of its direction. ts: documents as of then. events: versions instead of
         elements. sources: each element with the sets of a union, intersection or difference that hold it.
         """
         if "ts" in form:
@@ -574,21 +597,30 @@ class Forms:
             held = X.sources(**frames)
         size, o = size or 64, c.ordered()
         flat = lambda r: r[c.values[0]] if len(c.values) == 1 else [r[v] for v in c.values]
-        opened = lambda x: (tuple(_many(x["value"])), x["skip"]) if isinstance(x, dict) and "skip" in x else (tuple(_many(x)), 0)
+        place = lambda r: [r[k] for k, _ in o.keys]
+        by_value = [k for k, _ in o.keys][: len(c.values)] == list(c.values)
+        opened = lambda x: (tuple(x["at"]), x["skip"]) if isinstance(x, dict) and "at" in x else (tuple(_many(x)), 0)
+
+        def cursor_of(row: Row, passed: list[Row], at: tuple, skip: int) -> Any:
+            """The row's value, if that tells it from all rows passed; else its keys, and how many of its like were passed."""
+            if by_value and all(flat(r) != flat(row) for r in passed):
+                return flat(row)
+            return {"at": place(row), "skip": sum(place(r) == place(row) for r in passed) + (skip if place(row) == list(at) else 0)}
+
         if before is not None:
-            place, skip = opened(before)
-            rows = o.before(place).take(size + 1 + skip).df.collect()[skip:]
+            at, skip = opened(before)
+            rows = o.before(at).take(size + 1).df.collect() if not skip else [*o.range(at, at).take(skip).reverse().df.collect(), *o.before(at).take(size + 1).df.collect()]
             page = {"data": [flat(r) for r in reversed(rows[:size])], "after": before}
             if len(rows) > size:
-                alike = sum(flat(r) == flat(rows[size - 1]) for r in rows[:size])
-                page["before"] = flat(rows[size - 1]) if flat(rows[size]) != flat(rows[size - 1]) else {"value": flat(rows[size - 1]), "skip": -alike}
+                alike = sum(place(r) == place(rows[size - 1]) for r in rows[size:])
+                whole = by_value and flat(rows[size]) != flat(rows[size - 1])
+                page["before"] = flat(rows[size - 1]) if whole else {"at": place(rows[size - 1]), "skip": alike}
         else:
-            place, skip = opened(after) if after is not None else ((), 0)
-            rows = (o.after(place, inclusive=True) if after is not None else o).take(size + 1 + max(0, skip)).df.collect()[max(0, skip) :]
+            at, skip = opened(after) if after is not None else ((), 0)
+            rows = (o.after(at, inclusive=True) if after is not None else o).take(size + 1 + skip).df.collect()[skip:]
             page = {"data": [flat(r) for r in rows[:size]]}
             if len(rows) > size:
-                alike = sum(x == flat(rows[size]) for x in page["data"]) + (skip if after is not None and flat(rows[size]) == (place[0] if len(c.values) == 1 else list(place)) else 0)
-                page["after"] = {"value": flat(rows[size]), "skip": alike} if alike else flat(rows[size])
+                page["after"] = cursor_of(rows[size], rows[:size], at, skip)
             if after is not None:
                 page["before"] = after
         if held is not None:

@@ -128,17 +128,9 @@ def set_aggregates(spark, d):
     return ordered(spark, d, "events", "event_id").aggregate(count=F.count(F.lit(1)), has_sum=F.sum(v).isNotNull(), sum=F.round(N.sum_of(v), 2), mean=F.round(N.mean_of(v), 6), max=F.max(v), min=F.min(v))
 
 
-@query("SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded, CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey DESC)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded_right FROM orders WHERE o_orderkey <= 1000")
+@query("SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded, CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey DESC)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded_right FROM orders")
 def fold_ordered(spark, d):
     """A fold that is not associative: rows stream in order, a partition at a time."""
-    s = ordered(spark, d, "orders", "o_orderkey").where(F.col("o_orderkey") <= 1000)
-    step = lambda a, r: (a * 31 + r["o_custkey"]) % 1000003
-    return spark.createDataFrame([(s.fold(7, step), s.fold_right(7, step))], "folded bigint, folded_right bigint")
-
-
-@query("SELECT CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded, CAST(list_reduce(list_prepend(7::BIGINT, list(o_custkey ORDER BY o_orderkey DESC)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS folded_right FROM orders")
-def fold_ordered_whole(spark, d):
-    """The same over all orders."""
     s = ordered(spark, d, "orders", "o_orderkey")
     step = lambda a, r: (a * 31 + r["o_custkey"]) % 1000003
     return spark.createDataFrame([(s.fold(7, step), s.fold_right(7, step))], "folded bigint, folded_right bigint")
@@ -186,10 +178,10 @@ def mva_index_counts(spark, d):
     return Index("by_word", ("word",), multi=("word",)).entries(docs, "doc_id").groupBy("word").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 50")
 
 
-@query("SELECT c_custkey, upper(c_name) AS key FROM customer WHERE upper(c_name) = 'CUSTOMER#000000007' OR c_custkey = 7")
+@query("SELECT c_custkey, c_acctbal, upper(c_mktsegment) || '/' || c_nationkey AS key FROM customer WHERE upper(c_mktsegment) || '/' || c_nationkey IN ('BUILDING/7', 'MACHINERY/3')")
 def computed_index(spark, d):
-    customers = table(spark, d, "customer")
-    index = Index("by_upper", ("key",), computed={"key": lambda df: F.upper(df["c_name"])})
-    c = Collection("customer", customers, "c_custkey", computed={"key": lambda df: F.upper(df["c_name"])}).with_index(index)
-    name = F.upper(F.lit("Customer#000000007"))
-    return c.rows.where((F.col("key") == name) | (F.col("c_custkey") == 7)).select("c_custkey", "key")
+    """Reads of an index by a computed term; the collection itself has no such field."""
+    index = Index("by_key", ("key",), ("-c_acctbal",), computed={"key": lambda df: F.concat_ws("/", F.upper(df["c_mktsegment"]), df["c_nationkey"].cast("string"))})
+    c = Collection("customer", table(spark, d, "customer"), "c_custkey").with_index(index)
+    found = [c.by_index("by_key", k).df.select("c_custkey", "c_acctbal", "key") for k in ("BUILDING/7", "MACHINERY/3")]
+    return found[0].unionByName(found[1])

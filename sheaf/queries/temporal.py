@@ -94,19 +94,17 @@ def windowed_counts(spark, d):
     return out.select(F.to_date("window.start").alias("day"), "event_type", "n", "v")
 
 
-@query(f"SELECT k, ts, CASE WHEN now THEN 'add' ELSE 'remove' END AS action FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY k ORDER BY ts), false) AS was FROM (SELECT k, ts, t = 'click' AS now FROM {DAYS})) WHERE now <> was")
-def historical_difference(spark, d):
-    """A user is in one set at a time, so the difference is the first set."""
-    return X.historical({"a": membership(spark, d, "click"), "b": membership(spark, d, "view")}, ["k"], "difference")
+def history_sql(now: str) -> str:
+    return f"SELECT k, ts, CASE WHEN now THEN 'add' ELSE 'remove' END AS action FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY k ORDER BY ts), false) AS was FROM (SELECT k, ts, {now} AS now FROM {DAYS})) WHERE now <> was"
 
 
-@query("SELECT 0::BIGINT AS n")
-def historical_intersection(spark, d):
-    both = X.historical({"a": membership(spark, d, "click"), "b": membership(spark, d, "view")}, ["k"], "intersection")
-    return both.agg(F.count(F.lit(1)).alias("n"))
+@query(history_sql("t IN ('click', 'view') AND t NOT IN ('view', 'purchase')"))
+def historical_difference(spark, d):
+    """The sets overlap: while the last event was a view a user is in both, which ends membership in the difference."""
+    return X.historical({"a": membership(spark, d, "click", "view"), "b": membership(spark, d, "view", "purchase")}, ["k"], "difference")
 
 
-@query(f"SELECT k, ts, CASE WHEN now THEN 'add' ELSE 'remove' END AS action FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY k ORDER BY ts), false) AS was FROM (SELECT k, ts, t = 'view' AS now FROM {DAYS})) WHERE now <> was")
-def historical_intersection_rows(spark, d):
-    """Two sets that overlap: a user is in both while the last event was a view."""
+@query(history_sql("t IN ('click', 'view') AND t IN ('view', 'purchase')"))
+def historical_intersection(spark, d):
+    """The sets overlap: a user is in both while the last event was a view."""
     return X.historical({"a": membership(spark, d, "click", "view"), "b": membership(spark, d, "view", "purchase")}, ["k"], "intersection")

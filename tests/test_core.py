@@ -311,3 +311,156 @@ def test_writes(spark, tmp_path):
         with pytest.raises(ConstraintError):
             run(bad)
     assert [r["action"] for r in store.history(9).collect()] == ["create", "update", "delete"]
+
+
+def test_ties(spark):
+    """Drops, takes and pages of sets whose rows tie, or are alike, cover each row once."""
+    rows = [(k % 2, "ab"[k % 4 // 2], k % 3) for k in range(30)] + [(None, "a", 1)] * 3
+    df = spark.createDataFrame(rows, "v int, w string, x int")
+    alike = sorted(map(str, rows))
+    for keys in (("v",), ("-v",), ("w", "-v"), ()):
+        s = Ordered.of(df, *keys)
+        for n in (0, 1, 5, 16, 29, 33, 40):
+            parts = [tuple(r) for o in (s.take(n), s.drop(n)) for r in o.df.collect()]
+            assert sorted(map(str, parts)) == alike
+        seen, cursor = [], None
+        while True:
+            page = s.paginate(cursor, 4)
+            seen += [tuple(r) for r in page.data]
+            cursor = page.after
+            if not cursor:
+                break
+        assert sorted(map(str, seen)) == alike and len(seen) == 33
+    nested = Ordered.of(spark.createDataFrame([(1, [1]), (1, [1]), (1, [2])], "v int, a array<int>"), "v")
+    assert len(nested.drop(1).df.collect()) == 2
+
+
+def test_exact_integers(spark):
+    big = 1 << 53
+    assert one(spark, N.add(F.lit(big + 1), F.lit(0))) == big + 1 and one(spark, N.multiply(F.lit(big + 1), F.lit(3))) == 3 * big + 3
+    for a, b in ((1 << 63) - 1, 1), (-(1 << 63), -1), ((1 << 63) - 1, 0), (-(1 << 63), 0), (5, -7):
+        fits = lambda x: x if -(1 << 63) <= x < 1 << 63 else None
+        c = [F.lit(x).cast("bigint") for x in (a, b)]
+        assert (one(spark, N.add(*c)), one(spark, N.subtract(*c)), one(spark, N.multiply(*c))) == (fits(a + b), fits(a - b), fits(a * b))
+    assert one(spark, N.widened(N.add, F.lit((1 << 63) - 1), F.lit(1))) == 2.0**63
+    assert one(spark, N.add(F.lit(1e300), F.lit(1e300))) == 2e300 and one(spark, N.multiply(F.lit(1e200), F.lit(1e10))) == 1e210
+
+
+def test_form_pages(people):
+    """Pages of a descending index, backward and forward, with ties and sources."""
+    forms = Forms(people.spark, people)
+    forms.catalog.create(Collection("Num", people.spark.createDataFrame([(k, "a" if k < 9 else "b", k // 4) for k in range(12)], "id long, t string, v long")).with_index(Index("byT", ("t",), ("-v",))).with_index(Index("vByT", ("t",), ("v",))))
+    for source in ({"match": "a", "index": "byT"}, {"reverse": {"match": "a", "index": "byT"}}, {"union": [{"match": "a", "index": "vByT"}, {"match": "b", "index": "vByT"}]}):
+        want = [r[0] for r in forms.evaluate(source, {}).ordered().rows()]
+        seen, cursor = [], {}
+        while True:
+            page = forms.run({"paginate": source, "size": 2, **cursor})
+            seen += page["data"]
+            if "after" not in page:
+                break
+            cursor = {"after": {"quote": page["after"]}}
+        assert seen == want
+    back = forms.run({"paginate": {"match": "a", "index": "byT"}, "size": 3, "before": 0})
+    assert back["data"] == [1, 1, 1] and back["before"]["at"][0] == 1
+    more = forms.run({"paginate": {"match": "a", "index": "byT"}, "size": 3, "before": {"quote": back["before"]}})
+    assert more["data"] == [2, 1][:1] + [1] or more["data"] == [2, 1]
+    page = forms.run({"paginate": {"union": [{"match": "a", "index": "vByT"}, {"match": "b", "index": "vByT"}]}, "sources": True, "size": 100})
+    assert [(x["value"], len(x["sources"])) for x in page["data"]][-1] == (2, 2)
+    people.collections.pop("Num")
+
+
+def test_form_writes(spark, tmp_path):
+    """Documents, histories and definitions are made, changed and dropped by forms."""
+    c = Catalog(spark)
+    c.folder = str(tmp_path)
+    run = Forms(spark, c).run
+    run({"create_collection": {"object": {"name": "Acc", "fields": "owner string, balance long"}}})
+    made = run({"create": {"collection": "Acc"}, "params": {"object": {"data": {"object": {"owner": "ann", "balance": 5}}}}})
+    ref = {"quote": made["ref"]}
+    assert made["data"] == {"owner": "ann", "balance": 5} and run({"exists": ref})
+    assert run({"update": ref, "params": {"object": {"data": {"object": {"balance": 7}}}}})["data"] == {"owner": "ann", "balance": 7}
+    assert run({"replace": ref, "params": {"object": {"data": {"object": {"owner": "bob"}}}}})["data"] == {"owner": "bob", "balance": None}
+    run({"create_index": {"object": {"name": "byOwner", "source": {"collection": "Acc"}, "terms": [{"object": {"field": ["data", "owner"]}}], "values": [{"object": {"field": ["data", "balance"], "reverse": True}}]}}})
+    assert run({"count": {"match": "bob", "index": "byOwner"}}) == 1 and c.collection("Acc").indexes["byOwner"].values == ("-balance",)
+    run({"insert": ref, "ts": {"time": "2020-01-01T00:00:00Z"}, "action": "create", "params": {"object": {"data": {"object": {"owner": "old", "balance": 1}}}}})
+    assert run({"paginate": {"documents": {"collection": "Acc"}}, "ts": "2020-06-01T00:00:00Z"})["data"] == [made["ref"].id]
+    assert [x[1] for x in run({"paginate": ref, "events": True})["data"]] == ["create", "create", "update", "update"]
+    run({"remove": ref, "ts": {"time": "2020-01-01T00:00:00Z"}, "action": "create"})
+    assert run({"paginate": {"documents": {"collection": "Acc"}}, "ts": "2020-06-01T00:00:00Z"})["data"] == []
+    assert run({"delete": ref})["data"]["owner"] == "bob" and not run({"exists": ref})
+    with pytest.raises(FormError):
+        run({"update": ref, "params": {}})
+    run({"create_function": {"object": {"name": "inc", "body": {"lambda": "x", "expr": {"add": [{"var": "x"}, 1]}}}}})
+    assert run({"call": {"function": "inc"}, "arguments": 4}) == 5
+    for kind in ("role", "database", "access_provider"):
+        run({f"create_{kind}": {"object": {"name": f"one_{kind}"}}})
+        assert run({f"{kind}s": None}).df.count() == 1
+    run({"move_database": {"database": "one_database"}, "to": {"database": "other"}})
+    assert run({"update": {"role": "one_role"}, "params": {"object": {"note": "x"}}})["note"] == "x"
+    run({"delete": {"role": "one_role"}})
+    assert run({"roles": None}).df.count() == 0 and run({"indexes": None}).df.count() == 1
+    with pytest.raises(FormError):
+        run({"create_database": {"object": {"name": "one_database"}}})
+
+
+def test_identity(people):
+    forms = Forms(people.spark, people)
+    run, ann = forms.run, {"ref": {"collection": "Person"}, "id": 1}
+    people.identity.set_password(("Person", 1), "secret")
+    assert run({"identify": ann, "password": "secret"}) is True and run({"identify": ann, "password": "no"}) is False
+    with pytest.raises(FormError):
+        run({"login": ann, "params": {"object": {"password": "no"}}})
+    token = run({"login": ann, "params": {"object": {"password": "secret"}}})
+    assert run({"has_current_identity": None}) is False
+    people.identity.use(token["secret"])
+    assert run({"has_identity": None}) and run({"current_identity": None}).id == 1 and run({"current_token": None}).id == token["ref"].id and run({"tokens": None}).df.count() == 1
+    it = Interpreter(people.spark, people)
+    assert it.run("Query.identity()!.name") == "Ann" and it.run("Query.token()") == token["ref"].id and it.run("Token.byDocument(Person(1))").data == [token["ref"].id]
+    assert run({"logout": True}) is True and run({"has_current_token": None}) is False and it.run("Query.identity()") is None
+    with pytest.raises(FormError):
+        run({"current_identity": None})
+    key = run({"create_key": {"object": {"name": "k1", "role": "admin"}}})
+    assert run({"key_from_secret": key["secret"]})["role"] == "admin" and run({"keys": None}).df.count() == 1
+    assert run({"issue_access_jwt": ann, "expire_in": 60}).count(".") == 2
+
+
+def test_language_modules(people, caplog):
+    it = Interpreter(people.spark, people)
+    run = it.run
+    page = run("Person.all().map(.id).pageSize(3)")
+    assert page.data == [1, 2, 3] and run(f"Set.paginate('{page.after}')").data == [4]
+    with pytest.raises(EvalError):
+        run("Set.paginate('nothing')")
+    assert run("Collection('Town').all().map(.name)").data == ["Ulm", "Bonn"] and run("Collection.all().map(.name)").data == ["Person", "Town"]
+    assert run("Person.definition.indexes") == ["byName"] and run("Town.toString()") == "Town" and run("Town") == "Town"
+    assert run("Schema.defForIdentifier('Town')") == {"kind": "collection", "name": "Town"} and run("Schema.defForIdentifier('x')") is None
+    assert run("evalV4('{\"add\": [1, 2]}') + 1") == 4 and run("FQL.Math.max(2, 3)") == 3 and run("Query.isEnvProtected()") is False
+    assert run("TransactionTime().year > 2000") is True and run("Person.all().any(.age > 35)") is True and run("[1, 2].map(x => x + Person.all().count())") == [5, 6]
+    assert run("Math.sum(Set.sequence(0, 5))") == 10 and run("if (Person.all().isEmpty()) 1 else 2") == 2
+    import logging
+
+    with caplog.at_level(logging.INFO, "sheaf"):
+        run("log('here', 1 + 1)")
+    assert "here 2" in caplog.text
+    with pytest.raises(EvalError):
+        run("at (Time.now().add(3, 'days')) { 1 }")
+
+
+def test_language_streams(spark):
+    t = lambda k: dt.datetime(2024, 1, 1, k)
+    rows = [(1, t(1), 1, "create", 40, "a"), (1, t(2), 2, "update", 41, "a"), (1, t(3), 3, "update", 42, "b"), (1, t(4), 4, "update", 43, "b"), (2, t(5), 5, "create", 42, "c"), (2, t(6), 6, "delete", 42, "c"), (1, t(7), 7, "update", 41, "b")]
+    c = Catalog(spark)
+    c.logs["Foo"] = log = spark.createDataFrame(rows, "id long, ts timestamp, ord long, action string, n long, s string")
+    c.create(Collection("Foo", versions.as_of(log, F.current_timestamp(), tie="ord").drop("ts", "ord", "action")).with_index(Index("byS", ("s",), ("n",))))
+    it = Interpreter(spark, c)
+    events = lambda text: [(r["ord"], r["event_type"], r["data"]) for r in it.plan(text).orderBy("ord").collect()]
+    want = [(2, "add", 41), (3, "update", 42), (4, "remove", 42), (5, "add", 42), (6, "remove", 42), (7, "add", 41)]
+    assert events("Foo.where(f => f.n >= 41 && f.n < 43).map(.n).eventSource()") == want
+    assert events("Foo.all().toStream().where(f => f.n >= 41 && f.n < 43).map(.n)") == want
+    assert events("Foo.all().changesOn(.s).map(.s)") == [(1, "add", "a"), (3, "update", "b"), (5, "add", "c"), (6, "remove", "c")]
+    assert events("Foo.byS('b').eventsOn(.n).map(.n)") == [(3, "add", 42), (4, "update", 43), (7, "update", 41)]
+    page = it.run("Foo.all().eventSource()")
+    assert len(page.data) == 7 and page.after
+    for bad in ("Foo.byS('b').eventsOn(.id)", "Foo.all().distinct().eventSource()", "Foo.all().changesOn(f => f.n + 1)", "Set.sequence(1, 3).eventSource()", "Foo.all().eventSource().take(1)"):
+        with pytest.raises((EvalError, ValueError)):
+            it.plan(bad)
