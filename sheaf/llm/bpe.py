@@ -18,7 +18,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sheaf.llm.util import with_fields
+from sheaf.llm.util import map_arrow, with_fields
 
 KEPT = 600_000
 
@@ -195,7 +195,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = Tr
                 new += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def default_vocabulary() -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import slices, with_fields
+from sheaf.llm.util import map_arrow, slices, with_fields
 
 WORDS, THRESHOLD, BLOCK_CHARS = 5, 0.8, 16 << 20
 #: Size parts: items of up to so many shingles, and the hash functions that sketch them.
@@ -212,7 +212,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                 both = [sorted([*h, *({"item_id": i, "containment": c} for i, c in m)], key=lambda z: z["item_id"]) for h, m in zip(had, matches)]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(both, kind))
 
-        found = found.mapInArrow(search, schema)
+        found = map_arrow(found, search, schema)
     return found
 
 

@@ -22,6 +22,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sheaf.llm.util import map_arrow
+
 # fixed values: elements by role, and words in class, id or role that name one
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -331,7 +333,7 @@ def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*(f.name for f in rest), text, "n_chars"])
 
-    return pages.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{text}` string, n_chars bigint"]))
+    return map_arrow(pages, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{text}` string, n_chars bigint"]))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ A text is words and the gaps of white space between them. Three layers code it,
 * Bits. A unit (word or gap) is coded byte by byte with an end mark, each symbol as the binary decisions on its way down a
   Huffman tree of the corpus's bytes, which are half as many as those of eight bits. Hashed contexts predict each bit; their stretched probabilities are mixed by weights that a gate selects (place, bit, how often the
   context was seen) and refined by an adaptive probability map. A unit's first byte has contexts across the boundary: how the word
-  before it began and ended, and whether a line ended; the others have two, three and five bytes back and the whole unit so far.
+  before it began and ended, and whether a line ended; the others have two and four bytes back and the whole unit so far.
 * Words. A document's own words so far predict the next one, too. The share of the two predictions adapts within each document:
   it is a Bayesian mixture over SHARES, so every word that is coded moves the weights of the next.
 * Passages. Texts are cut into passages at content-defined words. Whether a passage is one that another training text holds is
@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, fold_ascii, unpacked, with_fields
 
-PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 250_000, 1, 600_000
+PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 250_000, 1, 400_000
 #: A task that counts has tables of a fixed size, so it should count many units.
 UNITS_IN_A_TASK = 400_000
 #: Bits of each predictor's table, and where it begins in the one array of all.
-WIDTHS = (20, 21, 22, 22)
+WIDTHS = (20, 22, 22)
 STARTS = tuple(sum(1 << b for b in WIDTHS[:k]) for k in range(len(WIDTHS)))
 SLOTS, MODELS = sum(1 << b for b in WIDTHS), len(WIDTHS)
 #: Gates: place in the unit, depth of the bit, and how often the last context was seen.
@@ -74,8 +74,19 @@ def _pieces(units: list[bytes], ends: bool) -> tuple[list[bytes], list[int]]:
     return [u for u, _ in cut], [n for _, n in cut]
 
 
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, number of each key among the distinct, places in order where a new one begins)"""
+    order = np.argsort(key)
+    line = key[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = line[1:] != line[:-1]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order, number, np.nonzero(fresh)[0]
+
+
 def steps(units: list[bytes], begins: bool = True, ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct steps of the units: contexts (4, steps), place, symbol (256: the end); for each step taken: its unit, its number among the distinct.
+    """Distinct steps of the units: contexts (models, steps), place, symbol (256: the end); for each step taken: its unit, its number among the distinct.
 
     A step codes one byte, or the end, after what the unit holds so far. A unit's first byte isn't a step, see Firsts.
     begins and ends: false for a part of a unit that goes on before or after it; such a part has whole pieces.
@@ -91,7 +102,7 @@ def steps(units: list[bytes], begins: bool = True, ends: bool = True) -> tuple[n
     first = np.concatenate([[True], np.diff(np.asarray(owner)) > 0]) if len(pieces) else np.empty(0, bool)
     wide = data.astype(np.uint64)
     gap = np.repeat(_IS_GAP[data[starts]] & (sizes > 0), sizes + 1).astype(np.uint64)
-    back = [np.where(place >= k, np.roll(wide, k) + np.uint64(1), np.uint64(0)) for k in range(1, 6)]
+    back = [np.where(place >= k, np.roll(wide, k) + np.uint64(1), np.uint64(0)) for k in range(1, 5)]
     # hash of the unit so far: a running sum of place-dependent terms, less what stood before the unit
     term = (wide + np.uint64(1)) * (_M1 ^ (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     term ^= term >> np.uint64(31)
@@ -100,12 +111,12 @@ def steps(units: list[bytes], begins: bool = True, ends: bool = True) -> tuple[n
     symbol = np.where(is_end, 256, data.astype(np.int64))
     used = ~(is_end & np.repeat(~lasting, sizes + 1)) & ~((place == 0) & np.repeat(first & (sizes > 0) & begins, sizes + 1))
     key = (whole * _M1) ^ (symbol.astype(np.uint64) * _M2)
-    _, kept, number = np.unique(key[used], return_index=True, return_inverse=True)
-    at = np.nonzero(used)[0][kept]
+    order, number, first = ranked(key[used])
+    at = np.nonzero(used)[0][order[first]]
     orders = [gap[at] * np.uint64(257)]
     for x in back:
         orders.append((orders[-1] * _M1) ^ (orders[-1] >> np.uint64(31)) ^ (x[at] * _M2))
-    contexts = np.stack([orders[2], orders[3], orders[5], whole[at]])
+    contexts = np.stack([orders[2], orders[4], whole[at]])
     return contexts, place[at], symbol[at], unit[used], number
 
 
@@ -133,13 +144,13 @@ class Tree:
         depth = self.depth[symbol]
         row = np.repeat(np.arange(len(symbol)), depth)
         column = np.arange(len(row)) - np.repeat(np.cumsum(depth) - depth, depth)
-        code = symbol[row]
+        code = np.repeat(symbol, depth)
         node, bit = self.nodes[code, column] * _M2, self.bits[code, column]
         slots = np.empty((MODELS, len(row)), dtype=np.int32)
         for m in range(MODELS):
             h = ((contexts[m] * (_M1 + np.uint64(2 * m))) ^ (contexts[m] >> np.uint64(29))) * _M2
-            slots[m] = ((h[row] + node) * _M1 >> np.uint64(64 - WIDTHS[m])).astype(np.int32) + STARTS[m]
-        gate = np.minimum(place, 3)[row] * DEPTHS + np.minimum(column, DEPTHS - 1)
+            slots[m] = ((np.repeat(h, depth) + node) * _M1 >> np.uint64(64 - WIDTHS[m])).astype(np.int32) + STARTS[m]
+        gate = np.repeat(np.minimum(place, 3) * DEPTHS, depth) + np.minimum(column, DEPTHS - 1)
         return row, slots, gate.astype(np.int32), bit
 
 
@@ -374,13 +385,7 @@ class Units:
         names = [bytes([b]) for b in np.nonzero(used)[0].tolist()]
         out = (np.cumsum(used) - 1)[out]
         units = np.nonzero(self.size > 1)[0]
-        h = self.hashes[units]
-        order = np.argsort(h)
-        sorted_h = h[order]
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = sorted_h[1:] != sorted_h[:-1]
-        number = np.empty(len(order), dtype=np.int64)
-        number[order] = np.cumsum(fresh) - 1
+        order, number, fresh = ranked(self.hashes[units])
         first = units[order[fresh]]
         own = self.bytes_of(first)
         head, tail, size = self.head[units], self.tail[units], self.size[units]
@@ -422,7 +427,7 @@ class Units:
         return ((total ^ (total >> np.uint64(32))) * _M1).view(np.int64), first, np.append(first[1:], n)
 
 
-def units_of(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, Units]]:
+def units_of(column: pa.Array, most: int = 3 << 19) -> Iterator[tuple[int, int, Units]]:
     """(first row, one after the last, their units) of a column of texts, about ``most`` bytes at a time; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     begins = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -589,14 +594,19 @@ def _words(shared) -> Words:
 def own_words(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word: how often its document held it before, and how many words it held before."""
     n = len(ids)
-    key = doc * np.int64(1 << 32) + ids
-    order = np.argsort(key, kind="stable")
-    key, fresh = key[order], np.ones(n, dtype=bool)
+    before = np.zeros(n, dtype=np.int64)
+    if not n:
+        return before, before
+    bits, names = n.bit_length(), int(ids.max()) + 1
+    if (int(doc[-1]) + 1) * names >= 1 << (62 - bits):  # numbers too great for one key: they are made small first
+        ids = ranked(ids)[1]
+        names = int(ids.max()) + 1
+    line = np.sort((doc * names + ids << bits) | np.arange(n))
+    place, key = line & ((1 << bits) - 1), line >> bits
+    fresh = np.ones(n, dtype=bool)
     fresh[1:] = key[1:] != key[:-1]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    before = np.empty(n, dtype=np.int64)
-    before[order] = np.arange(n) - first
-    begins = np.maximum.accumulate(np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), np.arange(n), 0)) if n else before
+    before[place] = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    begins = np.maximum.accumulate(np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), np.arange(n), 0))
     return before, np.arange(n) - begins
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, connected_components, packed, unpacked
+from sheaf.llm.util import checkpointed, connected_components, map_arrow, packed, unpacked
 
 SHINGLE, SEED, RADIUS, BUCKET = 3, 42, 2, 128
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), pa.array(fps)], names=[*(f.name for f in rest), "fp"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "fp bigint"]))
+    return map_arrow(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "fp bigint"]))
 
 
 def _ball(value, member) -> F.Column:

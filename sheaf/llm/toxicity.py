@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, fold_of, with_fields
+from sheaf.llm.util import checkpointed, fold_of, map_arrow, with_fields
 
 SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
 _WORD = re.compile(r"\w+")
@@ -97,10 +97,10 @@ class NearestExamples:
         self.labels = np.array([y for y, *_ in examples], dtype=float)
         self.ids = [ids for *_, ids in examples]
         self.own = {i: k for k, ids in enumerate(self.ids) for i in ids}
-        self.prior = (self.labels.sum() + 0.5) / (n + 1)
+        self.prior = (self.labels.sum() + 0.1) / (n + 10)  # few examples say little, none that nothing is toxic
         self.vectors = [self.vector(dict(zip(ts, fs))) for _, ts, fs, _ in examples]
         blank = [y for (y, ts, *_) in examples if not ts]
-        self.blank = (sum(blank) + self.prior) / (len(blank) + 1)
+        self.blank = (sum(blank) + 10 * self.prior) / (len(blank) + 10)
         self.index = BlockMaxIndex(self.vectors, len(terms))
         self.known: dict[tuple, tuple[float, list]] = {}
 
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: NearestExamples, text: str = "text", doc_id: s
                 names.append("evidence")
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(judge, schema)
+    return map_arrow(docs, judge, schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

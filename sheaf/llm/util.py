@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,16 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name: Spark itself can't pass on those with a dot."""
+    names = df.columns
+
+    def run(batches: Iterator) -> Iterator:
+        return f(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
+
+
 def slices(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most`` characters, one row at least."""
     first, held = 0, 0

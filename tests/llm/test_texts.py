@@ -205,7 +205,7 @@ def brute_toxicity(docs, labels, neighbours=15):
         return v / (np.linalg.norm(v) or 1)
 
     v = np.array([vector(words[k]) for k in train])
-    prior = (pos + 0.5) / (n + 1)
+    prior = (pos + 0.1) / (n + 10)
 
     def vote(sims):
         best = np.sort(np.where(sims > 1e-12, sims, 0))[::-1]
