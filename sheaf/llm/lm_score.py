@@ -17,8 +17,8 @@ are learnt online over all distinct steps of all units, weighted by their number
 in random order from common weights, and the results are averaged by weight, in ROUNDS rounds. What the corpus's vocabulary and
 passages hold is never collected: the counted tables have a fixed size, all else stays in tables of Spark.
 
-The unigram counts are exact: frequent words (at most FREQUENT) are broadcast, occurrences of all others are
-joined by word. None of these can be a hot key, since each is rarer than every broadcast word.
+The unigram counts are exact: frequent units (at most FREQUENT, each in its own case) are broadcast with their counts and scores,
+occurrences of all other words are joined by word, in lower case, once for each text. Spark can split that join.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, fold_ascii, unpacked, with_fields
 
-PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 250_000, 1, 400_000
+PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 400_000, 1, 400_000
 #: A task that counts has tables of a fixed size, so it should count many units.
 UNITS_IN_A_TASK = 400_000
 #: Bits of each predictor's table, and where it begins in the one array of all.
@@ -57,7 +57,7 @@ SHARES, LEAST_PASSAGE, ABOUT = (0.02, 0.25), 48, 64
 HELD_OUT = 1
 _GAP = b" \t\n\r\x0b\x0c"
 _IS_GAP = np.isin(np.arange(256), list(_GAP))
-_ENDING = np.full(256, 4, dtype=np.int64)
+_ENDING = np.full(256, 4, dtype=np.int32)
 for _k, _bytes in enumerate((b".!?", b",;:", b"0123456789")):
     _ENDING[list(_bytes)] = _k + 1
 _ENDING[128:], _ENDING[33:48] = 5, np.where(_ENDING[33:48] == 4, 6, _ENDING[33:48])
@@ -338,22 +338,25 @@ class Units:
     def of(cls, texts: list[bytes]) -> Units:
         return cls(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)), dtype=np.int64)]))
 
-    def bytes_of(self, units: np.ndarray) -> list[bytes]:
-        whole = self.data.tobytes() if len(units) > 1000 else memoryview(self.data)
-        return [bytes(whole[a:b]) for a, b in zip(self.starts[units].tolist(), self.ends[units].tolist())]
+    def taken(self, units: np.ndarray) -> pa.Array:
+        """The bytes of some units."""
+        offsets = pa.py_buffer(np.append(self.starts, len(self.data)).astype(np.int64))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, offsets, pa.py_buffer(self.data)]).take(pa.array(units))
 
     def contexts(self) -> np.ndarray:
         """The context of each unit's first byte."""
-        first, last = self.data[self.starts].astype(np.int64), self.data[self.ends - 1].astype(np.int64)
-        out, n = np.zeros(len(first), dtype=np.int64), len(first)
-        if not n:
-            return out
-        alike = np.concatenate([[False], self.doc[1:] == self.doc[:-1]])
-        second = np.concatenate([[False, False], self.doc[2:] == self.doc[:-2]])[:n]
-        before, two = np.roll(np.arange(n), 1), np.roll(np.arange(n), 2)
-        line = (last[before] == 10) & alike
-        out = np.where(second, (_ENDING[last[two]] * 2 + line) * 256 + first[two], line * 256)
-        return np.where(self.gap, WORD_STARTS + np.where(alike, last[before], 0), out)
+        first, last, n = self.data[self.starts], self.data[self.ends - 1], len(self.starts)
+        out = np.zeros(n, dtype=np.int32)
+        line = np.zeros(n, dtype=np.int32)  # a gap that ends a line stands before
+        alike = self.doc[1:] == self.doc[:-1]
+        line[1:] = (last[:-1] == 10) & alike
+        out[2:] = np.where(self.doc[2:] == self.doc[:-2], _ENDING[last[:-2]] * 512 + first[:-2], 0)
+        out += line << 8
+        gaps = np.nonzero(self.gap)[0]
+        out[gaps] = WORD_STARTS
+        after = gaps[gaps > 0]
+        out[after] += np.where(alike[after - 1], last[after - 1], 0)
+        return out
 
     @cached_property
     def hashes(self) -> np.ndarray:
@@ -377,28 +380,29 @@ class Units:
                 self._add_all(out, some, size)
         return (out ^ (out >> np.uint64(31))) * _M1
 
-    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
         """(number of each unit, the bytes of each number): units are alike if their bytes are, hashes only find them."""
         out = self.data[self.starts].astype(np.int64)  # a unit of one byte has the byte's number
         used = np.zeros(256, dtype=bool)
         used[out[self.size == 1]] = True
-        names = [bytes([b]) for b in np.nonzero(used)[0].tolist()]
+        single = pa.array([bytes([b]) for b in np.nonzero(used)[0].tolist()], pa.large_binary())
         out = (np.cumsum(used) - 1)[out]
         units = np.nonzero(self.size > 1)[0]
         order, number, fresh = ranked(self.hashes[units])
         first = units[order[fresh]]
-        own = self.bytes_of(first)
+        own = self.taken(first)
         head, tail, size = self.head[units], self.tail[units], self.size[units]
         odd = (size != self.size[first][number]) | (head != self.head[first][number]) | (tail != self.tail[first][number])
         long = np.nonzero((size > 16) & ~odd)[0]
-        odd[[k for k, x in zip(long.tolist(), self.bytes_of(units[long])) if x != own[number[k]]]] = True
+        odd[long] = pc.not_equal(self.taken(units[long]), own.take(pa.array(number[long]))).to_numpy(zero_copy_only=False)
+        names = [single, own]
         if odd.any():  # two units of one hash
             more: dict[bytes, int] = {}
             at = np.nonzero(odd)[0]
-            number[at] = [more.setdefault(x, len(own) + len(more)) for x in self.bytes_of(units[at])]
-            own += more
-        out[units] = number + len(names)
-        return out, names + own
+            number[at] = [more.setdefault(x, len(own) + len(more)) for x in self.taken(units[at]).to_pylist()]
+            names.append(pa.array(list(more), pa.large_binary()))
+        out[units] = number + len(single)
+        return out, pa.concat_arrays(names)
 
     def _add_all(self, out: np.ndarray, some: np.ndarray, size: np.ndarray) -> None:
         """Add all bytes of some units to their hashes; those of one very long unit a bounded number at a time."""
@@ -446,29 +450,35 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
     3: bytes after the first by their value, and ends of units, 256.
     """
 
-    def rows(kind: int, units: list[bytes] | None, h: np.ndarray | None, n) -> pa.RecordBatch:
-        n = pa.array(n, pa.int64())
-        unit = pa.nulls(len(n), pa.string()) if units is None else pa.array(units, pa.binary()).cast(pa.string())
+    def rows(kind: int, units: pa.ChunkedArray | None, h: np.ndarray | None, n) -> pa.RecordBatch:
+        n = n.combine_chunks() if isinstance(n, pa.ChunkedArray) else pa.array(n, pa.int64())
+        unit = pa.nulls(len(n), pa.string()) if units is None else units.combine_chunks().cast(pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), unit, pa.nulls(len(n), pa.int64()) if h is None else pa.array(h, pa.int64()), n], names=["kind", "unit", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
+        held: list[pa.Table] = []
+        waiting = 0
         firsts, symbols = np.zeros(FIRSTS * 256, dtype=np.int64), np.zeros(257, dtype=np.int64)
         for batch in batches:
             for _, _, u in units_of(batch.column(0)):
                 number, names = u.distinct()
-                for name, n in zip(names, np.bincount(number, minlength=len(names)).tolist()):
-                    total[name] = total.get(name, 0) + n
-                if len(total) > KEPT:
-                    yield rows(0, list(total), None, list(total.values()))
-                    total.clear()
+                held.append(pa.table({"unit": names, "n": np.bincount(number, minlength=len(names))}))
+                waiting += len(names)
+                if waiting > 4 * KEPT:
+                    held = [pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])]
+                    waiting = held[0].num_rows
+                    if waiting > KEPT:
+                        yield rows(0, held[0]["unit"], None, held[0]["n"])
+                        held, waiting = [], 0
                 np.add.at(firsts, u.contexts() * 256 + u.data[u.starts], 1)
                 symbols[:256] += np.bincount(u.data, minlength=256) - np.bincount(u.data[u.starts], minlength=256)
                 symbols[256] += len(u.starts)
                 h, a, b = u.passages()
                 if len(h):
                     yield rows(1, None, *np.unique(h[u.ends[b - 1] - u.starts[a] >= LEAST_PASSAGE], return_counts=True))
-        yield rows(0, list(total), None, list(total.values()))
+        if held:
+            units = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")])
+            yield rows(0, units["unit"], None, units["n_sum"])
         for kind, counts in ((2, firsts), (3, symbols)):
             some = np.nonzero(counts)[0]
             yield rows(kind, None, some, counts[some])
@@ -546,24 +556,19 @@ def _least_count(df: DataFrame, count: str) -> int:
 class Words:
     """Numbers of words and gaps as they come; with them what was looked up, up to a bounded size.
 
-    counts: of frequent words, by their lower case; frequent, rests: units whose scores were made once for all.
+    frequent: units that are known beforehand, with the counts of their lower case and their scores.
     """
 
-    def __init__(self, model: Model, counts: dict[bytes, int], scale: float, frequent: list[bytes] = [], rests: np.ndarray = np.empty(0)):  # noqa: B006
-        self.model, self.counts, self.scale = model, counts, scale
-        self.first = (dict(zip(frequent, range(len(frequent)))), list(frequent), rests, *self._counted(frequent))
+    def __init__(self, model: Model, scale: float, frequent: list[bytes] = [], counts: np.ndarray = np.empty(0), rests: np.ndarray = np.empty(0)):  # noqa: B006
+        self.model, self.first = model, (dict(zip(frequent, range(len(frequent)))), frequent, rests, np.log10((counts + 0.5) / scale))
         self.clear()
 
     def clear(self) -> None:
-        ids, names, self.rest, self.base, self.known = self.first
+        ids, names, self.rest, self.base = self.first
         self.ids, self.names = dict(ids), list(names)
 
-    def _counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        c = np.array([self.counts.get(w.lower(), 0) for w in words], dtype=np.float64)
-        return np.where(c > 0, np.log10((c + 0.5) / self.scale), 0.0), c > 0
-
     def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words; rest, base and known are by number."""
+        """Numbers of the words; rest is by number, base by the numbers of the frequent ones, which come first."""
         if len(self.ids) > KEPT + len(self.first[1]):
             self.clear()
         ids = self.ids
@@ -572,8 +577,6 @@ class Words:
             new = sorted(w for w, k in zip(words, found) if k is None)  # words in order share their steps
             ids.update(zip(new, range(len(ids), len(ids) + len(new))))
             self.names += new
-            base, known = self._counted(new)
-            self.known, self.base = np.concatenate([self.known, known]), np.concatenate([self.base, base])
             self.rest = np.concatenate([self.rest, self.model.rest(new)])
             found = list(map(ids.__getitem__, words))
         return np.array(found, dtype=np.int64)
@@ -584,10 +587,10 @@ _WORDS: dict[str, Words] = {}
 
 def _words(shared) -> Words:
     """What a worker process has looked up for this model, kept from task to task."""
-    key, model, words, n, scale, frequent, rests = shared.value
+    key, model, scale, frequent, counts, rests = shared.value
     if key not in _WORDS:
         _WORDS.clear()
-        _WORDS[key] = Words(model, dict(zip(words.to_pylist(), n.tolist())), scale, frequent.to_pylist(), rests)
+        _WORDS[key] = Words(model, scale, frequent.to_pylist(), counts, rests)
     return _WORDS[key]
 
 
@@ -637,12 +640,12 @@ def _measured(u: Units, table: Words, end_known: int, go_on: float) -> list[pa.A
     """The columns of _PART, without the end of the text, for a slice of texts."""
     n, kinds = len(u.begins) - 1, len(SHARES)
     number, names = u.distinct()
-    ids = table.look_up(names)[number]
+    ids = table.look_up(names.to_numpy(zero_copy_only=False).tolist())[number]
     logs = unit_logs(u, table, ids) + go_on  # and the text goes on
     word_doc = u.doc[~u.gap]
     whole = np.stack([np.bincount(u.doc, x, n) for x in logs])
     ids = ids[~u.gap]
-    known = table.known[ids]
+    known = ids < len(table.base)
     # words to be looked up in the table of all words
     at = np.nonzero(~known)[0]
     pair, k = np.unique(word_doc[at] * np.int64(1 << 32) + ids[at], return_counts=True)
@@ -662,7 +665,7 @@ def _measured(u: Units, table: Words, end_known: int, go_on: float) -> list[pa.A
     each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(first) * kinds + 1, kinds, dtype=np.int32)), pa.array(own.T.reshape(-1)))
     passages = pa.StructArray.from_arrays([pa.array(h[order][first]), pa.array(many, pa.int64()), each], names=["h", "k", "logs"])
     return [
-        pa.array(np.bincount(word_doc, minlength=n) + 1), pa.array(np.bincount(word_doc, known, n).astype(np.int64) + end_known), pa.array(np.bincount(word_doc, table.base[ids], n)),
+        pa.array(np.bincount(word_doc, minlength=n) + 1), pa.array(np.bincount(word_doc, known, n).astype(np.int64) + end_known), pa.array(np.bincount(word_doc[known], table.base[ids[known]], n)),
         pa.array(np.diff(u.begins), pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, big, n).astype(np.int64)),
         pa.ListArray.from_arrays(pa.array(np.arange(0, n * kinds + 1, kinds, dtype=np.int32)), pa.array(whole.T.reshape(-1))), _lists(pair >> 32, n, rare), _lists(doc[order][first], n, passages),
     ]
@@ -687,8 +690,6 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     ends = taught.count()
     n_all, distinct = n_words + ends, distinct + (ends > 0)
     scale = n_all + 0.5 * (distinct + 1)
-    cut = _least_count(words, "c")
-    frequent = words.where(F.col("c") >= cut).toArrow()
     firsts, symbols = np.zeros(FIRSTS * 256), np.zeros(257)
     for kind, counts in ((2, firsts), (3, symbols)):
         found = counted.where(F.col("kind") == kind).toArrow()  # FIRSTS * 256, or 257, at most
@@ -696,9 +697,11 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     held = counted.where("kind = 1").select("h", F.col("n").alias("c"))
     all_passages = held.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     model = train(units.coalesce(1 + n_distinct // UNITS_IN_A_TASK).sortWithinPartitions("unit"), firsts.reshape(FIRSTS, 256), symbols)
-    often = units.where(F.col("n") >= _least_count(units, "n")).select("unit").orderBy("unit").toArrow()["unit"].combine_chunks().cast(pa.binary())
-    rests = model.rest(often.to_pylist())
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model, frequent["word"].combine_chunks().cast(pa.binary()), frequent["c"].to_numpy(), scale, often, rests))
+    often = units.where(F.col("n") >= _least_count(units, "n")).select("unit", fold_ascii(F.col("unit")).alias("word")).join(words, "word", "left")
+    often = often.select("unit", F.coalesce("c", F.lit(0)).alias("c")).orderBy("unit").toArrow()  # FREQUENT rows at most; gaps have no count
+    frequent = often["unit"].combine_chunks().cast(pa.binary())
+    rests = model.rest(frequent.to_pylist())
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model, scale, frequent, often["c"].to_numpy().astype(np.float64), rests))
     stop = (ends + 0.5) / (n_units + ends + 1.0)
     end_lm, go_on, which = math.log10(stop), math.log10(1 - stop), math.log10(0.5)
     end_base = math.log10((ends + 0.5) / scale)
@@ -714,7 +717,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     names = schema.fieldNames()
     part = checkpointed(packed.mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id()))
     rare = part.select("id", F.explode("rare").alias("r")).select("id", "r.word", "r.k")
-    joined = rare.join(words.where(F.col("c") < cut), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    joined = rare.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = joined.groupBy("id").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
         F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("more_base"),

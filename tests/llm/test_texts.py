@@ -359,7 +359,7 @@ text = bytes(rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOPabcdefghijklmnop0123", n
 tree = L.Tree(np.bincount(np.frombuffer(text[:10000], np.uint8), minlength=257))
 m = L.Model(np.zeros((2, L.SLOTS), np.float32), tree, L.Mixer(L.GATES, L.MODELS), L.Firsts(np.zeros((L.FIRSTS, 256))).log10)
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-out = L._measured(L.Units.of([text]), L.Words(m, {}, 1.0), 1, -0.1)
+out = L._measured(L.Units.of([text]), L.Words(m, 1.0), 1, -0.1)
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, out[0].to_pylist(), out[5].to_pylist())
 """
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(__import__("pathlib").Path(lm_score.__file__).parents[2]))
@@ -377,6 +377,7 @@ def test_units_and_own_words():
     spans = [(d, g, t) for d, x in enumerate(texts) for t, g in ((m[0], not m[0].strip()) for m in re.finditer(rb"[ \t\n\r\x0b\x0c]+|[^ \t\n\r\x0b\x0c]+", x))]
     assert [(int(d), bool(g), u.data[s:e].tobytes()) for d, g, s, e in zip(u.doc, u.gap, u.starts, u.ends)] == spans
     number, known = u.distinct()
+    known = known.to_pylist()
     assert [known[k] for k in number] == [t for _, _, t in spans] and len(set(known)) == len(known)
     columns = pa.array([t.decode() or None for t in texts])
     parts = [(x, y, v) for c in (columns, columns.slice(7)) for x, y, v in lm_score.units_of(c, 40)]
@@ -385,6 +386,12 @@ def test_units_and_own_words():
     for h, (_, _, t) in zip(u.hashes.tolist(), spans):
         assert names.setdefault(t, h) == h
     assert len(set(names.values())) == len(names)
+    # two units of one hash are told apart by their bytes
+    v = lm_score.Units.of(texts)
+    v.hashes
+    v.__dict__["hashes"] = np.zeros(len(v.starts), np.uint64)
+    number, known = v.distinct()
+    assert [known[k].as_py() for k in number.tolist()] == [t for _, _, t in spans]
     doc, ids = u.doc[~u.gap], u.size[~u.gap]
     before, held = lm_score.own_words(doc, ids)
     for k in range(len(doc)):
