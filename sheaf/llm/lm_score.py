@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, fold_ascii, unpacked, with_fields
 
-PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 400_000, 1, 400_000
+PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 300_000, 1, 250_000
 #: A task that counts has tables of a fixed size, so it should count many units.
 UNITS_IN_A_TASK = 400_000
 #: Bits of each predictor's table, and where it begins in the one array of all.
@@ -431,7 +431,7 @@ class Units:
         return ((total ^ (total >> np.uint64(32))) * _M1).view(np.int64), first, np.append(first[1:], n)
 
 
-def units_of(column: pa.Array, most: int = 3 << 19) -> Iterator[tuple[int, int, Units]]:
+def units_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Units]]:
     """(first row, one after the last, their units) of a column of texts, about ``most`` bytes at a time; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     begins = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -464,10 +464,10 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
                 number, names = u.distinct()
                 held.append(pa.table({"unit": names, "n": np.bincount(number, minlength=len(names))}))
                 waiting += len(names)
-                if waiting > 4 * KEPT:
+                if waiting > 5 * KEPT:
                     held = [pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])]
                     waiting = held[0].num_rows
-                    if waiting > KEPT:
+                    if waiting > 2 * KEPT:
                         yield rows(0, held[0]["unit"], None, held[0]["n"])
                         held, waiting = [], 0
                 np.add.at(firsts, u.contexts() * 256 + u.data[u.starts], 1)
@@ -560,16 +560,20 @@ class Words:
     """
 
     def __init__(self, model: Model, scale: float, frequent: list[bytes] = [], counts: np.ndarray = np.empty(0), rests: np.ndarray = np.empty(0)):  # noqa: B006
-        self.model, self.first = model, (dict(zip(frequent, range(len(frequent)))), frequent, rests, np.log10((counts + 0.5) / scale))
-        self.clear()
+        self.model, self.names, self.first = model, list(frequent), len(frequent)
+        self.ids = dict(zip(frequent, range(len(frequent))))
+        self.rest, self.base = rests, np.log10((counts + 0.5) / scale)
 
     def clear(self) -> None:
-        ids, names, self.rest, self.base = self.first
-        self.ids, self.names = dict(ids), list(names)
+        """Forget what came besides the frequent units."""
+        for w in self.names[self.first :]:
+            del self.ids[w]
+        del self.names[self.first :]
+        self.rest = self.rest[: self.first]
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words; rest is by number, base by the numbers of the frequent ones, which come first."""
-        if len(self.ids) > KEPT + len(self.first[1]):
+        if len(self.ids) > KEPT + self.first:
             self.clear()
         ids = self.ids
         found = list(map(ids.get, words))
