@@ -443,6 +443,11 @@ def units_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int,
         x = y
 
 
+def _lean() -> None:
+    """A worker's Arrow memory goes back to the system when it is freed, since the worker lives on through all stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def gathered(training: DataFrame, text: str) -> DataFrame:
     """(kind, unit, h, n): what all training texts hold, with its number.
 
@@ -456,6 +461,7 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), unit, pa.nulls(len(n), pa.int64()) if h is None else pa.array(h, pa.int64()), n], names=["kind", "unit", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         held: list[pa.Table] = []
         waiting = 0
         firsts, symbols = np.zeros(FIRSTS * 256, dtype=np.int64), np.zeros(257, dtype=np.int64)
@@ -465,7 +471,7 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
                 held.append(pa.table({"unit": names, "n": np.bincount(number, minlength=len(names))}))
                 waiting += len(names)
                 if waiting > 5 * KEPT:
-                    held = [pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])]
+                    held = [pa.concat_tables(held).group_by("unit", use_threads=False).aggregate([("n", "sum")]).rename_columns(["unit", "n"])]
                     waiting = held[0].num_rows
                     if waiting > 2 * KEPT:
                         yield rows(0, held[0]["unit"], None, held[0]["n"])
@@ -477,7 +483,7 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
                 if len(h):
                     yield rows(1, None, *np.unique(h[u.ends[b - 1] - u.starts[a] >= LEAST_PASSAGE], return_counts=True))
         if held:
-            units = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")])
+            units = pa.concat_tables(held).group_by("unit", use_threads=False).aggregate([("n", "sum")])
             yield rows(0, units["unit"], None, units["n_sum"])
         for kind, counts in ((2, firsts), (3, symbols)):
             some = np.nonzero(counts)[0]
@@ -491,6 +497,7 @@ def train(units: DataFrame, firsts: np.ndarray, symbols: np.ndarray) -> Model:
     spark, tree = units.sparkSession, Tree(symbols)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         own = np.zeros((2, SLOTS), dtype=np.float32)
         for batch in batches:
             count_tables(batch.column(0).cast(pa.binary()).to_pylist(), np.asarray(batch.column(1), dtype=np.float64), tree, own)
@@ -517,6 +524,7 @@ def train(units: DataFrame, firsts: np.ndarray, symbols: np.ndarray) -> Model:
         state = mixer.state()
 
         def learn(batches: Iterator[pa.RecordBatch], state=state, turn=turn) -> Iterator[pa.RecordBatch]:
+            _lean()
             n0, n1 = shared.value
             own, rng, learnt = Mixer(GATES, MODELS).restore(state), np.random.default_rng(turn), 0.0
             for batch in batches:
@@ -711,6 +719,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     end_base = math.log10((ends + 0.5) / scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         table = _words(shared)
         for batch in batches:
             for x, y, u in units_of(batch.column(1)):

@@ -251,7 +251,11 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c not in (text, "base", "term_spans")]
     found = checkpointed(find(docs.select(*(F.col(f"`{c}`") for c in [*rest, text])), text))
     flagged = disclosing(docs, found, text)
-    return unpacked(_joined(found.drop("windows"), term_spans(found, flagged)), "row", rest, "base", "term_spans")
+    # a text without windows has no term spans, and need not meet them
+    near, plain = found.where(F.size("windows") > 0).drop("windows"), found.where(F.size("windows") == 0).drop("windows")
+    near = _joined(near, term_spans(found, flagged))
+    plain = plain.withColumn("term_spans", F.lit(None).cast(near.schema["term_spans"].dataType))
+    return unpacked(near.unionByName(plain), "row", rest, "base", "term_spans")
 
 
 def class_of(term: str) -> str:
