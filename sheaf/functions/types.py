@@ -110,3 +110,44 @@ def simple(x: Any) -> Any:
     if isinstance(x, dict) or hasattr(x, "asDict"):
         return {k: simple(v) for k, v in (x.asDict() if hasattr(x, "asDict") else x).items()}
     return [simple(v) for v in x] if isinstance(x, (list, tuple)) else t
+
+
+def decorated(x: Any) -> Any:
+    """A collected value as text of the language: ``{ a: 1, at: Time("...") }``."""
+    if x is None or isinstance(x, bool):
+        return {None: "null", True: "true", False: "false"}[x]
+    if isinstance(x, str):
+        return '"' + x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    if isinstance(x, (int, float)):
+        return str(x)
+    if isinstance(x, dt.datetime):
+        return f'Time("{x.isoformat()}Z")'
+    if isinstance(x, dt.date):
+        return f'Date("{x.isoformat()}")'
+    if isinstance(x, (bytes, bytearray)):
+        return f'Bytes("{base64.b64encode(x).decode()}")'
+    if hasattr(x, "asDict"):
+        x = x.asDict()
+    if isinstance(x, dict):
+        return "{ " + ", ".join(f"{k if k.isidentifier() else decorated(k)}: {decorated(v)}" for k, v in x.items()) + " }" if x else "{}"
+    if isinstance(x, (list, tuple)):
+        return "[" + ", ".join(map(decorated, x)) + "]"
+    raise TypeError(f"no form for {type(x)}")
+
+
+def v4_value(x: Any) -> Any:
+    """A collected value as JSON of the expression language: ``{"@ts": "..."}``, ``{"@ref": ...}``."""
+    if isinstance(x, dt.datetime):
+        return {"@ts": x.isoformat() + "Z"}
+    if isinstance(x, dt.date):
+        return {"@date": x.isoformat()}
+    if isinstance(x, (bytes, bytearray)):
+        return {"@bytes": base64.b64encode(x).decode()}
+    if hasattr(x, "collection") and hasattr(x, "id"):
+        return {"@ref": {"id": str(x.id), "collection": str(x.collection)}}
+    if hasattr(x, "asDict"):
+        x = x.asDict()
+    if isinstance(x, dict):
+        out = {k: v4_value(v) for k, v in x.items()}
+        return {"@obj": out} if any(k.startswith("@") for k in out) else out
+    return [v4_value(v) for v in x] if isinstance(x, (list, tuple)) else x

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import setops as X
 from sheaf.queries.registry import query, table
+from sheaf.sources import tasks
 from sheaf.sources import versions as V
+from sheaf.sources.catalog import Collection, Index
 from sheaf.streaming import changes as C
 
 
@@ -108,3 +110,51 @@ def historical_difference(spark, d):
 def historical_intersection(spark, d):
     """The sets overlap: a user is in both while the last event was a view."""
     return X.historical({"a": membership(spark, d, "click", "view"), "b": membership(spark, d, "view", "purchase")}, ["k"], "intersection")
+
+
+KINDS = Index("byKind", ("event_type",), ("-value",))
+
+
+@query(f"SELECT event_type, value, id, ts, ord, 'add' AS action FROM {IMAGES} WHERE has AND event_type IS NOT NULL AND NOT (had AND before_type IS NOT DISTINCT FROM event_type AND before_value IS NOT DISTINCT FROM value) UNION ALL SELECT before_type, before_value, id, ts, ord, 'remove' FROM {IMAGES} WHERE had AND before_type IS NOT NULL AND NOT (has AND before_type IS NOT DISTINCT FROM event_type AND before_value IS NOT DISTINCT FROM value)")
+def index_history(spark, d):
+    """Entries of an index as they begin and end."""
+    return tasks.index_events(log(spark, d), KINDS)
+
+
+@query(f"SELECT value, id, ts, ord, action FROM (SELECT event_type, value, id, ts, ord, 'add' AS action FROM {IMAGES} WHERE has AND NOT (had AND before_type IS NOT DISTINCT FROM event_type AND before_value IS NOT DISTINCT FROM value) UNION ALL SELECT before_type, before_value, id, ts, ord, 'remove' FROM {IMAGES} WHERE had AND NOT (has AND before_type IS NOT DISTINCT FROM event_type AND before_value IS NOT DISTINCT FROM value)) WHERE event_type = 'click'")
+def index_sorted_values(spark, d):
+    """All events under one term, by value."""
+    return tasks.sorted_values(log(spark, d), KINDS, "click").select("value", "id", "ts", "ord", "action")
+
+
+@query("SELECT c_custkey, lower(c_mktsegment) AS segment, c_nationkey % 5 AS zone FROM customer WHERE lower(c_mktsegment) = 'building' AND c_nationkey % 5 = 2")
+def folded_index(spark, d):
+    """A case-folded term and a binding."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), "c_nationkey")
+    index = Index.folded("bySegment", ("segment", "zone"), fold=("segment",), bindings={"zone": lambda df: df["c_nationkey"] % 5})
+    return index.entries(c, "c_custkey").where("segment = 'building' AND zone = 2").select("c_custkey", "segment", "zone")
+
+
+@query("SELECT o_custkey, o_totalprice, o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN 'missing' ELSE 'extra' END AS status FROM (SELECT o_custkey, o_totalprice, o_orderkey FROM orders WHERE o_orderkey % 7 = 3 UNION ALL SELECT o_custkey + 1, o_totalprice, o_orderkey FROM orders WHERE o_orderkey % 7 = 5)")
+def index_differences(spark, d):
+    """A stored index that lacks some entries and has wrong ones besides."""
+    orders = table(spark, d, "orders")
+    c = Collection("orders", orders, "o_orderkey").with_index(Index("byCustomer", ("o_custkey",), ("o_totalprice",)))
+    entries = c.indexes["byCustomer"].entries(c.rows, "o_orderkey")
+    stored = entries.where("o_orderkey % 7 <> 3").unionByName(entries.where("o_orderkey % 7 = 5").withColumn("o_custkey", F.col("o_custkey") + 1))
+    return tasks.differences(c, "byCustomer", stored)
+
+
+@query("SELECT o_custkey, o_totalprice, o_orderkey FROM orders")
+def index_repaired(spark, d):
+    orders = table(spark, d, "orders")
+    c = Collection("orders", orders, "o_orderkey").with_index(Index("byCustomer", ("o_custkey",), ("o_totalprice",)))
+    entries = c.indexes["byCustomer"].entries(c.rows, "o_orderkey")
+    stored = entries.where("o_orderkey % 7 <> 3").unionByName(entries.where("o_orderkey % 7 = 5").withColumn("o_custkey", F.col("o_custkey") + 1))
+    return tasks.repair(c, "byCustomer", stored)
+
+
+@query(f"SELECT id, ord, action, CASE WHEN has THEN value END AS value, 'version' AS type FROM {IMAGES} WHERE id = 7 AND ts > {MID} UNION ALL SELECT id, ord, action, CASE WHEN action <> 'delete' THEN value END, 'start' FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, ord DESC) AS rn FROM {LOG} WHERE id = 7 AND ts <= {MID}) WHERE rn = 1")
+def document_stream(spark, d):
+    out = C.document_events(log(spark, d), 7, ["value", "event_type"], midway(spark, d))
+    return out.select("id", "ord", "action", F.col("after.value").alias("value"), "type")

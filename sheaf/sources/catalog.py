@@ -31,6 +31,14 @@ class Index:
     multi: tuple[str, ...] = ()
     computed: dict[str, Builder] = field(default_factory=dict)
 
+    @classmethod
+    def folded(cls, name: str, terms: tuple[str, ...], values: tuple[str, ...] = (), fold: tuple[str, ...] = (), bindings: dict[str, Builder] | None = None) -> Index:
+        """An index whose text terms of ``fold`` are case-folded, as lookups are to be, and with bindings: terms that are computed."""
+        from sheaf.functions import strings
+
+        own = lambda t: lambda df: strings.casefold((bindings or {})[t](df) if t in (bindings or {}) else df[t])
+        return cls(name, terms, values, (), {**(bindings or {}), **{t: own(t) for t in fold}})
+
     def entries(self, df: DataFrame, id_: str) -> DataFrame:
         """Terms, values and id; one row for each distinct element of an array term, none where all terms are null."""
         for n, b in self.computed.items():

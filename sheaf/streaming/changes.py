@@ -37,6 +37,20 @@ def changed(changes: DataFrame, *fields: str) -> DataFrame:
     return changes.where(F.when(after.isNull(), had).otherwise(differ))
 
 
+def document_events(log: DataFrame, id_, fields: list[str], since=None) -> DataFrame:
+    """The stream of one document: its state at the start, then each version with what was before it; type is start or version."""
+    from sheaf.sources import versions
+
+    own = log.where(F.col("id") == id_)
+    images = versions.before_images(own, fields, tie="ord").select("id", "ts", "ord", F.lit("version").alias("type"), "action", "before", "after")
+    if since is None:
+        return images
+    last = own.where(F.col("ts") <= since).agg(F.max_by(F.struct("id", "ts", "ord", "action", F.struct(*fields).alias("image")), F.struct("ts", "ord")).alias("v")).where("v is not null")
+    image = F.col("v.image")
+    start = last.select("v.id", "v.ts", "v.ord", F.lit("start").alias("type"), "v.action", F.when(F.lit(False), image).alias("before"), F.when(F.col("v.action") != "delete", image).alias("after"))
+    return start.unionByName(images.where(F.col("ts") > since))
+
+
 def cursor_of(ts, ordinal) -> str:
     return base64.urlsafe_b64encode(json.dumps([str(ts), ordinal]).encode()).decode()
 
@@ -57,9 +71,34 @@ def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def subscribe(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
-    """Push each batch of events; progress is kept in the checkpoint folder, so a restart goes on where it stopped."""
-    writer = df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def status(spark: SparkSession, cursor: str | None) -> DataFrame:
+    """The event that tells a subscriber that it is up to date: its time and the cursor to go on from."""
+    return spark.range(1).select(F.lit("status").alias("event_type"), F.current_timestamp().alias("ts"), F.lit(cursor).alias("cursor"))
+
+
+def error(spark: SparkSession, code: str, message: str) -> DataFrame:
+    """The event that ends a stream."""
+    return spark.range(1).select(F.lit("error").alias("event_type"), F.current_timestamp().alias("ts"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+
+
+def subscribe(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, on_status: Callable[[DataFrame], None] | None = None):
+    """Push each batch of events; progress is kept in the checkpoint folder, so a restart goes on where it stopped.
+
+    After each batch ``on_status`` gets a status event with the batch's number as its cursor. An error of ``handle`` is
+    pushed as an error event, too, and ends the stream.
+    """
+
+    def push(batch: DataFrame, number: int) -> None:
+        try:
+            handle(batch, number)
+        except Exception as e:
+            if on_status:
+                on_status(error(batch.sparkSession, type(e).__name__, str(e)))
+            raise
+        if on_status:
+            on_status(status(batch.sparkSession, str(number)))
+
+    writer = df.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -464,3 +464,53 @@ def test_language_streams(spark):
     for bad in ("Foo.byS('b').eventsOn(.id)", "Foo.all().distinct().eventSource()", "Foo.all().changesOn(f => f.n + 1)", "Set.sequence(1, 3).eventSource()", "Foo.all().eventSource().take(1)"):
         with pytest.raises((EvalError, ValueError)):
             it.plan(bad)
+
+
+def test_staging_and_tasks(spark, tmp_path):
+    from sheaf.sources import tasks
+    from sheaf.sources.catalog import Migration
+
+    c = Catalog(spark)
+    c.create(Collection("Staged", spark.createDataFrame([(1, "b", 3), (2, "a", None)], "id long, n string, v int"), checks={"named": lambda d: d["n"].isNotNull()}))
+    work = tasks.Staging(c)
+    work.add_index("Staged", Index("byN", ("n",), ("v",)), 2)
+    work.add_migration("Staged", Migration("backfill", "v", value=lambda d: F.lit(9)))
+    assert not c.collection("Staged").indexes and work.status() == {"Staged": ("byN",)} and work.tables["Staged", "byN"].count() == 2
+    work.commit()
+    assert [r["v"] for r in c.collection("Staged").by_index("byN", "a").df.collect()] == [9]
+    done = tasks.migrate(c.collection("Staged"), f"{tmp_path}/new")
+    assert not done.migrations and sorted(r["v"] for r in done.df.collect()) == [3, 9]
+    assert tasks.map_rows(done, lambda d: d.where("v > 3"), f"{tmp_path}/some").count() == 1
+    work.drop_index("Staged", "byN")
+    work.abort()
+    assert "byN" in c.collection("Staged").indexes
+    broken = tasks.Staging(c)
+    c.create(Collection("Bad", spark.createDataFrame([(1, None)], "id long, n string"), checks={"named": lambda d: d["n"].isNotNull()}))
+    broken.add_migration("Bad", Migration("add", "x", type="int"))
+    with pytest.raises(ValueError):
+        broken.commit()
+
+
+def test_status_events(spark, tmp_path):
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "create", 5)], "id int, ts timestamp, action string, v int").write.parquet(f"{tmp_path}/log/0")
+    stream = changes.stream(spark, f"{tmp_path}/log/*", "id int, ts timestamp, action string, v int")
+    seen, told = [], []
+    changes.subscribe(stream, lambda df, _: seen.extend(df.collect()), f"{tmp_path}/check", once=True, on_status=lambda df: told.extend(df.collect())).awaitTermination(120)
+    assert len(seen) == 1 and {r["event_type"] for r in told} == {"status"} and told[0]["cursor"] == "0"
+
+    def broken(df, _):
+        raise KeyError("x")
+
+    q = changes.subscribe(stream, broken, f"{tmp_path}/check2", once=True, on_status=lambda df: told.extend(df.collect()))
+    with pytest.raises(Exception):
+        q.awaitTermination(120)
+    assert told[-1]["event_type"] == "error" and told[-1]["code"] == "KeyError"
+
+
+def test_forms_of_results():
+    value = {"a": [1, 2.5, None], "b c": 'x"y', "t": dt.datetime(2024, 1, 2, 3), "d": dt.date(2024, 1, 2), "r": b"ab", "ok": True}
+    assert Y.decorated(value) == '{ a: [1, 2.5, null], "b c": "x\\"y", t: Time("2024-01-02T03:00:00Z"), d: Date("2024-01-02"), r: Bytes("YWI="), ok: true }'
+    assert Y.v4_value({"t": dt.datetime(2024, 1, 2, 3), "x": [dt.date(2024, 1, 2), b"ab"], "@k": 1}) == {"@obj": {"t": {"@ts": "2024-01-02T03:00:00Z"}, "x": [{"@date": "2024-01-02"}, {"@bytes": "YWI="}], "@k": 1}}
+    from sheaf.plans.json_forms import Ref
+
+    assert Y.v4_value(Ref("Person", 3)) == {"@ref": {"id": "3", "collection": "Person"}}
