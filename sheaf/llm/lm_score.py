@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, fold_ascii, unpacked, with_fields
+from sheaf.llm.util import checkpointed, fold_ascii, lean, unpacked, with_fields
 
 PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 300_000, 1, 250_000
 #: A task that counts has tables of a fixed size, so it should count many units.
@@ -443,11 +443,6 @@ def units_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int,
         x = y
 
 
-def _lean() -> None:
-    """A worker's Arrow memory goes back to the system when it is freed, since the worker lives on through all stages."""
-    pa.set_memory_pool(pa.system_memory_pool())
-
-
 def gathered(training: DataFrame, text: str) -> DataFrame:
     """(kind, unit, h, n): what all training texts hold, with its number.
 
@@ -461,7 +456,7 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), unit, pa.nulls(len(n), pa.int64()) if h is None else pa.array(h, pa.int64()), n], names=["kind", "unit", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
+        lean()
         held: list[pa.Table] = []
         waiting = 0
         firsts, symbols = np.zeros(FIRSTS * 256, dtype=np.int64), np.zeros(257, dtype=np.int64)
@@ -497,7 +492,7 @@ def train(units: DataFrame, firsts: np.ndarray, symbols: np.ndarray) -> Model:
     spark, tree = units.sparkSession, Tree(symbols)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
+        lean()
         own = np.zeros((2, SLOTS), dtype=np.float32)
         for batch in batches:
             count_tables(batch.column(0).cast(pa.binary()).to_pylist(), np.asarray(batch.column(1), dtype=np.float64), tree, own)
@@ -524,7 +519,7 @@ def train(units: DataFrame, firsts: np.ndarray, symbols: np.ndarray) -> Model:
         state = mixer.state()
 
         def learn(batches: Iterator[pa.RecordBatch], state=state, turn=turn) -> Iterator[pa.RecordBatch]:
-            _lean()
+            lean()
             n0, n1 = shared.value
             own, rng, learnt = Mixer(GATES, MODELS).restore(state), np.random.default_rng(turn), 0.0
             for batch in batches:
@@ -719,7 +714,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     end_base = math.log10((ends + 0.5) / scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
+        lean()
         table = _words(shared)
         for batch in batches:
             for x, y, u in units_of(batch.column(1)):

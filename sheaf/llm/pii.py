@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import checkpointed, packed, unpacked, with_fields
+from sheaf.llm.util import checkpointed, map_arrow, packed, unpacked, with_fields
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SMOOTH, GENERALISE, REMOVE = 6, 2, 0.7, 0.9
@@ -146,7 +146,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             window = pa.struct([("entity", pa.string()), ("terms", pa.list_(term))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bases, pa.list_(span)), pa.array(windows, pa.list_(window))], names=["row", "text_key", "base", "windows"])
 
-    return docs.mapInArrow(search, schema)
+    return map_arrow(docs, search, schema)
 
 
 def _gate(values: DataFrame, column: str) -> np.ndarray:
@@ -208,7 +208,7 @@ def document_frequency(docs: DataFrame, copied: DataFrame, terms: DataFrame, tex
         add(first, list(total), list(total.values()))
         yield flush()
 
-    once = docs.select(text).mapInArrow(count, "key binary, terms array<string>, counts array<bigint>").dropDuplicates(["key"])
+    once = map_arrow(docs.select(text), count, "key binary, terms array<string>, counts array<bigint>").dropDuplicates(["key"])
     each = once.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
     return each.groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term")
 
@@ -218,16 +218,19 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFra
     windows = found.select("text_key", F.explode("windows").alias("w")).select("text_key", "w.entity", F.transform("w.terms", lambda x: x["term"]).alias("terms"))
     per_entity = windows.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     each = windows.select("entity", "text_key", F.explode("terms").alias("term")).distinct()
-    pairs = checkpointed(each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(per_entity, "entity"))
     schema = "entity string, term string, disclosed double, action string"
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
     texts = checkpointed(found.groupBy("text_key").agg(F.count("*").alias("n")))
     total = texts.count()
-    known = pairs.join(document_frequency(docs, texts.where("n > 1"), pairs, text), "term")
     ic = F.log(F.greatest(F.lit(total) / F.col("n_e"), F.lit(1.0)))
-    pmi = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * (F.greatest("df", "n_et") + SMOOTH)))
-    known = known.withColumn("disclosed", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosed") >= GENERALISE)
+    share = lambda df: F.when(ic > 0, F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * (F.greatest(df, "n_et") + SMOOTH))) / ic).otherwise(F.lit(0.0))
+    # a term is in as many texts at least as hold it beside any entity: most pairs fall short already with these
+    beside = checkpointed(each.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("least")))
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(per_entity, "entity")
+    pairs = checkpointed(checkpointed(pairs).join(beside, "term").where(share(F.col("least")) >= GENERALISE).drop("least"))
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    known = pairs.join(document_frequency(docs, texts.where("n > 1"), pairs, text), "term")
+    known = known.withColumn("disclosed", share(F.col("df"))).where(F.col("disclosed") >= GENERALISE)
     return checkpointed(known.select("entity", "term", "disclosed", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise").alias("action")))
 
 
@@ -305,7 +308,7 @@ def sanitise(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
                 columns[out.index(n_chars)] = pa.array(sizes, columns[out.index(n_chars)].type)
             yield pa.RecordBatch.from_arrays(columns, names=out)
 
-    return keyed.mapInArrow(replace, docs.schema)
+    return map_arrow(keyed, replace, docs.schema)
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
@@ -325,4 +328,4 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "base", "term_spans").mapInArrow(digest, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return map_arrow(found.select("doc_id", "base", "term_spans"), digest, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")

@@ -102,7 +102,7 @@ class NearestExamples:
         blank = [y for (y, ts, *_) in examples if not ts]
         self.blank = (sum(blank) + 10 * self.prior) / (len(blank) + 10)
         self.index = BlockMaxIndex(self.vectors, len(terms))
-        self.known: dict[tuple, tuple[float, list]] = {}
+        self.known: dict[tuple, float] = {}
 
     def left_out(self, k: int) -> float:
         """The vote on an example of all others."""
@@ -136,19 +136,21 @@ class NearestExamples:
             ys.append((y + 0.5) / (n + 1))
         return np.array([*xs, 1.0]), np.maximum.accumulate(np.array([*ys, max(ys[-1], 0.5)]))
 
-    def score(self, words: list[str], own: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """The calibrated score and the evidence: nearest examples with their similarity. own: an example left out."""
+    def score(self, words: list[str], own: int = -1, evidence: bool = True) -> tuple[float, list[tuple[int, float]]]:
+        """The calibrated score and, if asked for, the evidence: nearest examples with their similarity. own: an example left out."""
         get = self.terms.get
         counts = Counter(k for w in words if (k := get(w)) is not None)
         if not counts:
             return self.blank, []
         key = (own, *sorted(counts.items()))
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            near = self.index.search(self.vector(counts), NEIGHBOURS, skip=own)
-            self.known[key] = float(np.interp(self.vote(near) if near else self.prior, *self.curve)), near
-        return self.known[key]
+        if not evidence and (known := self.known.get(key)) is not None:
+            return known, []
+        near = self.index.search(self.vector(counts), NEIGHBOURS, skip=own)
+        found = float(np.interp(self.vote(near) if near else self.prior, *self.curve))
+        if len(self.known) > 50_000:
+            self.known.clear()
+        self.known[key] = found
+        return found, near
 
 
 def _terms(sample: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def _terms(sample: DataFrame) -> DataFrame:
                 )
 
     kind = sample.schema["id"].dataType.simpleString()
-    return sample.select("id", "toxic", "text").mapInArrow(split, f"id {kind}, signature string, toxic int, terms array<string>, counts array<int>")
+    return map_arrow(sample.select("id", "toxic", "text"), split, f"id {kind}, signature string, toxic int, terms array<string>, counts array<int>")
 
 
 def _g(df, k, n: int, pos: int):
@@ -204,7 +206,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str) -> tuple[
                 total.update(wanted.intersection(words_of(x.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array([*total, None], pa.string()), pa.array([*total.values(), n], pa.int64())], names=["term", "n"])
 
-    found = {r["term"]: r["n"] for r in docs.select(text).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r["term"]: r["n"] for r in map_arrow(docs.select(text), count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return found.pop(None, 0), found
 
 
@@ -240,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("signature"), batch.column("toxic"), *arrays, batch.column("ids")], names=["signature", "toxic", "ts", "cs", "ids"])
 
     kind = one.schema["ids"].dataType.simpleString()
-    examples = one.mapInArrow(project, f"signature string, toxic int, ts array<int>, cs array<int>, ids {kind}").collect()  # SAMPLE at most
+    examples = map_arrow(one, project, f"signature string, toxic int, ts array<int>, cs array<int>, ids {kind}").collect()  # SAMPLE at most
     examples.sort(key=lambda r: (r["signature"], r["toxic"]))
     model = NearestExamples(terms, idf, [(r["toxic"], r["ts"], r["cs"], r["ids"]) for r in examples])
     if not terms:
@@ -252,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             own = [k for k in batch.column(0).to_pylist() if shared.value.vectors[k]]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([shared.value.left_out(k) for k in own], pa.float64())], names=["k", "vote"])
 
-    votes = spark.range(0, len(examples), 1, max(1, len(examples) // 500)).mapInArrow(leave_out, "k bigint, vote double").collect()  # SAMPLE at most
+    votes = map_arrow(spark.range(0, len(examples), 1, max(1, len(examples) // 500)), leave_out, "k bigint, vote double").collect()  # SAMPLE at most
     return model.calibrate({r["k"]: r["vote"] for r in votes})
 
 
@@ -271,7 +273,7 @@ def score(docs: DataFrame, model: NearestExamples, text: str = "text", doc_id: s
         m = shared.value
         for batch in batches:
             at, ids = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(doc_id)).to_pylist()
-            found = [m.score(words_of(x.as_py()), m.own.get(i, -1)) for i, x in zip(ids, batch.column(at))]
+            found = [m.score(words_of(x.as_py()), m.own.get(i, -1), evidence) for i, x in zip(ids, batch.column(at))]
             arrays, names = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32())], ["score", "predicted"]
             if evidence:
                 kind = pa.list_(pa.struct([("doc_ids", pa.list_(batch.schema.field(doc_id).type)), ("toxic", pa.int32()), ("similarity", pa.float64())]))

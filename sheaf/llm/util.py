@@ -56,11 +56,19 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def lean() -> None:
+    """A worker's Arrow memory goes back to the system when it is freed, since the worker lives on through all stages."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``mapInArrow`` for columns of any name: Spark itself can't pass on those with a dot."""
+    """``mapInArrow`` for columns of any name, as Spark itself can't pass on those with a dot, in little memory."""
     names = df.columns
 
     def run(batches: Iterator) -> Iterator:
+        lean()
         return f(b.rename_columns(names) for b in batches)
 
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
