@@ -338,10 +338,13 @@ class Units:
     def of(cls, texts: list[bytes]) -> Units:
         return cls(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)), dtype=np.int64)]))
 
-    def taken(self, units: np.ndarray) -> pa.Array:
-        """The bytes of some units."""
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
+        """(number of each unit, the bytes of each number)"""
         offsets = pa.py_buffer(np.append(self.starts, len(self.data)).astype(np.int64))
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, offsets, pa.py_buffer(self.data)]).take(pa.array(units))
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, offsets, pa.py_buffer(self.data)])
+        coded = whole.dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
     def contexts(self) -> np.ndarray:
         """The context of each unit's first byte."""
@@ -358,66 +361,13 @@ class Units:
         out[after] += np.where(alike[after - 1], last[after - 1], 0)
         return out
 
-    @cached_property
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each unit's bytes: of the first and the last eight, and for longer units of all."""
-        size = self.size
-        self.head, self.tail = np.zeros(len(size), dtype=np.uint64), np.zeros(len(size), dtype=np.uint64)
-        for x in range(0, len(self.data), AT_ONCE):
-            y = min(len(self.data), x + AT_ONCE)
-            eight = np.concatenate([self.data[x : y + 7], np.zeros(7, np.uint8)]).astype(np.uint64)
-            for step in (1, 2, 4):
-                eight[:-step] |= eight[step:] << np.uint64(8 * step)  # eight bytes from each place on
-            a, b = np.searchsorted(self.starts, (x, y))
-            self.head[a:b] = eight[self.starts[a:b] - x] & _MASKS[np.minimum(size[a:b], 8)]
-            a, b = np.searchsorted(self.ends - 8, (x, y))
-            long = np.nonzero(size[a:b] > 8)[0] + a
-            self.tail[long] = eight[self.ends[long] - 8 - x]
-        out = size.astype(np.uint64) + self.head * _M1 + (self.tail ^ (self.tail >> np.uint64(33))) * _M2
-        long = np.nonzero(size > 16)[0]
-        for k in range(0, len(long), 1 << 14):
-            for some in ([long[k : k + (1 << 14)]] if size[long[k : k + (1 << 14)]].sum() < 4 * AT_ONCE else long[k : k + (1 << 14)].reshape(-1, 1)):
-                self._add_all(out, some, size)
-        return (out ^ (out >> np.uint64(31))) * _M1
-
-    def distinct(self) -> tuple[np.ndarray, pa.Array]:
-        """(number of each unit, the bytes of each number): units are alike if their bytes are, hashes only find them."""
-        out = self.data[self.starts].astype(np.int64)  # a unit of one byte has the byte's number
-        used = np.zeros(256, dtype=bool)
-        used[out[self.size == 1]] = True
-        single = pa.array([bytes([b]) for b in np.nonzero(used)[0].tolist()], pa.large_binary())
-        out = (np.cumsum(used) - 1)[out]
-        units = np.nonzero(self.size > 1)[0]
-        order, number, fresh = ranked(self.hashes[units])
-        first = units[order[fresh]]
-        own = self.taken(first)
-        head, tail, size = self.head[units], self.tail[units], self.size[units]
-        odd = (size != self.size[first][number]) | (head != self.head[first][number]) | (tail != self.tail[first][number])
-        long = np.nonzero((size > 16) & ~odd)[0]
-        odd[long] = pc.not_equal(self.taken(units[long]), own.take(pa.array(number[long]))).to_numpy(zero_copy_only=False)
-        names = [single, own]
-        if odd.any():  # two units of one hash
-            more: dict[bytes, int] = {}
-            at = np.nonzero(odd)[0]
-            number[at] = [more.setdefault(x, len(own) + len(more)) for x in self.taken(units[at]).to_pylist()]
-            names.append(pa.array(list(more), pa.large_binary()))
-        out[units] = number + len(single)
-        return out, pa.concat_arrays(names)
-
-    def _add_all(self, out: np.ndarray, some: np.ndarray, size: np.ndarray) -> None:
-        """Add all bytes of some units to their hashes; those of one very long unit a bounded number at a time."""
-        for x in range(0, int(size[some].max()), AT_ONCE) if len(some) == 1 else (0,):
-            n = np.minimum(size[some] - x, AT_ONCE) if len(some) == 1 else size[some]
-            place = x + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            term = (self.data[np.repeat(self.starts[some], n) + place].astype(np.uint64) + np.uint64(1)) * (_POWERS[place & 4095] + (place >> 12).astype(np.uint64) * _M2)
-            out[some] += np.add.reduceat(term ^ (term >> np.uint64(29)), np.cumsum(n) - n)
-
     def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first unit, one after the last unit) of each passage, in order; all units of a text are in one."""
         n = len(self.starts)
         if not n:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        h = self.hashes
+        number, names = self.distinct
+        h = hashed(names)[number]
         word = np.nonzero(~self.gap)[0]
         before = np.where(np.diff(self.doc[word], prepend=-1) == 0, np.roll(h[word], 1), np.uint64(0))  # the text's word before
         pair = (h[word] + before * np.uint64(3)) * _M2
@@ -431,6 +381,36 @@ class Units:
         return ((total ^ (total >> np.uint64(32))) * _M1).view(np.int64), first, np.append(first[1:], n)
 
 
+def hashed(names: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each value's bytes: of the first and the last eight, and for longer values of all."""
+    ends = np.frombuffer(names.buffers()[1], dtype=np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], dtype=np.uint8)[: ends[-1]] if len(names) else np.empty(0, np.uint8)
+    starts, ends = ends[:-1], ends[1:]
+    size = ends - starts
+    out = size.astype(np.uint64)
+    for x in range(0, len(data), AT_ONCE):
+        y = min(len(data), x + AT_ONCE)
+        eight = np.concatenate([data[x : y + 7], np.zeros(7, np.uint8)]).astype(np.uint64)
+        for step in (1, 2, 4):
+            eight[:-step] |= eight[step:] << np.uint64(8 * step)  # eight bytes from each place on
+        a, b = np.searchsorted(starts, (x, y))
+        out[a:b] += (eight[starts[a:b] - x] & _MASKS[np.minimum(size[a:b], 8)]) * _M1
+        a, b = np.searchsorted(ends - 8, (x, y))
+        long = np.nonzero(size[a:b] > 8)[0] + a
+        last = eight[ends[long] - 8 - x]
+        out[long] += (last ^ (last >> np.uint64(33))) * _M2
+    long = np.nonzero(size > 16)[0]
+    for k in range(0, len(long), 1 << 10):
+        group = long[k : k + (1 << 10)]
+        for some in [group] if size[group].sum() < 4 * AT_ONCE else group.reshape(-1, 1):
+            for x in range(0, int(size[some].max()), AT_ONCE) if len(some) == 1 else (0,):  # one very long value a bounded number of bytes at a time
+                n = np.minimum(size[some] - x, AT_ONCE) if len(some) == 1 else size[some]
+                place = x + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                term = (data[np.repeat(starts[some], n) + place].astype(np.uint64) + np.uint64(1)) * (_POWERS[place & 4095] + (place >> 12).astype(np.uint64) * _M2)
+                out[some] += np.add.reduceat(term ^ (term >> np.uint64(29)), np.cumsum(n) - n)
+    return (out ^ (out >> np.uint64(31))) * _M1
+
+
 def units_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Units]]:
     """(first row, one after the last, their units) of a column of texts, about ``most`` bytes at a time; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
@@ -462,7 +442,7 @@ def gathered(training: DataFrame, text: str) -> DataFrame:
         firsts, symbols = np.zeros(FIRSTS * 256, dtype=np.int64), np.zeros(257, dtype=np.int64)
         for batch in batches:
             for _, _, u in units_of(batch.column(0)):
-                number, names = u.distinct()
+                number, names = u.distinct
                 held.append(pa.table({"unit": names, "n": np.bincount(number, minlength=len(names))}))
                 waiting += len(names)
                 if waiting > 5 * KEPT:
@@ -646,7 +626,7 @@ def _lists(owner: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
 def _measured(u: Units, table: Words, end_known: int, go_on: float) -> list[pa.Array]:
     """The columns of _PART, without the end of the text, for a slice of texts."""
     n, kinds = len(u.begins) - 1, len(SHARES)
-    number, names = u.distinct()
+    number, names = u.distinct
     ids = table.look_up(names.to_numpy(zero_copy_only=False).tolist())[number]
     logs = unit_logs(u, table, ids) + go_on  # and the text goes on
     word_doc = u.doc[~u.gap]

@@ -376,22 +376,16 @@ def test_units_and_own_words():
     u = lm_score.Units.of(texts)
     spans = [(d, g, t) for d, x in enumerate(texts) for t, g in ((m[0], not m[0].strip()) for m in re.finditer(rb"[ \t\n\r\x0b\x0c]+|[^ \t\n\r\x0b\x0c]+", x))]
     assert [(int(d), bool(g), u.data[s:e].tobytes()) for d, g, s, e in zip(u.doc, u.gap, u.starts, u.ends)] == spans
-    number, known = u.distinct()
+    number, known = u.distinct
     known = known.to_pylist()
     assert [known[k] for k in number] == [t for _, _, t in spans] and len(set(known)) == len(known)
     columns = pa.array([t.decode() or None for t in texts])
     parts = [(x, y, v) for c in (columns, columns.slice(7)) for x, y, v in lm_score.units_of(c, 40)]
     assert [v.data[s:e].tobytes() for x, y, v in parts for s, e in zip(v.starts, v.ends)] == [t for _, _, t in spans] + [t for d, _, t in spans if d >= 7]
-    names = {}
-    for h, (_, _, t) in zip(u.hashes.tolist(), spans):
-        assert names.setdefault(t, h) == h
-    assert len(set(names.values())) == len(names)
-    # two units of one hash are told apart by their bytes
-    v = lm_score.Units.of(texts)
-    v.hashes
-    v.__dict__["hashes"] = np.zeros(len(v.starts), np.uint64)
-    number, known = v.distinct()
-    assert [known[k].as_py() for k in number.tolist()] == [t for _, _, t in spans]
+    more = [*dict.fromkeys([*known, *(b"x" * n for n in range(1, 60)), *(b"%dlong unit number %d" % (n, n) for n in range(300)), b"q" * 5000])]
+    hashes = lm_score.hashed(pa.array(more, pa.large_binary()))
+    assert len(set(hashes.tolist())) == len(more)
+    assert all(lm_score.hashed(pa.array([x], pa.large_binary()))[0] == h for x, h in zip(more, hashes))
     doc, ids = u.doc[~u.gap], u.size[~u.gap]
     before, held = lm_score.own_words(doc, ids)
     for k in range(len(doc)):
