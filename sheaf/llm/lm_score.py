@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.util import checkpointed, fold_ascii, lean, unpacked, with_fields
 
-PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 300_000, 1, 250_000
+PIECE, FREQUENT, ROUNDS, KEPT = 1 << 14, 1_200_000, 1, 250_000
 #: A task that counts has tables of a fixed size, so it should count many units.
 UNITS_IN_A_TASK = 400_000
 #: Bits of each predictor's table, and where it begins in the one array of all.
@@ -346,6 +346,11 @@ class Units:
         coded = whole.dictionary_encode()
         return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """A hash of each distinct unit's bytes."""
+        return hashed(self.distinct[1])
+
     def contexts(self) -> np.ndarray:
         """The context of each unit's first byte."""
         first, last, n = self.data[self.starts], self.data[self.ends - 1], len(self.starts)
@@ -366,8 +371,7 @@ class Units:
         n = len(self.starts)
         if not n:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        number, names = self.distinct
-        h = hashed(names)[number]
+        h = self.hashes[self.distinct[0]]
         word = np.nonzero(~self.gap)[0]
         before = np.where(np.diff(self.doc[word], prepend=-1) == 0, np.roll(h[word], 1), np.uint64(0))  # the text's word before
         pair = (h[word] + before * np.uint64(3)) * _M2
@@ -537,47 +541,41 @@ def _least_count(df: DataFrame, count: str) -> int:
 
 
 class Words:
-    """Numbers of words and gaps as they come; with them what was looked up, up to a bounded size.
-
-    frequent: units that are known beforehand, with the counts of their lower case and their scores.
-    """
-
-    def __init__(self, model: Model, scale: float, frequent: list[bytes] = [], counts: np.ndarray = np.empty(0), rests: np.ndarray = np.empty(0)):  # noqa: B006
-        self.model, self.names, self.first = model, list(frequent), len(frequent)
-        self.ids = dict(zip(frequent, range(len(frequent))))
-        self.rest, self.base = rests, np.log10((counts + 0.5) / scale)
-
-    def clear(self) -> None:
-        """Forget what came besides the frequent units."""
-        for w in self.names[self.first :]:
-            del self.ids[w]
-        del self.names[self.first :]
-        self.rest = self.rest[: self.first]
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words; rest is by number, base by the numbers of the frequent ones, which come first."""
-        if len(self.ids) > KEPT + self.first:
-            self.clear()
-        ids = self.ids
-        found = list(map(ids.get, words))
-        if None in found:
-            new = sorted(w for w, k in zip(words, found) if k is None)  # words in order share their steps
-            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
-            self.names += new
-            self.rest = np.concatenate([self.rest, self.model.rest(new)])
-            found = list(map(ids.__getitem__, words))
-        return np.array(found, dtype=np.int64)
+    """Frequent units in the order of their hashes, with the counts of their lower case and their scores; others are scored as they come."""
+
+    def __init__(self, model: Model, scale: float, names: pa.Array, counts: np.ndarray, rests: np.ndarray):
+        h = hashed(names)
+        order = np.argsort(h)
+        self.model, self.hashes, self.names = model, h[order], names.take(pa.array(order))
+        self.rests, self.base = rests[order].astype(np.float32), np.log10((counts[order] + 0.5) / scale)
+
+    def look_up(self, names: pa.Array, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of some units: log10 of the probability after its first byte, of its base, and whether it is a frequent one."""
+        rest, base, known = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names), dtype=bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            some = np.nonzero(self.hashes[at] == h)[0]
+            at = at[some]
+            alike = pc.equal(names.take(pa.array(some)), self.names.take(pa.array(at))).to_numpy(zero_copy_only=False)  # hashes only find them
+            some, at = some[alike], at[alike]
+            rest[some], base[some], known[some] = self.rests[at], self.base[at], True
+        new = np.nonzero(~known)[0]
+        if len(new):
+            values = names.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()
+            order = sorted(range(len(new)), key=values.__getitem__)  # units in order share their steps
+            rest[new[order]] = self.model.rest([values[k] for k in order])
+        return rest, base, known
 
 
 _WORDS: dict[str, Words] = {}
 
 
-def _words(shared) -> Words:
+def _words(model, shared) -> Words:
     """What a worker process has looked up for this model, kept from task to task."""
-    key, model, scale, frequent, counts, rests = shared.value
+    key, scale, names, counts, rests = shared.value
     if key not in _WORDS:
         _WORDS.clear()
-        _WORDS[key] = Words(model, scale, frequent.to_pylist(), counts, rests)
+        _WORDS[key] = Words(model.value, scale, names, counts, rests)
     return _WORDS[key]
 
 
@@ -600,11 +598,12 @@ def own_words(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return before, np.arange(n) - begins
 
 
-def unit_logs(u: Units, table: Words, ids: np.ndarray) -> np.ndarray:
+def unit_logs(u: Units, model: Model, rest: np.ndarray) -> np.ndarray:
     """log10 of the probability of each unit, for each of SHARES (shares, units)."""
-    log = table.model.firsts[u.contexts(), u.data[u.starts]] + table.rest[ids]
+    number, _ = u.distinct
+    log = model.firsts[u.contexts(), u.data[u.starts]] + rest[number]
     word = np.nonzero(~u.gap)[0]
-    before, held = own_words(u.doc[word], ids[word])
+    before, held = own_words(u.doc[word], number[word])
     out = np.tile(log, (len(SHARES), 1))
     seen, some = np.nonzero(before)[0], (held > 0).astype(np.float64)
     own, plain = before[seen] / held[seen], 10.0 ** np.maximum(log[word[seen]], -300)
@@ -627,16 +626,16 @@ def _measured(u: Units, table: Words, end_known: int, go_on: float) -> list[pa.A
     """The columns of _PART, without the end of the text, for a slice of texts."""
     n, kinds = len(u.begins) - 1, len(SHARES)
     number, names = u.distinct
-    ids = table.look_up(names.to_numpy(zero_copy_only=False).tolist())[number]
-    logs = unit_logs(u, table, ids) + go_on  # and the text goes on
+    rest, base, frequent = table.look_up(names, u.hashes)
+    logs = unit_logs(u, table.model, rest) + go_on  # and the text goes on
     word_doc = u.doc[~u.gap]
     whole = np.stack([np.bincount(u.doc, x, n) for x in logs])
-    ids = ids[~u.gap]
-    known = ids < len(table.base)
+    number = number[~u.gap]
+    known = frequent[number]
     # words to be looked up in the table of all words
     at = np.nonzero(~known)[0]
-    pair, k = np.unique(word_doc[at] * np.int64(1 << 32) + ids[at], return_counts=True)
-    folded = [table.names[i].lower() for i in (pair & 0xFFFFFFFF).tolist()]
+    pair, k = np.unique(word_doc[at] * np.int64(1 << 32) + number[at], return_counts=True)
+    folded = [x.lower() for x in names.take(pa.array(pair & 0xFFFFFFFF)).to_numpy(zero_copy_only=False).tolist()]
     rare = pa.StructArray.from_arrays([pa.array(folded, pa.binary()).cast(pa.string()), pa.array(k, pa.int64())], names=["word", "k"])
     # passages that may be found elsewhere
     h, a, b = u.passages()
@@ -652,7 +651,7 @@ def _measured(u: Units, table: Words, end_known: int, go_on: float) -> list[pa.A
     each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(first) * kinds + 1, kinds, dtype=np.int32)), pa.array(own.T.reshape(-1)))
     passages = pa.StructArray.from_arrays([pa.array(h[order][first]), pa.array(many, pa.int64()), each], names=["h", "k", "logs"])
     return [
-        pa.array(np.bincount(word_doc, minlength=n) + 1), pa.array(np.bincount(word_doc, known, n).astype(np.int64) + end_known), pa.array(np.bincount(word_doc[known], table.base[ids[known]], n)),
+        pa.array(np.bincount(word_doc, minlength=n) + 1), pa.array(np.bincount(word_doc, known, n).astype(np.int64) + end_known), pa.array(np.bincount(word_doc, base[number], n)),
         pa.array(np.diff(u.begins), pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, big, n).astype(np.int64)),
         pa.ListArray.from_arrays(pa.array(np.arange(0, n * kinds + 1, kinds, dtype=np.int32)), pa.array(whole.T.reshape(-1))), _lists(pair >> 32, n, rare), _lists(doc[order][first], n, passages),
     ]
@@ -683,19 +682,26 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
         counts[found["h"].to_numpy()] = found["n"].to_numpy()
     held = counted.where("kind = 1").select("h", F.col("n").alias("c"))
     all_passages = held.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    model = train(units.coalesce(1 + n_distinct // UNITS_IN_A_TASK).sortWithinPartitions("unit"), firsts.reshape(FIRSTS, 256), symbols)
+    model = spark.sparkContext.broadcast(train(units.coalesce(1 + n_distinct // UNITS_IN_A_TASK).sortWithinPartitions("unit"), firsts.reshape(FIRSTS, 256), symbols))
     often = units.where(F.col("n") >= _least_count(units, "n")).select("unit", fold_ascii(F.col("unit")).alias("word")).join(words, "word", "left")
-    often = often.select("unit", F.coalesce("c", F.lit(0)).alias("c")).orderBy("unit").toArrow()  # FREQUENT rows at most; gaps have no count
-    frequent = often["unit"].combine_chunks().cast(pa.binary())
-    rests = model.rest(frequent.to_pylist())
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model, scale, frequent, often["c"].to_numpy().astype(np.float64), rests))
+    often = often.select("unit", F.coalesce("c", F.lit(0)).alias("c")).coalesce(1 + min(n_distinct, FREQUENT) // UNITS_IN_A_TASK).sortWithinPartitions("unit")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            rest = model.value.rest(batch.column(0).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rest.astype(np.float32))], names=["unit", "c", "rest"])
+
+    often = often.mapInArrow(score, "unit string, c bigint, rest float").toArrow()  # FREQUENT rows at most; gaps have no count
+    names = often["unit"].combine_chunks().cast(pa.binary()).cast(pa.large_binary())
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, scale, names, often["c"].to_numpy().astype(np.float64), often["rest"].to_numpy()))
     stop = (ends + 0.5) / (n_units + ends + 1.0)
     end_lm, go_on, which = math.log10(stop), math.log10(1 - stop), math.log10(0.5)
     end_base = math.log10((ends + 0.5) / scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        table = _words(shared)
+        table = _words(model, shared)
         for batch in batches:
             for x, y, u in units_of(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), *_measured(u, table, int(ends > 0), go_on)], names=names)

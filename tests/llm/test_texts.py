@@ -352,14 +352,14 @@ def test_a_unit_of_ten_megabytes(tmp_path):
     import sys
 
     code = """
-import resource, numpy as np
+import resource, numpy as np, pyarrow as pa
 from sheaf.llm import lm_score as L
 rng = np.random.default_rng(1)
 text = bytes(rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOPabcdefghijklmnop0123", np.uint8), 10_000_000))
 tree = L.Tree(np.bincount(np.frombuffer(text[:10000], np.uint8), minlength=257))
 m = L.Model(np.zeros((2, L.SLOTS), np.float32), tree, L.Mixer(L.GATES, L.MODELS), L.Firsts(np.zeros((L.FIRSTS, 256))).log10)
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-out = L._measured(L.Units.of([text]), L.Words(m, 1.0), 1, -0.1)
+out = L._measured(L.Units.of([text]), L.Words(m, 1.0, pa.array([b"x", b"yy"], pa.large_binary()), np.ones(2), np.zeros(2)), 1, -0.1)
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, out[0].to_pylist(), out[5].to_pylist())
 """
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(__import__("pathlib").Path(lm_score.__file__).parents[2]))
