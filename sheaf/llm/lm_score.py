@@ -684,7 +684,7 @@ def scored(docs: DataFrame, training: F.Column, text: str = "text") -> DataFrame
     all_passages = held.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     model = spark.sparkContext.broadcast(train(units.coalesce(1 + n_distinct // UNITS_IN_A_TASK).sortWithinPartitions("unit"), firsts.reshape(FIRSTS, 256), symbols))
     often = units.where(F.col("n") >= _least_count(units, "n")).select("unit", fold_ascii(F.col("unit")).alias("word")).join(words, "word", "left")
-    often = often.select("unit", F.coalesce("c", F.lit(0)).alias("c")).coalesce(1 + min(n_distinct, FREQUENT) // UNITS_IN_A_TASK).sortWithinPartitions("unit")
+    often = often.select("unit", F.coalesce("c", F.lit(0)).alias("c")).sortWithinPartitions("unit")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
