@@ -3,7 +3,7 @@
 A merge only ever makes a token of the vocabulary, so two bytes that are adjacent in a text but inside
 no token can never end up in one token: between them the text can be cut, and the fragments encoded
 independently and concatenated. Pre-tokens (the tokenizer's own pattern) are cut at such pairs;
-fragments' codes are kept by each worker in a table of bounded size.
+codes of the words and fragments met last are kept by each worker in tables of bounded size.
 
 The vocabulary file's path is a parameter; the file is read on the driver and broadcast (its size is
 the tokenizer's, not the data's). Documents are read once, not shuffled.
@@ -12,15 +12,16 @@ the tokenizer's, not the data's). Documents are read once, not shuffled.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sheaf.llm.util import map_arrow, with_fields
+from sheaf.llm.util import kept, map_arrow, with_fields
 
-KEPT = 600_000
+#: Codes of words, and of fragments, that are kept: half of them at least are the last ones asked for.
+WORDS, FRAGMENTS, LONGEST = 450_000, 50_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -30,6 +31,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """What ``make`` gives for a key, kept for at most ``most`` keys, and not for long ones.
+
+    When half of them are in, they become the old ones; of these, those that are asked for again come back, the others go
+    with the next half.
+    """
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.half, self.old = make, most // 2, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.half:
+                self.old = None  # before the copy is made
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class BoundaryBPE:
     """Encode as the vocabulary's merges say; special tokens in a text are single tokens."""
 
@@ -54,8 +78,7 @@ class BoundaryBPE:
         space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.pieces = {str(i): t for t, i in vocab.items()} | {str(i): t.encode() for t, i in specials.items()}
-        self.codes: dict[str, str] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.codes, self.fragments = Recent(self.code, WORDS), Recent(self.merge, FRAGMENTS)
 
     def cut(self, word: bytes) -> list[bytes]:
         """Fragments between forced boundaries."""
@@ -111,37 +134,22 @@ class BoundaryBPE:
     def code(self, word: str) -> str:
         """Decimal ids of a pre-token, joined by commas."""
         ids: list[int] = []
-        for f in self.cut(word.encode("utf-8", "surrogatepass")):
-            got = self.fragments.get(f)
-            if got is None:
-                got = self.merge(f)
-                if len(f) <= 64:
-                    if len(self.fragments) >= KEPT // 2:
-                        self.fragments.clear()
-                    self.fragments[f] = got
-            ids += got
+        fragments = self.cut(word.encode("utf-8", "surrogatepass"))
+        for f in fragments:
+            ids += self.fragments[f] if len(fragments) > 1 else self.merge(f)  # a whole word's code is kept as it is
         return ",".join(map(str, ids))
 
     def encode(self, text: str | None) -> str:
         """Decimal ids joined by commas."""
         if not text:
             return ""
-        codes, out = self.codes, []
-        if len(codes) > KEPT:
-            codes.clear()
-        get = codes.get
+        code, out = self.codes.__getitem__, []
         parts = self.special.split(text) if self.special and any(s in text for s in self.specials) else (text,)
         for part in parts:
             if part in self.specials:
                 out.append(str(self.specials[part]))
                 continue
-            for w in self.pattern.findall(part):
-                c = get(w)
-                if c is None:
-                    c = self.code(w)
-                    if len(w) <= 64:
-                        codes[w] = c
-                out.append(c)
+            out += map(code, self.pattern.findall(part))
         return ",".join(out)
 
     def decode(self, ids: str) -> str:
@@ -149,18 +157,6 @@ class BoundaryBPE:
         return b"".join(map(self.pieces.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-_LOADED: dict[str, BoundaryBPE] = {}
-
-
-def _loaded(shared) -> BoundaryBPE:
-    """One encoder for each worker process, with what it has learnt of the texts."""
-    key, text = shared.value
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = BoundaryBPE(json.loads(text))
-    return _LOADED[key]
-
-
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """``docs`` with n_tokens and, as asked for, ids (array<int>), ids_sha256 and decoded_sha256.
 
@@ -170,11 +166,11 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = Tr
     docs = docs.drop(*names)
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((sha256(spec.encode()).hexdigest(), spec))
+    shared, key = docs.sparkSession.sparkContext.broadcast(spec), ("vocabulary", sha256(spec.encode()).hexdigest())
     schema = with_fields(docs, "n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(shared)
+        bpe = kept(key, lambda: BoundaryBPE(json.loads(shared.value)))  # with what it has learnt of the texts
         for batch in batches:
             counts, lists, hashes, decoded = [], [], [], []
             for x in batch.column(batch.schema.get_field_index(text)):
@@ -195,7 +191,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = Tr
                 new += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema, keeps=key)
 
 
 def default_vocabulary() -> str:

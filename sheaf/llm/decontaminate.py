@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.util import map_arrow, slices, with_fields
+from sheaf.llm.util import kept, map_arrow, slices, with_fields
 
 WORDS, THRESHOLD, BLOCK_CHARS = 5, 0.8, 16 << 20
 #: Size parts: items of up to so many shingles, and the hash functions that sketch them.
@@ -171,18 +171,6 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tu
         yield block
 
 
-_INDEXED: dict[tuple, ItemIndex] = {}
-
-
-def _indexed(shared, threshold: float) -> ItemIndex:
-    """The index of a broadcast block; a worker process keeps the one that it used last."""
-    key = (shared.value[0], threshold)
-    if key not in _INDEXED:
-        _INDEXED.clear()
-        _INDEXED[key] = ItemIndex(shared.value[1], threshold)
-    return _INDEXED[key]
-
-
 def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``docs`` but for clashing ones, and matches: array of (item_id, containment), maybe empty.
 
@@ -198,10 +186,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     schema = with_fields(docs, f"matches array<{inner}>")
     found = docs.withColumn("matches", F.expr(f"cast(array() as array<{inner}>)"))
     for block in blocks_of(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+        shared, key = spark.sparkContext.broadcast(block), ("items", uuid.uuid4().hex)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _indexed(shared, threshold)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            index = kept(key, lambda: ItemIndex(shared.value, threshold))
             for batch in batches:
                 texts, matches = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
                 for x, y in slices(texts):
@@ -212,7 +200,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                 both = [sorted([*h, *({"item_id": i, "containment": c} for i, c in m)], key=lambda z: z["item_id"]) for h, m in zip(had, matches)]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(both, kind))
 
-        found = map_arrow(found, search, schema)
+        found = map_arrow(found, search, schema, keeps=key)
     return found
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheaf.llm import bpe, pii, toxicity
+from sheaf.llm import bpe, decontaminate, pii, toxicity, util
+from sheaf.llm.util import map_arrow
 from tests.llm.test_pairs import components
 from tests.llm.test_texts import brute_terms, brute_toxicity
 
@@ -114,6 +115,38 @@ def test_tokens_decode(stages):
         assert b.decode(",".join(map(str, r["ids"]))) == (clean[r["doc_id"]] or "")
 
 
+def test_workers_keep_nothing_of_other_stages(spark):
+    """A worker lives on through all stages; the encoder's and the index's tables go when another operator's task comes."""
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        n = sum(isinstance(x, (bpe.BoundaryBPE, decontaminate.ItemIndex)) for x in gc.get_objects())
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").repartition(8)
+    for stage in (corpus_pipeline.decontamination_stage, corpus_pipeline.bpe_stage):
+        stage(spark, docs, DATA).write.format("noop").mode("overwrite").save()
+        assert {r["n"] for r in map_arrow(spark.range(0, 64, 1, 8), held, "n long").collect()} == {0}
+
+
+def test_worker_keeps_one_thing():
+    made = []
+    make = lambda k: lambda: made.append(k) or [k]
+    try:
+        one = util.kept("a", make("a"))
+        util.release("a")
+        assert util.kept("a", make("a")) is one and util.kept("b", make("b")) == ["b"] and list(util._KEPT) == ["b"]
+        util.release()
+        assert made == ["a", "b"] and not util._KEPT
+    finally:
+        util._KEPT.clear()
+
+
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, DATA)
     cols = ["doc_id", "n_tokens", "ids_sha256"]

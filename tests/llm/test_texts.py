@@ -589,3 +589,27 @@ def test_fold(spark):
     df = spark.createDataFrame([(k,) for k in [None, 0, 7, -3, 10**12]], "doc_id long").select("doc_id", fold_of("doc_id").alias("f"))
     assert all(r["f"] == zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 for r in df.collect())
     assert F is not None
+
+
+def test_bpe_tables_are_bounded(monkeypatch):
+    """Small tables give the same ids, hold no more than they may, and keep what is asked for again and again."""
+    import json
+
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    rng = random.Random(5)
+    texts = [" ".join("the" if rng.random() < 0.3 else "".join(rng.choices("abcdeé京 ", k=rng.randrange(1, 90))) for _ in range(40)) for _ in range(60)]
+    whole = bpe.BoundaryBPE(spec)
+    expected = [whole.encode(t) for t in texts]
+    assert not whole.fragments.keys() & {w.encode() for w in whole.codes if len(whole.cut(w.encode())) == 1 and len(w) > 20}
+    monkeypatch.setattr(bpe, "WORDS", 20)
+    monkeypatch.setattr(bpe, "FRAGMENTS", 6)
+    small = bpe.BoundaryBPE(spec)
+    for t, ids in zip(texts, expected):
+        assert small.encode(t) == ids
+        assert len(small.codes) + len(small.codes.old) <= 20 and len(small.fragments) + len(small.fragments.old) <= 6
+    made = []
+    recent = bpe.Recent(lambda k: made.append(k) or k, 8)
+    for k in range(100):
+        assert recent["often"] == "often" and recent[str(k)] == str(k)
+    assert made.count("often") == 1 and recent["x" * 65] == "x" * 65 and "x" * 65 not in recent
