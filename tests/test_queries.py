@@ -70,6 +70,13 @@ def test_as_of_half_way_in_parts_of_a_second(spark, tmp_path):
     assert agree(spark, con, tmp_path, "as_of")
 
 
+def test_retention_half_way_in_parts_of_a_second(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    events(con, tmp_path, 0.2, 0.3, 10.2, 10.25, 10.35, 10.38, 20.4, 20.6)  # half way: 10.4, past all four between
+    assert agree(spark, con, tmp_path, "retention")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert os.path.isdir(DATA)
