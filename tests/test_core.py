@@ -1,6 +1,7 @@
 """Ordered sets, catalogs, versions, streams, exports and the two languages on small fixtures."""
 
 import datetime as dt
+import functools
 import json
 
 import pytest
@@ -210,6 +211,34 @@ def test_folds_of_whole_sets(people, monkeypatch):
     assert people.spark.range(1).select(got).first()[0] == want
 
 
+def held_by_executors(monkeypatch):
+    """No set's rows may come to the driver; slices are small."""
+
+    def refused(self, *args, **kwargs):
+        raise AssertionError("rows of a set come to the driver")
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", refused)
+    monkeypatch.setattr("sheaf.operators.ordered.SLICE", 7_000)
+
+
+def test_text_folds_leave_rows_with_executors(people, monkeypatch):
+    held_by_executors(monkeypatch)
+    it = Interpreter(people.spark, people)
+    step = lambda a, x: (a * 31 + x) % 1000003
+    up, total, last = 7, 0, 0
+    for x in range(40_000):
+        up, total, last = step(up, x), total + x, x
+    assert it.run("Set.sequence(0, 40000).fold(7, (a, x) => (a * 31 + x) % 1000003)") == up
+    assert it.run("Set.sequence(0, 40000).reduceRight((a, x) => a - x)") == 39_999 - sum(range(39_999))
+    assert it.run("Set.sequence(0, 40000).aggregate(5, (a, x) => a + x)") == 5 + total
+    assert it.run("Set.sequence(0, 40000).map(x => if (x % 2 == 0) x else null).fold(0, (a, x) => a + (x ?? 1))") == sum(x if x % 2 == 0 else 1 for x in range(40_000))
+    rows = "Set.sequence(0, 40000).map(x => { a: x, b: 'n', c: x % 7 })"
+    assert it.run(f"{rows}.fold(7, (a, o) => (a * 31 + o.c) % 1000003)") == functools.reduce(step, (x % 7 for x in range(40_000)), 7)
+    assert it.run(f"{rows}.fold(0, (a, o) => a + 1)") == 40_000
+    assert it.run(f"{rows}.fold({{ n: 0, m: 0 }}, (a, o) => {{ n: a.n + o.a, m: o.a }})") == {"n": total, "m": last}
+    assert it.run(f"{rows}.reduce((a, o) => if (a.a > o.a) a else o)") == {"a": 39_999, "b": "n", "c": 39_999 % 7}
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [40], "after": 30}  # the index is descending
