@@ -239,6 +239,26 @@ def test_text_folds_leave_rows_with_executors(people, monkeypatch):
     assert it.run(f"{rows}.reduce((a, o) => if (a.a > o.a) a else o)") == {"a": 39_999, "b": "n", "c": 39_999 % 7}
 
 
+def test_text_folds_keep_the_order_of_sets(people, monkeypatch):
+    held_by_executors(monkeypatch)
+    key = lambda x: (x * 7919) % 40009
+    want = functools.reduce(lambda a, x: (a * 31 + x) % 1000003, sorted(range(40_000), key=key, reverse=True), 7)
+    assert Interpreter(people.spark, people).run("Set.sequence(0, 40000).order(desc(x => (x * 7919) % 40009)).fold(7, (a, x) => (a * 31 + x) % 1000003)") == want
+
+
+def test_slices_of_few_rows_and_without_a_folder(spark, monkeypatch):
+    monkeypatch.setattr("sheaf.operators.ordered.SLICE", 30)
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k"), F.lit(None).alias("none")).repartition(40)
+    want = sorted((k * 7919) % 1009 for k in range(1000))
+    for folder in (True, False):
+        if not folder:
+            monkeypatch.setattr("sheaf.operators.ordered.shared_folder", lambda _: None)
+        for columns in ({"k": F.col("k")}, {"k": F.col("k"), "none": F.col("none")}):  # no file holds a column without a type
+            got = [[x["k"] for x in part.first()["v"]] for part in Ordered.of(df, "k").slices(columns)]
+            assert sum(got, []) == want and max(map(len, got)) <= 30 and len(got) < 80
+    assert list(Ordered.of(df.where("k < 0"), "k").slices({"k": F.col("k")})) == []
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [40], "after": 30}  # the index is descending
