@@ -259,6 +259,19 @@ def test_slices_of_few_rows_and_without_a_folder(spark, monkeypatch):
     assert list(Ordered.of(df.where("k < 0"), "k").slices({"k": F.col("k")})) == []
 
 
+def folded_form(forms, elements, f, seed):
+    got = forms.form_reduce({"reduce": {"var": "f"}, "initial": seed, "collection": {"var": "c"}}, {"f": f, "c": elements})
+    return forms.spark.range(1).select(F.struct(got.alias("v"))).first()[0]["v"]
+
+
+def test_form_folds_leave_rows_with_executors(people, monkeypatch):
+    held_by_executors(monkeypatch)
+    forms = Forms(people.spark, people)
+    f = lambda a, x: (a * F.lit(31) + x) % 1000003
+    numbers = Elements(people.spark.range(20_000).select("id", (-F.col("id")).alias("down")), ("id",), (("down", True),))
+    assert folded_form(forms, numbers, f, 7) == functools.reduce(lambda a, x: (a * 31 + x) % 1000003, reversed(range(20_000)), 7)
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [40], "after": 30}  # the index is descending
