@@ -272,6 +272,16 @@ def test_form_folds_leave_rows_with_executors(people, monkeypatch):
     assert folded_form(forms, numbers, f, 7) == functools.reduce(lambda a, x: (a * 31 + x) % 1000003, reversed(range(20_000)), 7)
 
 
+def test_form_folds_of_pairs_and_nulls(people, monkeypatch):
+    held_by_executors(monkeypatch)
+    forms = Forms(people.spark, people)
+    pairs = Elements(people.spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("even")), ("id", "even"), (("id", True),))
+    assert folded_form(forms, pairs, lambda a, x: a + F.coalesce(x[1], F.lit(1)), 0) == sum(x if x % 2 == 0 else 1 for x in range(20_000))
+    evens = Elements(pairs.df, ("even",), (("id", True),))
+    assert folded_form(forms, evens, lambda a, x: a + F.coalesce(x, F.lit(1)), 0) == sum(x if x % 2 == 0 else 1 for x in range(20_000))
+    assert folded_form(forms, Elements(pairs.df.where("id < 0"), ("id",)), lambda a, x: a + x, 5) == 5
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [40], "after": 30}  # the index is descending
