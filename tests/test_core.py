@@ -282,6 +282,31 @@ def test_form_folds_of_pairs_and_nulls(people, monkeypatch):
     assert folded_form(forms, Elements(pairs.df.where("id < 0"), ("id",)), lambda a, x: a + x, 5) == 5
 
 
+def test_reducers_run_with_executors(spark, monkeypatch):
+    held_by_executors(monkeypatch)
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k")).repartition(8)
+    s, keys = Ordered.of(df, "k"), sorted(k * 7919 % 20_011 for k in range(20_000))
+    step = lambda a, r: (a * 31 + r["k"]) % 1000003
+    plain = lambda a, k: (a * 31 + k) % 1000003
+    assert s.fold(7, step) == functools.reduce(plain, keys, 7)
+    assert s.fold_right(7, step) == functools.reduce(plain, reversed(keys), 7)
+    assert s.reduce(lambda a, r: a if a["k"] > r["k"] else r)["k"] == s.reduce_right(lambda a, r: a if a["k"] > r["k"] else r)["k"] == keys[-1]
+    assert s.where(F.lit(False)).reduce(lambda a, r: a) is None and s.where(F.lit(False)).fold(3, step) == 3
+
+
+def test_reducers_that_cannot_be_sent_run_here(spark):
+    import threading
+
+    lock, seen = threading.Lock(), []
+
+    def reducer(a, r):
+        with lock:
+            seen.append(r["id"])
+        return a + r["id"]
+
+    assert Ordered.of(spark.range(50), "id").fold(0, reducer) == sum(range(50)) and seen == list(range(50))
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [40], "after": 30}  # the index is descending
