@@ -57,9 +57,9 @@ def anti_join(spark, d):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal - 500 AND s_acctbal")
 def theta_join(spark, d):
-    """A condition over ranges beside an equal key: the key deals the rows out."""
+    """A condition over ranges beside an equal key: the key and a stretch of the range deal the rows out."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    return s.join(c, (s.s_nationkey == c.c_nationkey) & c.c_acctbal.between(s.s_acctbal - 500, s.s_acctbal)).select("s_suppkey", "c_custkey")
+    return X.ranged(s, c, [(s.s_nationkey, c.c_nationkey)], (s.s_acctbal - 500, s.s_acctbal), c.c_acctbal, 125.0).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT r_regionkey, n_nationkey FROM region, nation")

@@ -307,6 +307,25 @@ def test_reducers_that_cannot_be_sent_run_here(spark):
     assert Ordered.of(spark.range(50), "id").fold(0, reducer) == sum(range(50)) and seen == list(range(50))
 
 
+def test_ranged_joins(spark):
+    odd = [None, float("nan"), float("inf"), -float("inf"), 1e18, 0.0, -0.0, 125.0, 124.99999999999999, -125.0, 500.0, -500.0, -999.99]
+    values = odd + [(k * 7919 % 11_000) - 999.5 for k in range(150)]
+    a = spark.createDataFrame([(k, k % 2, v) for k, v in enumerate(values)], "a int, k int, v double").repartition(3)
+    b = spark.createDataFrame([(k, k % 2 if k % 17 else None, v) for k, v in enumerate(odd + [(k * 104729 % 11_000) - 999.5 for k in range(400)])], "b int, j int, w double")
+    pairs = lambda df: sorted(map(tuple, df.select("a", "b").collect()))
+    want = pairs(a.join(b, (a.k == b.j) & b.w.between(a.v - 500, a.v)))
+    got = X.ranged(a, b, [(a.k, b.j)], (a.v - 500, a.v), b.w, 125.0)
+    assert pairs(got) == want and len(want) > 1000 and got.columns == [*a.columns, *b.columns]
+    assert pairs(X.ranged(a, b, [(a.k, b.j)], (a.v, a.v - 500), b.w, 125.0)) == pairs(a.join(b, (a.k == b.j) & b.w.between(a.v, a.v - 500)))
+
+
+def test_theta_join_deals_out_a_key(spark):
+    from sheaf.queries import QUERIES
+
+    plan = QUERIES["theta_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_stretch" in plan
+
+
 def test_forms(people):
     run = Forms(people.spark, people).run
     assert run({"paginate": {"match": "Ann", "index": "byName"}, "size": 1}) == {"data": [40], "after": 30}  # the index is descending
